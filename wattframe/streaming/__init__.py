@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source material reads and writes only static files: there is no stream, watermark, windowed
+state or late data to reproduce, so this package intentionally holds no operator.  Every batch
+operator in ``wattframe.operators`` is a pure DataFrame → DataFrame function and can be applied to
+each micro-batch with ``writeStream.foreachBatch`` if a stream is ever needed.
+"""
