@@ -222,6 +222,440 @@ def q_calendar_features(spark, d):
     return calendar_features(ev, "ts")
 
 
+# --- sources, catalog, projections --------------------------------------------------------
+
+from wattframe.functions import text as T  # noqa: E402
+from wattframe.functions.columns import columns_of_type, normalise_columns  # noqa: E402
+from wattframe.functions.hashing import hash_fold  # noqa: E402
+from wattframe.operators import evaluate, impute, report  # noqa: E402
+from wattframe.operators.features import fit_label_index, fit_minmax, index_to_label  # noqa: E402
+from wattframe.operators.sequences import build_sequences, complete_grid, hour_index  # noqa: E402
+from wattframe.schemas import DESCRIPTION_RULES  # noqa: E402
+from wattframe.session import scratch_path  # noqa: E402
+from wattframe.sources import files as io  # noqa: E402
+from pyspark.sql import types as TT  # noqa: E402
+
+_ORDERS_RENAMED = TT.StructType([
+    TT.StructField("order_key", TT.LongType()), TT.StructField("cust_key", TT.LongType()),
+    TT.StructField("status", TT.StringType()), TT.StructField("total_price", TT.DoubleType()),
+    TT.StructField("order_date", TT.TimestampNTZType()), TT.StructField("priority", TT.StringType())])
+
+
+@query("csv_roundtrip_schema", """SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderstatus AS status,
+  o_totalprice AS total_price, o_orderdate AS order_date, o_orderpriority AS priority FROM orders""")
+def q_csv_roundtrip_schema(spark, d):
+    path = io.write_csv(io.read_table(spark, d, "orders"), scratch_path(spark, "csv"), mode="errorifexists")
+    return io.read_csv(spark, path, _ORDERS_RENAMED, header=True)
+
+
+_IMPORTANCE_SCHEMA = TT.StructType([TT.StructField("feature", TT.StringType()),
+                                    TT.StructField("weight", TT.LongType())])
+
+
+@query("json_roundtrip", """SELECT o_orderpriority AS name, count(*) AS split_count FROM orders GROUP BY 1""")
+def q_json_roundtrip(spark, d):
+    scores = io.read_table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("feature")).agg(
+        F.count(F.lit(1)).alias("weight"))
+    path = io.write_json(scores, scratch_path(spark, "json"))
+    return report.flatten_json(spark, path, _IMPORTANCE_SCHEMA, rename={"feature": "name", "weight": "split_count"},
+                               keep=F.col("split_count") > 0)
+
+
+@query("view_sql", """SELECT o_orderstatus, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
+FROM orders GROUP BY o_orderstatus""")
+def q_view_sql(spark, d):
+    return io.run_sql(spark, """SELECT o_orderstatus, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
+        FROM wf_orders GROUP BY o_orderstatus""", wf_orders=io.read_table(spark, d, "orders"))
+
+
+def _totals_sql() -> str:
+    return """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+  l_discount + l_tax AS t_rate, l_extendedprice + l_quantity AS t_price,
+  l_discount + l_tax + l_extendedprice + l_quantity AS t_all
+FROM (""" + S.LINEITEM_GAPS_SQL + ")"
+
+
+@query("group_totals", _totals_sql())
+def q_group_totals(spark, d):
+    li = S.lineitem_with_gaps(spark, d)
+    return reshape.energy_totals(li, keep=li.columns, totals=S.TOTALS_SPEC)
+
+
+@query("rename_normalise", """SELECT p_partkey AS p_key, p_name AS p_name_x, p_brand AS p_brand_x, p_type AS p_type_x,
+  p_size AS p_size_x, p_retailprice AS p_retail_price_x FROM part""")
+def q_rename_normalise(spark, d):
+    part = io.read_table(spark, d, "part")
+    raw = part.toDF("p key", "p name", "p/brand", "p type", "p size", "p retail-price")
+    norm = normalise_columns(raw)
+    measures = norm.columns[1:]
+    wide = norm.toDF(norm.columns[0], *[f"{m}_x" for m in measures])
+    return wide.select(wide.columns[0], *sorted(wide.columns[1:], key=lambda c: wide.columns.index(c)))
+
+
+@query("project_basics", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+  'original' AS dataset, o_orderstatus AS label_pre FROM orders""")
+def q_project_basics(spark, d):
+    o = io.read_table(spark, d, "orders")
+    after_key = o.columns[1:]
+    return (o.select(o.columns[0], *after_key).drop("o_orderpriority")
+            .withColumn("dataset", F.lit("original")).withColumn("label_pre", F.col("o_orderstatus")))
+
+
+@query("sort_limit", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""")
+def q_sort_limit(spark, d):
+    o = io.read_table(spark, d, "orders")
+    return o.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+_FLAG_CODE = {"A": 1, "N": 2, "R": 3}
+
+
+@query("array_map_math", f"""SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 4) AS sqrt_qty,
+  round(l_extendedprice, 0) AS price_round, [l_tax, l_discount][1] AS first_rate,
+  {_case_map('l_returnflag', _FLAG_CODE)} AS flag_code FROM lineitem""")
+def q_array_map_math(spark, d):
+    li = io.read_table(spark, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.round(F.sqrt("l_quantity"), 4).alias("sqrt_qty"),
+                     F.round("l_extendedprice", 0).alias("price_round"),
+                     F.element_at(F.array("l_tax", "l_discount"), 1).alias("first_rate"),
+                     resolve.id_map_column(_FLAG_CODE)[F.col("l_returnflag")].alias("flag_code"))
+
+
+@query("dtype_select", "SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
+def q_dtype_select(spark, d):
+    li = io.read_table(spark, d, "lineitem")
+    return li.select(*columns_of_type(li, "double"))
+
+
+_BRANDS = ", ".join(f"'{b}'" for b in S.PART_KNOWN_BRANDS)
+
+
+@query("conditional_icon", f"""SELECT p_partkey, CASE WHEN p_brand IN ({_BRANDS}) THEN p_brand
+  ELSE trim(concat(p_brand, 'd')) END AS icon FROM part""")
+def q_conditional_icon(spark, d):
+    part = io.read_table(spark, d, "part")
+    return part.select("p_partkey", T.day_night_icon("p_brand", S.PART_KNOWN_BRANDS).alias("icon"))
+
+
+def _repair_sql(col: str, rules) -> str:
+    expr = col
+    for pat, rep in rules:
+        expr = f"trim(regexp_replace({expr}, '{pat}', '{rep}', 'g'))"
+        expr = f"trim(regexp_replace({expr}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+    return expr
+
+
+@query("text_repair", f"""SELECT p_partkey, {_repair_sql('p_name', S.PART_NAME_RULES)} AS name_fixed,
+  regexp_replace(p_brand, '[\\s\\[\\]]', '', 'g') AS brand_token FROM part""")
+def q_text_repair(spark, d):
+    part = io.read_table(spark, d, "part")
+    return part.select("p_partkey", T.repair_text("p_name", S.PART_NAME_RULES).alias("name_fixed"),
+                       T.clean_token("p_brand").alias("brand_token"))
+
+
+@query("document_repair", f"""SELECT doc_id, md5(x) AS text_md5, length(x) AS n_chars_fixed FROM (
+  SELECT doc_id, {_repair_sql('text', DESCRIPTION_RULES)} AS x FROM documents)""")
+def q_document_repair(spark, d):
+    docs = io.read_table(spark, d, "documents", ["doc_id", "text"])
+    x = T.repair_text("text", DESCRIPTION_RULES)
+    return docs.select("doc_id", F.md5(x).alias("text_md5"), F.length(x).alias("n_chars_fixed"))
+
+
+@query("predicate_mix", """SELECT event_id FROM events WHERE (event_type = 'click' AND value > 50)
+  OR (lower(trim(event_type)) = 'view' AND user_id < 20) OR props IS NULL""")
+def q_predicate_mix(spark, d):
+    ev = io.read_table(spark, d, "events")
+    cond = (((F.col("event_type") == "click") & (F.col("value") > 50))
+            | (T.normalised_equals("event_type", "view") & (F.col("user_id") < 20))
+            | F.col("props").isNull())
+    return ev.filter(cond).select("event_id")
+
+
+@query("category_profile", "SELECT p_type, p_size, count(*) AS count FROM part GROUP BY 1, 2")
+def q_category_profile(spark, d):
+    return profile.profile_categories(io.read_table(spark, d, "part"), ["p_type", "p_size"])
+
+
+def _dictionary_sql() -> str:
+    icon = f"CASE WHEN p_brand IN ({_BRANDS}) THEN p_brand ELSE trim(concat(p_brand, 'd')) END"
+    return f"""WITH raw AS (SELECT p_size, p_type, p_name, p_brand, count(*) AS n FROM part GROUP BY ALL),
+fixed AS (SELECT p_size, p_type, {_repair_sql('p_name', S.PART_NAME_RULES)} AS p_name, {icon} AS p_brand, n FROM raw)
+SELECT p_size, p_type, p_name, p_brand, count(*) AS count, CAST(sum(n) AS BIGINT) AS n_rows FROM fixed GROUP BY ALL"""
+
+
+@query("category_dictionary", _dictionary_sql())
+def q_category_dictionary(spark, d):
+    return profile.build_dictionary(io.read_table(spark, d, "part"), "p_size", "p_type", "p_name", "p_brand",
+                                    rules=S.PART_NAME_RULES, icons=S.PART_KNOWN_BRANDS)
+
+
+# --- join, concat, totals, nulls ------------------------------------------------------------
+
+@query("inner_two_keys", f"""WITH en AS ({S.LINEITEM_DAILY_SQL}),
+we AS (SELECT o_orderdate AS wd, count(*) AS n_orders, sum(o_totalprice) AS tp FROM orders GROUP BY 1)
+SELECT strftime(day, '%Y-%m-%d %H:%M:%S') || '+00:00' AS time, round(quantity, 2) AS quantity,
+  strftime(wd, '%Y-%m-%d %H:%M:%S') || '+00:00' AS dt_iso, n_orders AS order_count, round(tp, 2) AS total_price,
+  CAST(day AS DATE) AS date, day AS date_time
+FROM en JOIN we ON en.day = we.wd""")
+def q_inner_two_keys(spark, d):
+    text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
+    energy = S.lineitem_daily(spark, d).select(text("day").alias("time"), F.round("quantity", 2).alias("quantity"))
+    orders = io.read_table(spark, d, "orders")
+    weather = orders.groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("order count"),
+                                                F.round(F.sum("o_totalprice"), 2).alias("total/price"))
+    weather = weather.select(text("o_orderdate").alias("dt_iso"), "order count", "total/price")
+    j = reshape.join_energy_weather(energy, weather, "time", "dt_iso")
+    return j.withColumn("date_time", F.col("date_time").cast("timestamp_ntz"))
+
+
+@query("column_concat", """SELECT a.event_id, a.value, b.props, coalesce(a.year, b.year) AS year
+FROM (SELECT event_id, value, CAST(year(ts) AS DOUBLE) AS year FROM events) a
+FULL JOIN (SELECT event_id, props, CAST(year(ts) AS DOUBLE) AS year FROM events WHERE year(ts) = 2024) b
+ON a.event_id = b.event_id""")
+def q_column_concat(spark, d):
+    from wattframe.functions.time import year_range
+    ev = io.read_table(spark, d, "events")
+    a = ev.select("event_id", "value", F.year("ts").cast("double").alias("year"))
+    b = ev.filter(year_range("ts", 2024)).select("event_id", "props", F.year("ts").cast("double").alias("year"))
+    j = a.join(b.withColumnRenamed("year", "year_b"), "event_id", "full")
+    return j.select("event_id", "value", "props", F.coalesce("year", "year_b").alias("year"))
+
+
+_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("means_and_std", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS series, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, count({c}) AS n FROM lineitem"
+    for c in _NUMS))
+def q_means_and_std(spark, d):
+    li = io.read_table(spark, d, "lineitem")
+    return evaluate.mean_std_matrix(reshape.to_long(li.select("l_orderkey", "l_linenumber", *_NUMS),
+                                                    ["l_orderkey", "l_linenumber"], _NUMS))
+
+
+_PAIRS = {("gross", "price"): ("l_extendedprice", "p_gross"), ("net", "price"): ("l_extendedprice", "p_net"),
+          ("unit", "quantity"): ("l_quantity", "p_unit"), ("sparse", "quantity"): ("l_quantity", "p_sparse")}
+_PRED_COLS = {"p_gross": "l_extendedprice * (1 + l_tax)", "p_net": "l_extendedprice * (1 - l_discount)",
+              "p_unit": "l_extendedprice / 1000", "p_sparse": "CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity + 1 END"}
+
+
+def _rmse_sql() -> str:
+    preds = ", ".join(f"{v} AS {k}" for k, v in _PRED_COLS.items())
+    parts = []
+    for (m, t), (a, p) in _PAIRS.items():
+        parts.append(f"""SELECT '{m}' AS model, '{t}' AS target,
+  round(sqrt(avg(CASE WHEN {a} IS NOT NULL AND {p} IS NOT NULL THEN ({a} - {p}) ^ 2 END)), 4) AS rmse,
+  count(*) FILTER (WHERE {a} IS NOT NULL AND {p} IS NOT NULL) AS n_pairs,
+  count(*) FILTER (WHERE NOT ({a} IS NOT NULL AND {p} IS NOT NULL)) AS n_null_pairs FROM p""")
+    return f"WITH p AS (SELECT *, {preds} FROM lineitem)\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("rmse_matrix", _rmse_sql())
+def q_rmse_matrix(spark, d):
+    li = io.read_table(spark, d, "lineitem")
+    li = li.withColumns({k: F.expr(v) for k, v in _PRED_COLS.items()})
+    return evaluate.rmse_matrix(evaluate.stack_predictions(li, ["l_orderkey", "l_linenumber"], _PAIRS))
+
+
+@query("impute_means", f"""WITH g AS ({S.LINEITEM_GAPS_SQL})
+SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, avg(l_quantity) OVER ()), 4) AS l_quantity,
+  round(coalesce(l_discount, avg(l_discount) OVER ()), 4) AS l_discount, l_tax FROM g""")
+def q_impute_means(spark, d):
+    g = S.lineitem_with_gaps(spark, d)
+    out = impute.impute_means(g)
+    return out.select("l_orderkey", "l_linenumber", F.round("l_quantity", 4).alias("l_quantity"),
+                      F.round("l_discount", 4).alias("l_discount"), "l_tax")
+
+
+@query("drop_nulls", f"""SELECT l_orderkey, l_linenumber FROM ({S.LINEITEM_GAPS_SQL})
+WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL""")
+def q_drop_nulls(spark, d):
+    return impute.drop_incomplete(S.lineitem_with_gaps(spark, d)).select("l_orderkey", "l_linenumber")
+
+
+@query("null_summary", f"""SELECT count(*) FILTER (WHERE l_quantity IS NULL OR l_discount IS NULL) AS rows_with_null,
+  count(*) FILTER (WHERE l_quantity IS NULL) AS null_quantity, count(*) FILTER (WHERE l_discount IS NULL) AS null_discount
+FROM ({S.LINEITEM_GAPS_SQL})""")
+def q_null_summary(spark, d):
+    n = profile.null_counts(S.lineitem_with_gaps(spark, d))
+    return n.select(F.col("__rows_with_null").alias("rows_with_null"), F.col("l_quantity").alias("null_quantity"),
+                    F.col("l_discount").alias("null_discount"))
+
+
+# --- time parsing, splits, folds ------------------------------------------------------------
+
+@query("parse_times", """SELECT o_orderkey, o_orderdate - INTERVAL 1 HOUR AS utc_time,
+  CAST(epoch(o_orderdate - INTERVAL 1 HOUR) AS BIGINT) AS epoch,
+  strftime(o_orderdate - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS utc_text,
+  CAST(o_orderdate - INTERVAL 1 HOUR AS DATE) AS utc_date, printf('%.2f%%', o_totalprice / 7) AS price_pct
+FROM orders""")
+def q_parse_times(spark, d):
+    from wattframe.functions.time import OFFSET_PATTERN, parse_offset_timestamp
+    o = io.read_table(spark, d, "orders")
+    s = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("+01:00"))
+    epoch = F.unix_timestamp(s, OFFSET_PATTERN)
+    return o.select("o_orderkey", parse_offset_timestamp(s).alias("utc_time"), epoch.alias("epoch"),
+                    F.from_unixtime(epoch, "yyyy-MM-dd HH:mm:ss").alias("utc_text"),
+                    F.to_date(parse_offset_timestamp(s)).alias("utc_date"),
+                    F.format_string("%.2f%%", F.col("o_totalprice") / 7).alias("price_pct"))
+
+
+@query("year_split", """SELECT l_orderkey, l_linenumber, CASE WHEN year(l_shipdate) = 2000 THEN 'test' ELSE 'train' END AS split
+FROM lineitem""")
+def q_year_split(spark, d):
+    li = io.read_table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate"])
+    train, test = sampling.year_split(li, "l_shipdate", 2000)
+    cols = ["l_orderkey", "l_linenumber"]
+    return train.select(*cols, F.lit("train").alias("split")).unionByName(test.select(*cols, F.lit("test").alias("split")))
+
+
+@query("time_boundaries", f"""SELECT hour, CASE WHEN hour < TIMESTAMP '2024-01-15' THEN 'train'
+  WHEN hour < TIMESTAMP '2024-01-25' THEN 'validation' ELSE 'test' END AS split FROM ({S.HOURLY_EVENTS_SQL})""")
+def q_time_boundaries(spark, d):
+    h = S.hourly_events(spark, d)
+    return h.select("hour", sampling.time_split_label("hour", ["2024-01-15", "2024-01-25"]).alias("split"))
+
+
+@query("fold_assignment", """WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)
+SELECT event_id,
+  CAST(('0x' || substr(md5(concat_ws(':', '123', coalesce(CAST(event_id AS VARCHAR), ''))), 1, 8))::BIGINT % 3 AS INTEGER) AS fold_shuffled,
+  CAST(least(floor((epoch_us(ts) - lo) * 2 / (hi - lo + 1)), 1) AS INTEGER) AS fold_contiguous
+FROM events, b""")
+def q_fold_assignment(spark, d):
+    ev = io.read_table(spark, d, "events", ["event_id", "ts"])
+    return ev.select("event_id", hash_fold(["event_id"], 3, 123).alias("fold_shuffled"),
+                     sampling.contiguous_folds(ev, "ts", 2).alias("fold_contiguous"))
+
+
+# --- sequences, scaling, label index --------------------------------------------------------
+
+def _sequence_sql() -> str:
+    return f"""WITH h AS ({S.HOURLY_EVENTS_SQL}),
+b AS (SELECT min(hour) AS t0, CAST((epoch(max(hour)) - epoch(min(hour))) / 3600 AS BIGINT) + 1 AS n FROM h),
+g AS (SELECT r.range AS idx, b.t0 + to_hours(r.range) AS hour FROM b, range(0, (SELECT n FROM b)) r),
+i AS (SELECT g.idx, g.hour, coalesce(h.x, 0) AS x, coalesce(h.y, 0) AS y,
+        CASE WHEN g.hour < TIMESTAMP '2024-01-16' THEN 'a' ELSE 'b' END AS split FROM g LEFT JOIN h ON g.hour = h.hour),
+w AS (SELECT split, idx, y, count(*) OVER win AS n, first_value(x) OVER win AS first_x, last_value(x) OVER win AS last_x,
+        sum(x) OVER win AS sum_x FROM i
+      WINDOW win AS (PARTITION BY split ORDER BY idx RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING))
+SELECT split, idx, round(y, 4) AS label, CAST(n AS INTEGER) AS n_steps, first_x, last_x, sum_x FROM w WHERE n = 24"""
+
+
+@query("sequence_history", _sequence_sql())
+def q_sequence_history(spark, d):
+    h = S.hourly_events(spark, d)
+    b = h.agg(F.min("hour").alias("t0"), F.max("hour").alias("t1")).first()
+    n = int((b["t1"] - b["t0"]).total_seconds() // 3600) + 1
+    grid = complete_grid(spark, b["t0"], n, ts_col="hour")
+    full = grid.join(h, "hour", "left").na.fill(0.0, ["x", "y"])
+    full = full.withColumn("split", F.when(F.col("hour") < F.lit("2024-01-16").cast("timestamp_ntz"), "a").otherwise("b"))
+    seq = build_sequences(full, "idx", "x", "y", history=24, split_col="split")
+    return seq.select("split", "idx", F.round("label", 4).alias("label"), F.size("history").alias("n_steps"),
+                      F.element_at("history", 1).alias("first_x"), F.element_at("history", -1).alias("last_x"),
+                      F.aggregate("history", F.lit(0.0), lambda a, x: a + x).alias("sum_x"))
+
+
+_TRAIN_END = "2024-01-21"
+
+
+def _minmax_sql(body: str) -> str:
+    return f"""WITH h AS ({S.HOURLY_EVENTS_SQL}),
+m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM h WHERE hour < TIMESTAMP '{_TRAIN_END}')
+{body}"""
+
+
+@query("minmax_scale", _minmax_sql("""SELECT hour, round((x - x0) / (x1 - x0), 6) AS x_scaled,
+  round((y - y0) / (y1 - y0), 6) AS y_scaled FROM h, m"""))
+def q_minmax_scale(spark, d):
+    h = S.hourly_events(spark, d)
+    model = fit_minmax(h.filter(F.col("hour") < F.lit(_TRAIN_END).cast("timestamp_ntz")), ["x", "y"])
+    out = model.transform(h, suffix="_scaled")
+    return out.select("hour", F.round("x_scaled", 6).alias("x_scaled"), F.round("y_scaled", 6).alias("y_scaled"))
+
+
+@query("minmax_inverse", _minmax_sql("""SELECT hour, round(y, 4) AS y_back,
+  round(abs(y - 0.5 * (y1 - y0) - y0) / (y1 - y0) * (y1 - y0), 4) AS err_back FROM h, m"""))
+def q_minmax_inverse(spark, d):
+    h = S.hourly_events(spark, d)
+    model = fit_minmax(h.filter(F.col("hour") < F.lit(_TRAIN_END).cast("timestamp_ntz")), ["x", "y"])
+    scaled = model.transform(h, suffix="_scaled")
+    return scaled.select("hour", F.round(model.inverse_column("y_scaled", "y"), 4).alias("y_back"),
+                         F.round(model.inverse_error(F.abs(F.col("y_scaled") - 0.5), "y"), 4).alias("err_back"))
+
+
+@query("label_index", f"""WITH {EV}, o AS (SELECT cls, CAST(row_number() OVER (ORDER BY count(*) DESC, cls) - 1 AS DOUBLE) AS label_idx
+  FROM e GROUP BY cls)
+SELECT e.event_id, e.cls, o.label_idx, o.cls AS cls_back FROM e JOIN o ON e.cls = o.cls""")
+def q_label_index(spark, d):
+    ev = S.events_long(spark, d).select("event_id", "cls")
+    model = fit_label_index(ev, "cls", "label_idx")
+    out = model.transform(ev)
+    return index_to_label(model, "label_idx", "cls_back").transform(out)
+
+
+@query("prediction_distribution", f"WITH {EV} SELECT pred_cls, count(*) AS count FROM e GROUP BY pred_cls")
+def q_prediction_distribution(spark, d):
+    return profile.profile_categories(S.events_long(spark, d), ["pred_cls"])
+
+
+# --- metrics and report tables --------------------------------------------------------------
+
+def _metrics_sql() -> str:
+    return f"""WITH {EV}, cm AS (SELECT cls AS label, pred_cls AS prediction, count(*) AS n FROM e GROUP BY 1, 2),
+tp AS (SELECT label AS c, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS tp, sum(n) AS n_label FROM cm GROUP BY 1),
+pp AS (SELECT prediction AS c, sum(n) AS n_pred FROM cm GROUP BY 1),
+per AS (SELECT coalesce(tp.c, pp.c) AS c, coalesce(tp, 0) AS tp, coalesce(n_label, 0) AS n_label,
+               coalesce(n_pred, 0) AS n_pred FROM tp FULL JOIN pp ON tp.c = pp.c),
+m AS (SELECT c, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS p,
+             CASE WHEN n_label > 0 THEN tp / n_label ELSE 0.0 END AS r FROM per),
+tot AS (SELECT sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS hits, sum(n) AS rows FROM cm),
+acc AS (SELECT round(hits / rows, 6) AS a, round(2 * (rows - hits) / (rows * (SELECT count(*) FROM per)), 6) AS h FROM tot)
+SELECT c AS label, 'precision' AS metric, round(p, 6) AS value FROM m
+UNION ALL SELECT c, 'recall', round(r, 6) FROM m
+UNION ALL SELECT c, 'f1', round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) FROM m
+UNION ALL SELECT 'ALL', unnest(['accuracy', 'precision', 'recall', 'f1', 'micro_precision', 'micro_recall', 'micro_f1',
+  'subset_accuracy', 'hamming_loss']), unnest([a, a, a, a, a, a, a, a, h]) FROM acc"""
+
+
+@query("confusion_and_labels", _metrics_sql())
+def q_confusion_and_labels(spark, d):
+    return evaluate.classification_metrics(S.events_long(spark, d), "cls", "pred_cls")
+
+
+@query("error_direction", f"""WITH {EV} SELECT CASE WHEN p - l > 0 THEN 'pos_diff' WHEN p - l < 0 THEN 'neg_diff' ELSE 'same' END
+  AS pred_label_diff, cls, count(*) AS count FROM (SELECT cls, {_case_map('cls', S.BAND_MIN_ID)} AS l,
+  {_case_map('pred_cls', S.BAND_MIN_ID)} AS p FROM e) GROUP BY 1, 2""")
+def q_error_direction(spark, d):
+    m = resolve.id_map_column(S.BAND_MIN_ID)
+    ev = S.events_long(spark, d).select("cls", m[F.col("cls")].alias("l"), m[F.col("pred_cls")].alias("p"))
+    return evaluate.error_direction(ev, "l", "p", "cls")
+
+
+@query("topk_features", """SELECT * FROM (SELECT l_returnflag, l_suppkey AS feature, count(*) AS score,
+  CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_suppkey) AS INTEGER) AS rank
+  FROM lineitem GROUP BY 1, 2) WHERE rank <= 10""")
+def q_topk_features(spark, d):
+    li = io.read_table(spark, d, "lineitem", ["l_returnflag", "l_suppkey"])
+    scores = li.groupBy("l_returnflag", F.col("l_suppkey").alias("feature")).agg(F.count(F.lit(1)).alias("score"))
+    return report.top_k_per_group(scores, ["l_returnflag"], "score", 10, tie=["feature"])
+
+
+@query("trailing_period", """WITH t AS (SELECT * FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY)
+SELECT event_id, ts, 'value' AS series, value FROM t
+UNION ALL SELECT event_id, ts, 'user_id', CAST(user_id AS DOUBLE) FROM t""")
+def q_trailing_period(spark, d):
+    ev = io.read_table(spark, d, "events", ["event_id", "ts", "value", "user_id"])
+    t = report.trailing_period(ev, "ts", report.TRAILING_PERIODS["1w"]).withColumn("user_id", F.col("user_id").cast("double"))
+    return reshape.to_long(t, ["event_id", "ts"], ["value", "user_id"])
+
+
+@query("entity_daily_metric", """SELECT event_type AS entity, CAST(ts AS DATE) AS date, round(avg(value), 4) AS avg_value
+FROM events GROUP BY 1, 2""")
+def q_entity_daily_metric(spark, d):
+    ev = S.events_long(spark, d)
+    return report.entity_daily_metric(ev, "ts", "entity", "value")
+
+
 # --- contract -------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:

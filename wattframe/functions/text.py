@@ -6,8 +6,6 @@ null, never an error) and applied to the whole text.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,15 +16,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_META = set("\\.^$|?*+()[]{}")
+
+
+def escape_literal(text: str) -> str:
+    """Escape regex metacharacters only (blanks stay blanks), portable across regex dialects."""
+    return "".join("\\" + ch if ch in _META else ch for ch in text)
+
+
 def replace_trim(col, pattern: str, replacement: str, literal: bool = True) -> Column:
     """Replace every match of ``pattern`` and trim the result (null stays null)."""
-    pat = re.escape(pattern) if literal else pattern
+    pat = escape_literal(pattern) if literal else pattern
     return F.trim(F.regexp_replace(_c(col), F.lit(pat), F.lit(replacement)))
 
 
+BLANKS = r"[ \t\n\x0B\f\r]+"
+
+
 def collapse_blanks(col) -> Column:
     """Runs of whitespace become one blank; ends trimmed."""
-    return F.trim(F.regexp_replace(_c(col), r"\s+", " "))
+    return F.trim(F.regexp_replace(_c(col), BLANKS, " "))
 
 
 def repair_text(col, rules=DESCRIPTION_RULES, collapse: bool = True) -> Column:

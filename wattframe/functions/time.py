@@ -24,7 +24,7 @@ def parse_offset_timestamp(col, pattern: str = OFFSET_PATTERN, ntz: bool = True)
     ``ntz=True`` returns it as ``timestamp_ntz`` holding the UTC wall clock (stable whatever the
     reader's zone); otherwise a session-zone ``timestamp``.
     """
-    ts = F.to_timestamp(_c(col), F.lit(pattern))
+    ts = F.to_timestamp(_c(col), pattern)
     return F.to_timestamp_ntz(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")) if ntz else ts
 
 

@@ -69,7 +69,7 @@ def join_energy_weather(energy: DataFrame, weather: DataFrame, energy_time: str
     j = j.toDF(*[normalise_name(c) for c in j.columns])
     if add_time_columns:
         t = normalise_name(energy_time)
-        ts = F.to_timestamp(F.col(t), F.lit(time_pattern))
+        ts = F.to_timestamp(F.col(t), time_pattern)
         j = j.withColumns({"date": F.to_date(ts), "date_time": ts})
     return j
 

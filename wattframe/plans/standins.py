@@ -88,3 +88,39 @@ SELECT l_shipdate AS day, sum(l_quantity) AS quantity, sum(l_extendedprice) AS p
        CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS returns
 FROM lineitem GROUP BY l_shipdate
 """
+
+
+def lineitem_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem numeric parts with deterministic holes (quantity on line 1, discount on line 2)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_linenumber") == 1, F.lit(None)).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        "l_extendedprice",
+        F.when(F.col("l_linenumber") == 2, F.lit(None)).otherwise(F.col("l_discount")).alias("l_discount"),
+        "l_tax")
+
+
+LINEITEM_GAPS_SQL = """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS l_quantity,
+       l_extendedprice, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS l_discount, l_tax
+FROM lineitem
+"""
+
+# FIXED VALUES of the stand-in text / icon rules (same shape as the weather description chain)
+PART_NAME_RULES = [("small", ""), ("ring", " big ring"), ("big big ring", "big ring")]
+PART_KNOWN_BRANDS = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"]
+TOTALS_SPEC = {"t_rate": ["l_discount", "l_tax"], "t_price": ["l_extendedprice", "l_quantity"],
+               "t_all": ["t_rate", "t_price"]}
+
+
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly aggregate of events: the stand-in for an hourly feature table (x = rows, y = value)."""
+    ev = read_table(spark, sf_dir, "events", ["ts", "value"])
+    return ev.groupBy(hour_key("ts").alias("hour")).agg(F.count(F.lit(1)).cast("double").alias("x"),
+                                                      F.sum("value").alias("y"))
+
+
+HOURLY_EVENTS_SQL = """
+SELECT date_trunc('hour', ts) AS hour, CAST(count(*) AS DOUBLE) AS x, sum(value) AS y FROM events GROUP BY 1
+"""
