@@ -656,6 +656,155 @@ def q_entity_daily_metric(spark, d):
     return report.entity_daily_metric(ev, "ts", "entity", "value")
 
 
+# --- energy ⋈ weather table (end to end, oracle-checked) ------------------------------------
+
+from wattframe.plans import energy as EN  # noqa: E402
+from wattframe.plans import forecast as FC  # noqa: E402
+from wattframe.plans import weather as WE  # noqa: E402
+from wattframe.schemas import normalise_name  # noqa: E402
+
+
+def _energy_weather_sql() -> str:
+    P, M = S.PRIORITIES, S.ORDER_MEASURES
+    wcols = [(m, p, normalise_name(f"{m}_{p}")) for p in P for m in M]
+    ww = ", ".join(f"min(CASE WHEN o_orderpriority = '{p}' THEN {m} END) AS \"{n}\"" for m, p, n in wcols)
+    base = ["quantity", "price", "discount", "tax", "lines", "returns", "t_value", "t_rates", "t_all"]
+    imp = lambda c: f"round(coalesce(\"{c}\", avg(\"{c}\") OVER ()), 4) AS \"{c}\""
+    wsel = ", ".join(imp(n) if m == "o_totalprice" else f"\"{n}\"" for m, p, n in wcols)
+    return f"""WITH d AS ({S.LINEITEM_DAILY_SQL}),
+en AS (SELECT strftime(day, '%Y-%m-%d %H:%M:%S') || '+00:00' AS time, quantity, price, discount, tax, lines, returns,
+  price + quantity AS t_value, discount + tax AS t_rates, price + quantity + discount + tax AS t_all FROM d),
+ww AS (SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '+00:00' AS dt_iso, {ww} FROM orders GROUP BY o_orderdate),
+j AS (SELECT * FROM en JOIN ww ON en.time = ww.dt_iso)
+SELECT time, {', '.join(imp(c) for c in base)}, dt_iso, {wsel},
+  CAST(substr(time, 1, 10) AS DATE) AS date, CAST(substr(time, 1, 19) AS TIMESTAMP) AS date_time FROM j"""
+
+
+def _energy_weather(spark, d, impute=True):
+    wide = reshape.to_wide(S.orders_long(spark, d), "dt_iso", "priority", S.PRIORITIES, S.ORDER_MEASURES)
+    return EN.energy_weather_table(S.daily_energy(spark, d), wide, keep=S.DAILY_KEEP, totals=S.DAILY_TOTALS,
+                                   impute=impute)
+
+
+@query("energy_weather_table", _energy_weather_sql())
+def q_energy_weather_table(spark, d):
+    t = _energy_weather(spark, d)
+    types = dict(t.dtypes)
+    return t.select(*[F.round(c, 4).alias(c) if types[c] == "double" else F.col(c) for c in t.columns if c != "date_time"],
+                    F.col("date_time").cast("timestamp_ntz").alias("date_time"))
+
+
+@query("energy_weather_quality")
+def q_energy_weather_quality(spark, d):
+    before = _energy_weather(spark, d, impute=False)
+    return EN.null_report(before, _energy_weather(spark, d))
+
+
+# --- classifiers and resolution (rows-only: model outputs) ----------------------------------
+
+_CLS_INPUTS = ["user_id_d", "k_d", "minute_d", "second_d"]
+
+
+def _weather_like(spark, d):
+    ev = S.events_long(spark, d)
+    raw = io.read_table(spark, d, "events", ["event_id", "props"])
+    ev = ev.join(raw, "event_id")
+    return ev.select("event_id", "slot", "entity", "cls", "cls_id", "value",
+                     F.col("user_id").cast("double").alias("user_id_d"),
+                     F.get_json_object("props", "$.k").cast("double").alias("k_d"),
+                     F.minute("ts").cast("double").alias("minute_d"), F.second("ts").cast("double").alias("second_d"))
+
+
+@query("classify_entity")
+def q_classify_entity(spark, d):
+    ev = _weather_like(spark, d)
+    dup_keys = profile.duplicate_matrix(ev, "slot", "entity", E).select("slot")
+    out = None
+    for name in ("rf", "dt", "lr", "mlp"):
+        _, metrics, _ = WE.train_and_evaluate_classifier(ev, "slot", "entity", "click", _CLS_INPUTS, "cls", dup_keys,
+                                                         classifier=name, id_cols=["event_id"])
+        m = metrics.withColumn("classifier", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("predict_duplicates")
+def q_predict_duplicates(spark, d):
+    ev = _weather_like(spark, d)
+    dup_keys = profile.duplicate_matrix(ev, "slot", "entity", E).select("slot")
+    p = WE.predict_duplicates(ev, "slot", "entity", "view", _CLS_INPUTS, "cls", dup_keys, id_cols=["event_id"])
+    return p.select("event_id", "slot", "entity", "cls", "prediction", "predictedLabel")
+
+
+@query("resolve_weather")
+def q_resolve_weather(spark, d):
+    ev = _weather_like(spark, d)
+    _, merged = WE.resolve_duplicates(ev, "slot", "entity", E, _CLS_INPUTS, "cls", "cls_id", S.BAND_MIN_ID, "event_id")
+    return WE.wide_weather(merged.select("slot", "entity", "value", "cls"), "slot", "entity", E)
+
+
+# --- forecasting (rows-only: model outputs) -------------------------------------------------
+
+_FIXTURE_TREES = {"learning_rate": 0.07, "max_depth": 5, "n_estimators": 20}
+
+
+@query("forecast_trees")
+def q_forecast_trees(spark, d):
+    df = S.daily_features(spark, d)
+    aside = df.select("day", F.col("returns").alias("returns_aside"))
+    return FC.forecast_targets(df.drop("returns"), "day", {"price": "price_predicted", "quantity": "quantity_predicted"},
+                               2000, {"price": _FIXTURE_TREES, "quantity": _FIXTURE_TREES}, set_aside=aside)
+
+
+@query("cv_curve")
+def q_cv_curve(spark, d):
+    return FC.cv_curve(S.daily_features(spark, d), "day", "price", _FIXTURE_TREES, k=3, rounds=20, early_stop=10)
+
+
+@query("split_importance")
+def q_split_importance(spark, d):
+    return FC.split_importance(S.daily_features(spark, d), "day", "price", _FIXTURE_TREES, rounds=10)
+
+
+@query("tune_trees")
+def q_tune_trees(spark, d):
+    from wattframe.schemas import TREE_GRID
+    scores, _, _ = FC.tune_trees(S.daily_features(spark, d), "day", "price", TREE_GRID, folds=2, n_estimators=10,
+                                 test_year=2000)
+    return scores
+
+
+@query("forecast_from_history")
+def q_forecast_from_history(spark, d):
+    df = S.daily_features(spark, d)
+    pred, _ = FC.forecast_from_history(df, "day", "price", ["1999-01-01", "2000-01-01"], history=24,
+                                       unit_seconds=86400)
+    return pred
+
+
+@query("compare_models")
+def q_compare_models(spark, d):
+    df = S.daily_features(spark, d)
+    pred = FC.forecast_trees(df, "day", "price", 2000, _FIXTURE_TREES)
+    week_before = df.select(F.date_add(F.col("day").cast("date"), 7).cast("timestamp_ntz").alias("day"),
+                            F.col("price").alias("price_week_before"))
+    wide = pred.join(week_before, "day", "left")
+    rm, _ = FC.compare_models(wide, "day", {("trees", "price"): ("price", "price_predicted"),
+                                            ("published", "price"): ("price", "price_week_before")})
+    return rm
+
+
+@query("pca_variance")
+def q_pca_variance(spark, d):
+    from pyspark.ml.functions import array_to_vector
+    from wattframe.operators.features import fit_centred_pca
+    emb = io.read_table(spark, d, "embeddings").select("vec_id", array_to_vector(
+        F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    model = fit_centred_pca(emb, "features", "pca", 0.80)
+    from pyspark.ml.functions import vector_to_array
+    return model.transform(emb).select("vec_id", F.lit(model.k).alias("k"), vector_to_array("pca").alias("pca"))
+
+
 # --- contract -------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:

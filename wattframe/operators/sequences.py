@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def hour_index(df: DataFrame, ts_col: str, origin, unit_seconds: int = 3600, out_col: str = "idx") -> DataFrame:
     """Row index from time: whole units since ``origin`` (a gap-free calendar makes it positional)."""
     t = F.unix_seconds(F.col(ts_col).cast("timestamp"))
-    o = F.unix_seconds(F.lit(origin).cast("timestamp")) if not hasattr(origin, "_jc") else origin
+    o = F.unix_seconds((origin if hasattr(origin, "_jc") else F.lit(origin)).cast("timestamp"))
     return df.withColumn(out_col, F.floor((t - o) / F.lit(unit_seconds)).cast("long"))
 
 

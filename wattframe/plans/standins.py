@@ -76,15 +76,15 @@ def lineitem_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.col("l_shipdate").alias("day")).agg(
         F.sum("l_quantity").alias("quantity"),
         F.sum("l_extendedprice").alias("price"),
-        F.avg("l_discount").alias("discount"),
-        F.avg("l_tax").alias("tax"),
+        F.sum("l_discount").alias("discount"),
+        F.sum("l_tax").alias("tax"),
         F.count(F.lit(1)).cast("double").alias("lines"),
         F.count_if(F.col("l_returnflag") == "R").cast("double").alias("returns"))
 
 
 LINEITEM_DAILY_SQL = """
 SELECT l_shipdate AS day, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price,
-       avg(l_discount) AS discount, avg(l_tax) AS tax, CAST(count(*) AS DOUBLE) AS lines,
+       sum(l_discount) AS discount, sum(l_tax) AS tax, CAST(count(*) AS DOUBLE) AS lines,
        CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS returns
 FROM lineitem GROUP BY l_shipdate
 """
@@ -124,3 +124,31 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOURLY_EVENTS_SQL = """
 SELECT date_trunc('hour', ts) AS hour, CAST(count(*) AS DOUBLE) AS x, sum(value) AS y FROM events GROUP BY 1
 """
+
+# FIXED VALUES: energy-table stand-in (lineitem per day) and its weather-table stand-in (orders per
+# day and priority: the five priorities play the five cities)
+DAILY_KEEP = ["time", "quantity", "price", "discount", "tax", "lines", "returns"]
+DAILY_TOTALS = {"t_value": ["price", "quantity"], "t_rates": ["discount", "tax"], "t_all": ["t_value", "t_rates"]}
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+ORDER_MEASURES = ["o_totalprice", "o_orderstatus"]
+
+
+def offset_text(col):
+    return F.concat(F.date_format(col, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
+
+
+def daily_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lineitem_daily(spark, sf_dir)
+    return d.select(offset_text("day").alias("time"), *[c for c in DAILY_KEEP if c != "time"])
+
+
+def orders_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_orderpriority", *ORDER_MEASURES])
+    return o.select("o_orderkey", offset_text("o_orderdate").alias("dt_iso"),
+                    F.col("o_orderpriority").alias("priority"), *ORDER_MEASURES)
+
+
+def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem per day with calendar parts: the model-input stand-in (key ``day``)."""
+    from wattframe.operators.features import calendar_features
+    return calendar_features(lineitem_daily(spark, sf_dir), "day")
