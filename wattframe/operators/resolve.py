@@ -49,22 +49,25 @@ def select_predicted(df: DataFrame, key, class_col: str, id_col: str, pred_col:
     d = (df.withColumn("pred_min_id", id_map_column(id_map)[F.col(pred_col)])
          .withColumn("pred_min_id_diff", F.col(id_col) - F.col("pred_min_id")))
 
-    # level 1: peer groups (key, entity, class, diff) — size, first row, smallest id
-    has_diff = F.col("pred_min_id_diff").isNotNull()
-    peers = d.groupBy(*cls, has_diff.alias("_f"), F.coalesce("pred_min_id_diff", F.lit(0.0)).alias("_d")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct(F.col(row_id).alias("rid"), F.col(pred_col).alias("pred"))).alias("_first"),
-        F.min(id_col).alias("_minid"))
-    # level 2: per class — the first peer group (nulls first), its first row, class size
+    # Ordering key of the (key, entity, class) window: diff ascending, nulls first.  A null diff
+    # becomes -inf so every reduction below is a fixed-width min / min_by (hash aggregation with a
+    # map-side partial step) rather than a sort-based aggregation over structs.
+    okey = F.when(F.col("pred_min_id_diff").isNull(), F.lit(float("-inf"))).otherwise(F.col("pred_min_id_diff"))
+    match = F.coalesce(F.col(pred_col) == F.col(class_col), F.lit(False)).cast("int")
+    # level 1: peer groups (key, entity, class, diff) — size, first row id, whether that row's
+    # prediction equals its class, smallest id
+    peers = (d.withColumn("_ok", okey).withColumn("_m", match)
+             .groupBy(*cls, "_ok").agg(F.count(F.lit(1)).alias("_n"), F.min(row_id).alias("_rid"),
+                                       F.min_by("_m", F.col(row_id)).alias("_m"), F.min(id_col).alias("_minid")))
+    # level 2: per class — the first peer group, its first row, class size
     per_cls = peers.groupBy(*cls).agg(
-        F.min(F.struct("_f", "_d", "_n", "_first")).alias("_g"),
+        F.min_by("_n", "_ok").alias("_n1"), F.min_by("_rid", "_ok").alias("_rn1"),
+        F.min_by("_m", "_ok").alias("_m1"), F.min("_ok").alias("_ok1"),
         F.sum("_n").alias("_size"), F.min("_minid").alias("_minid"))
-    first_n = F.col("_g._n") if rule == "running" else F.col("_size")
-    sc1 = F.coalesce((F.col("_g._first.pred") == F.col(class_col)) & (first_n == 1), F.lit(False))
-    first_diff = F.when(F.col("_g._f"), F.col("_g._d"))
-    sc2 = F.coalesce((first_diff == 0) & ~sc1, F.lit(False))
-    per_cls = per_cls.select(*cls, F.col("_g._first.rid").alias("_rn1"), sc1.alias("_sc1"),
-                             sc2.alias("_sc2"), "_minid")
+    first_n = F.col("_n1") if rule == "running" else F.col("_size")
+    sc1 = (F.col("_m1") == 1) & (first_n == 1)
+    sc2 = (F.col("_ok1") == 0.0) & ~sc1
+    per_cls = per_cls.select(*cls, "_rn1", sc1.alias("_sc1"), sc2.alias("_sc2"), "_minid")
     # level 3: per (key, entity) — anything picked by 1/2? smallest id
     per_grp = per_cls.groupBy(*grp).agg(
         F.sum(F.col("_sc1").cast("int") + F.col("_sc2").cast("int")).alias("_s12"),
