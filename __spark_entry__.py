@@ -805,6 +805,24 @@ def q_pca_variance(spark, d):
     return model.transform(emb).select("vec_id", F.lit(model.k).alias("k"), vector_to_array("pca").alias("pca"))
 
 
+_EXPECT = {"hours": 720, "hour_entities": 3600, "complete_wide_rows": 720}
+
+
+@query("expected_counts", f"""WITH {EV},
+c AS (SELECT 'hours' AS "check", 720 AS expected, (SELECT count(DISTINCT hour) FROM e) AS actual
+  UNION ALL SELECT 'hour_entities', 3600, (SELECT count(*) FROM (SELECT DISTINCT hour, entity FROM e))
+  UNION ALL SELECT 'complete_wide_rows', 720, (SELECT count(*) FROM (SELECT hour FROM e GROUP BY hour
+    HAVING count(DISTINCT entity) = {len(E)})))
+SELECT "check", CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual, expected = actual AS ok FROM c""")
+def q_expected_counts(spark, d):
+    ev = S.events_long(spark, d)
+    wide = reshape.to_wide(ev.select("hour", "entity", "value"), "hour", "entity", E, ["value"], agg="min")
+    complete = impute.drop_incomplete(wide)
+    return report.expectation_table({"hours": ev.select("hour").distinct(),
+                                     "hour_entities": ev.select("hour", "entity").distinct(),
+                                     "complete_wide_rows": complete}, _EXPECT)
+
+
 # --- contract -------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -24,6 +24,25 @@ def trailing_period(df: DataFrame, ts_col: str, period: str) -> DataFrame:
     return df.filter(F.col(ts_col) > newest - F.expr(f"INTERVAL {period}"))
 
 
+def history_long(curve: DataFrame, model: str, round_col: str = "round") -> DataFrame:
+    """Learning curve (one row per round, one column per metric) → (model, round, metric, value)."""
+    metrics = [c for c in curve.columns if c != round_col]
+    return curve.unpivot([round_col], metrics, "metric", "value").select(
+        F.lit(model).alias("model"), round_col, "metric", "value")
+
+
+def expectation_table(counts: dict, expected: dict) -> DataFrame:
+    """(check, expected, actual, ok) for named row counts — ``counts`` maps a name to a DataFrame
+    whose rows are counted (each a scalar subquery; nothing is collected row by row)."""
+    first = None
+    for name, df in counts.items():
+        row = df.sparkSession.range(1).select(
+            F.lit(name).alias("check"), F.lit(int(expected[name])).cast("long").alias("expected"),
+            df.select(F.count(F.lit(1))).scalar().alias("actual"))
+        first = row if first is None else first.unionByName(row)
+    return first.withColumn("ok", F.col("expected") == F.col("actual"))
+
+
 TRAILING_PERIODS = {"1w": "7 days", "1m": "1 months", "3m": "3 months", "6m": "6 months", "1y": "1 years"}
 
 
@@ -43,4 +62,4 @@ def flatten_json(spark, path: str, schema, rename: dict | None = None, keep=None
     return df.select(*(order or sorted(df.columns)))
 
 
-__all__ = ["top_k_per_group", "trailing_period", "TRAILING_PERIODS", "entity_daily_metric", "flatten_json"]
+__all__ = ["history_long", "expectation_table", "top_k_per_group", "trailing_period", "TRAILING_PERIODS", "entity_daily_metric", "flatten_json"]

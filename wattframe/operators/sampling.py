@@ -12,7 +12,7 @@ from wattframe.functions.time import year_range
 
 
 def balanced_sample(df: DataFrame, class_col: str, n: int = 100, id_cols: list[str] | None = None,
-                    seed: int = 42, keep_helpers: bool = False) -> DataFrame:
+                    seed: int = 42, keep_helpers: bool = False, by: list[str] | None = None) -> DataFrame:
     """At most ``n`` rows per class, chosen by a hash of ``id_cols`` (repeatable).
 
     ``dense_rank <= n`` over (class ordered by hash desc, id) is planned by Spark as a partial
@@ -22,7 +22,7 @@ def balanced_sample(df: DataFrame, class_col: str, n: int = 100, id_cols: list[s
     if class_col not in df.columns:
         raise ValueError(f"{class_col!r} is not a column of the frame")
     ids = id_cols or [c for c in df.columns if c != class_col]
-    w = Window.partitionBy(class_col).orderBy(F.col("unif").desc(), *[F.col(c) for c in ids])
+    w = Window.partitionBy(*(by or []), class_col).orderBy(F.col("unif").desc(), *[F.col(c) for c in ids])
     out = (df.withColumn("unif", stable_order_key(ids, seed))
            .withColumn("cat_rank", F.dense_rank().over(w))
            .filter(F.col("cat_rank") <= n))

@@ -24,7 +24,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.feature import IndexToString, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, Normalizer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,23 +114,58 @@ def train_and_evaluate_classifier(df: DataFrame, key, entity: str, value: str, i
     return pred, metrics, direction
 
 
+def label_orders(rows: DataFrame, entity: str, label_col: str) -> dict[str, list[str]]:
+    """Per entity, labels by frequency (desc) then label (asc) — StringIndexer's order — from one
+    grouped count over all entities (entities × classes rows reach the driver)."""
+    counts = rows.groupBy(entity, label_col).agg(F.count(F.lit(1)).alias("n")).collect()
+    out: dict[str, list] = {}
+    for r in counts:
+        if r[label_col] is not None:
+            out.setdefault(r[entity], []).append((-r["n"], r[label_col]))
+    return {e: [lab for _, lab in sorted(v)] for e, v in out.items()}
+
+
+def _fit_from_sample(sample: DataFrame, labels: list[str], inputs: list[str], label_col: str,
+                     classifier: str, seed: int) -> PipelineModel:
+    indexer = StringIndexerModel.from_labels(labels, inputCol=label_col, outputCol="label", handleInvalid="keep")
+    stages = [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), indexer,
+              make_classifier(classifier, len(inputs), len(labels), seed),
+              IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=labels)]
+    return Pipeline(stages=stages).fit(sample)
+
+
 def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inputs: list[str],
                        label_col: str, id_col: str, id_map: dict, row_id: str, classifier: str = "rf",
                        cap: int = BALANCED_CAP, seed: int = 42, rule: str = "running",
                        parallelism: int | None = None, fill_features: float | None = 0.0):
     """Returns ``(selected, merged)``: the flagged predictions of every repeated row, and the long
-    table with one resolved row per (key, entity) wherever the selector kept one."""
+    table with one resolved row per (key, entity) wherever the selector kept one.
+
+    The number of passes over ``df`` does not grow with the number of entities: repeated keys, clean
+    rows, repeated rows, the per-(entity, class) balanced samples and the label orders are each one
+    pass for all entities.  Only fitting (on ≤ ``cap`` rows per class) and predicting (on that
+    entity's repeated rows) are per entity, run concurrently.
+    """
     ks = _keys(key)
     dup_keys = duplicate_matrix(df, ks, entity, entities).select(*ks)
-    dup_keys = dup_keys.persist(StorageLevel.MEMORY_AND_DISK)
+    clean = clean_rows(df, ks, dup_keys).filter(F.col(entity).isin(list(entities))).na.drop(subset=inputs)
+    repeated = repeated_rows(df, ks, entity).filter(F.col(entity).isin(list(entities)))
+    if fill_features is not None:
+        repeated = repeated.na.fill(fill_features, subset=inputs)
+    samples = balanced_sample(clean, label_col, cap, [row_id], seed, by=[entity])
+    samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
+    repeated = repeated.persist(StorageLevel.MEMORY_AND_DISK)
+    labels = label_orders(clean, entity, label_col)
 
     def one(value):
-        p = predict_duplicates(df, ks, entity, value, inputs, label_col, dup_keys, classifier, cap,
-                               [row_id], seed, fill_features)
-        return p.select(*df.columns, "predictedLabel")
-
-    with ThreadPoolExecutor(max_workers=parallelism or len(entities)) as pool:
-        parts = list(pool.map(one, entities))
+        if value not in labels:
+            return None
+        model = _fit_from_sample(samples.filter(F.col(entity) == value), labels[value], inputs, label_col,
+                                 classifier, seed)
+        return model.transform(repeated.filter(F.col(entity) == value)).select(*df.columns, "predictedLabel")
+
+    with ThreadPoolExecutor(max_workers=parallelism or max(1, len(entities))) as pool:
+        parts = [p for p in pool.map(one, entities) if p is not None]
     preds = reduce(lambda a, b: a.unionByName(b), parts)
     selected = select_predicted(preds, ks, label_col, id_col, "predictedLabel", id_map, row_id,
                                 entity=entity, rule=rule)
@@ -145,4 +180,4 @@ def wide_weather(merged: DataFrame, key, entity: str, entities: list[str],
 
 
 __all__ = ["make_classifier", "clean_rows", "repeated_rows", "fit_class_model", "predict_duplicates",
-           "train_and_evaluate_classifier", "resolve_duplicates", "wide_weather"]
+           "train_and_evaluate_classifier", "label_orders", "resolve_duplicates", "wide_weather"]

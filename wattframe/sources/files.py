@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True,
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None, header: bool = True,
              **options) -> DataFrame:
-    r = spark.read.schema(schema).option("header", header)
+    """CSV scan.  ``schema=None`` infers types (an extra pass over the file — exploration only)."""
+    r = spark.read.option("header", header)
+    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     for k, v in options.items():
         r = r.option(k, v)
     return r.csv(path)
@@ -67,3 +69,23 @@ def run_sql(spark: SparkSession, query: str, **views: DataFrame) -> DataFrame:
     """Register ``views`` then run ``query`` (parsed, analysed and optimised by Catalyst)."""
     register_views(**views)
     return spark.sql(query)
+
+
+def save_model(model, path: str) -> str:
+    """Persist a fitted Spark ML model / pipeline (to the shared folder)."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str):
+    """Load a model saved with ``save_model`` (pipeline or single model)."""
+    from pyspark.ml import PipelineModel
+    try:
+        return PipelineModel.load(path)
+    except Exception:  # not a pipeline: read the class from the metadata
+        import json
+        spark = SparkSession.getActiveSession()
+        meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        module, _, cls = meta["class"].replace("org.apache.spark.ml", "pyspark.ml").rpartition(".")
+        import importlib
+        return getattr(importlib.import_module(module), cls).load(path)
