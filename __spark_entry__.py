@@ -694,7 +694,18 @@ def q_energy_weather_table(spark, d):
                     F.col("date_time").cast("timestamp_ntz").alias("date_time"))
 
 
-@query("energy_weather_quality")
+def _quality_before_after_sql() -> str:
+    P, M = S.PRIORITIES, S.ORDER_MEASURES
+    ww = ", ".join(f"min(CASE WHEN o_orderpriority = '{p}' THEN {m} END) AS {m}_{i}" for i, p in enumerate(P) for m in M)
+    anynull = " OR ".join(f"{m}_{i} IS NULL" for i in range(len(P)) for m in M)
+    strnull = " OR ".join(f"o_orderstatus_{i} IS NULL" for i in range(len(P)))
+    return f"""WITH ww AS (SELECT o_orderdate AS day, {ww} FROM orders GROUP BY o_orderdate),
+d AS (SELECT DISTINCT l_shipdate AS day FROM lineitem), j AS (SELECT ww.* FROM ww JOIN d ON ww.day = d.day)
+SELECT count(*) FILTER (WHERE {anynull}) AS rows_with_null_before,
+  count(*) FILTER (WHERE {strnull}) AS rows_with_null_after FROM j"""
+
+
+@query("energy_weather_quality", _quality_before_after_sql())
 def q_energy_weather_quality(spark, d):
     before = _energy_weather(spark, d, impute=False)
     return EN.null_report(before, _energy_weather(spark, d))
