@@ -425,7 +425,7 @@ _NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("means_and_std", "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS series, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, count({c}) AS n FROM lineitem"
+    f"SELECT '{c}' AS series, avg({c}) AS mean, stddev_samp({c}) AS std, count({c}) AS n FROM lineitem"
     for c in _NUMS))
 def q_means_and_std(spark, d):
     li = io.read_table(spark, d, "lineitem")
@@ -458,13 +458,12 @@ def q_rmse_matrix(spark, d):
 
 
 @query("impute_means", f"""WITH g AS ({S.LINEITEM_GAPS_SQL})
-SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, avg(l_quantity) OVER ()), 4) AS l_quantity,
-  round(coalesce(l_discount, avg(l_discount) OVER ()), 4) AS l_discount, l_tax FROM g""")
+SELECT l_orderkey, l_linenumber, coalesce(l_quantity, avg(l_quantity) OVER ()) AS l_quantity,
+  coalesce(l_discount, avg(l_discount) OVER ()) AS l_discount, l_tax FROM g""")
 def q_impute_means(spark, d):
     g = S.lineitem_with_gaps(spark, d)
     out = impute.impute_means(g)
-    return out.select("l_orderkey", "l_linenumber", F.round("l_quantity", 4).alias("l_quantity"),
-                      F.round("l_discount", 4).alias("l_discount"), "l_tax")
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
 
 
 @query("drop_nulls", f"""SELECT l_orderkey, l_linenumber FROM ({S.LINEITEM_GAPS_SQL})
@@ -564,13 +563,13 @@ m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM h WHERE
 {body}"""
 
 
-@query("minmax_scale", _minmax_sql("""SELECT hour, round((x - x0) / (x1 - x0), 6) AS x_scaled,
-  round((y - y0) / (y1 - y0), 6) AS y_scaled FROM h, m"""))
+@query("minmax_scale", _minmax_sql("""SELECT hour, (x - x0) / (x1 - x0) AS x_scaled,
+  (y - y0) / (y1 - y0) AS y_scaled FROM h, m"""))
 def q_minmax_scale(spark, d):
     h = S.hourly_events(spark, d)
     model = fit_minmax(h.filter(F.col("hour") < F.lit(_TRAIN_END).cast("timestamp_ntz")), ["x", "y"])
     out = model.transform(h, suffix="_scaled")
-    return out.select("hour", F.round("x_scaled", 6).alias("x_scaled"), F.round("y_scaled", 6).alias("y_scaled"))
+    return out.select("hour", "x_scaled", "y_scaled")
 
 
 @query("minmax_inverse", _minmax_sql("""SELECT hour, round(y, 4) AS y_back,
@@ -609,10 +608,10 @@ per AS (SELECT coalesce(tp.c, pp.c) AS c, coalesce(tp, 0) AS tp, coalesce(n_labe
 m AS (SELECT c, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS p,
              CASE WHEN n_label > 0 THEN tp / n_label ELSE 0.0 END AS r FROM per),
 tot AS (SELECT sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS hits, sum(n) AS rows FROM cm),
-acc AS (SELECT round(hits / rows, 6) AS a, round(2 * (rows - hits) / (rows * (SELECT count(*) FROM per)), 6) AS h FROM tot)
-SELECT c AS label, 'precision' AS metric, round(p, 6) AS value FROM m
-UNION ALL SELECT c, 'recall', round(r, 6) FROM m
-UNION ALL SELECT c, 'f1', round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) FROM m
+acc AS (SELECT hits / rows AS a, 2 * (rows - hits) / (rows * (SELECT count(*) FROM per)) AS h FROM tot)
+SELECT c AS label, 'precision' AS metric, p AS value FROM m
+UNION ALL SELECT c, 'recall', r FROM m
+UNION ALL SELECT c, 'f1', CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END FROM m
 UNION ALL SELECT 'ALL', unnest(['accuracy', 'precision', 'recall', 'f1', 'micro_precision', 'micro_recall', 'micro_f1',
   'subset_accuracy', 'hamming_loss']), unnest([a, a, a, a, a, a, a, a, h]) FROM acc"""
 
@@ -649,7 +648,7 @@ def q_trailing_period(spark, d):
     return reshape.to_long(t, ["event_id", "ts"], ["value", "user_id"])
 
 
-@query("entity_daily_metric", """SELECT event_type AS entity, CAST(ts AS DATE) AS date, round(avg(value), 4) AS avg_value
+@query("entity_daily_metric", """SELECT event_type AS entity, CAST(ts AS DATE) AS date, avg(value) AS avg_value
 FROM events GROUP BY 1, 2""")
 def q_entity_daily_metric(spark, d):
     ev = S.events_long(spark, d)
@@ -669,7 +668,7 @@ def _energy_weather_sql() -> str:
     wcols = [(m, p, normalise_name(f"{m}_{p}")) for p in P for m in M]
     ww = ", ".join(f"min(CASE WHEN o_orderpriority = '{p}' THEN {m} END) AS \"{n}\"" for m, p, n in wcols)
     base = ["quantity", "price", "discount", "tax", "lines", "returns", "t_value", "t_rates", "t_all"]
-    imp = lambda c: f"round(coalesce(\"{c}\", avg(\"{c}\") OVER ()), 4) AS \"{c}\""
+    imp = lambda c: f"coalesce(\"{c}\", avg(\"{c}\") OVER ()) AS \"{c}\""
     wsel = ", ".join(imp(n) if m == "o_totalprice" else f"\"{n}\"" for m, p, n in wcols)
     return f"""WITH d AS ({S.LINEITEM_DAILY_SQL}),
 en AS (SELECT strftime(day, '%Y-%m-%d %H:%M:%S') || '+00:00' AS time, quantity, price, discount, tax, lines, returns,
@@ -689,9 +688,7 @@ def _energy_weather(spark, d, impute=True):
 @query("energy_weather_table", _energy_weather_sql())
 def q_energy_weather_table(spark, d):
     t = _energy_weather(spark, d)
-    types = dict(t.dtypes)
-    return t.select(*[F.round(c, 4).alias(c) if types[c] == "double" else F.col(c) for c in t.columns if c != "date_time"],
-                    F.col("date_time").cast("timestamp_ntz").alias("date_time"))
+    return t.withColumn("date_time", F.col("date_time").cast("timestamp_ntz"))
 
 
 def _quality_before_after_sql() -> str:

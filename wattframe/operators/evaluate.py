@@ -47,11 +47,15 @@ def rmse_matrix(long: DataFrame, group=("model", "target"), actual: str = "actua
                                 F.count_if(~both).alias("n_null_pairs"))
 
 
-def mean_std_matrix(long: DataFrame, group=("series",), value: str = "value", digits: int = 4) -> DataFrame:
-    """Mean and sample standard deviation per group (nulls skipped), rounded."""
+def _round(c: Column, digits: int | None) -> Column:
+    return c if digits is None else F.round(c, digits)
+
+
+def mean_std_matrix(long: DataFrame, group=("series",), value: str = "value", digits: int | None = None) -> DataFrame:
+    """Mean and sample standard deviation per group (nulls skipped), optionally rounded."""
     g = list(group)
-    return long.groupBy(*g).agg(F.round(F.avg(value), digits).alias("mean"),
-                                F.round(F.stddev_samp(value), digits).alias("std"),
+    return long.groupBy(*g).agg(_round(F.avg(value), digits).alias("mean"),
+                                _round(F.stddev_samp(value), digits).alias("std"),
                                 F.count(value).alias("n"))
 
 
@@ -67,7 +71,7 @@ def confusion(pred: DataFrame, label: str, prediction: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def classification_metrics(pred: DataFrame, label: str, prediction: str, digits: int = 6) -> DataFrame:
+def classification_metrics(pred: DataFrame, label: str, prediction: str, digits: int | None = None) -> DataFrame:
     """Per-label precision / recall / F1 and overall accuracy, micro P/R/F1, Hamming loss and
     subset accuracy, for one label and one prediction per row (long form: metric, label, value).
 
@@ -83,18 +87,16 @@ def classification_metrics(pred: DataFrame, label: str, prediction: str, digits:
     rec = F.when(F.col("n_label") > 0, F.col("tp") / F.col("n_label")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
     per_label = per.select(F.col("cls").cast("string").alias("label"),
-                           F.round(prec, digits).alias("precision"), F.round(rec, digits).alias("recall"),
-                           F.round(f1, digits).alias("f1"))
+                           _round(prec, digits).alias("precision"), _round(rec, digits).alias("recall"),
+                           _round(f1, digits).alias("f1"))
     per_label_long = per_label.unpivot(["label"], ["precision", "recall", "f1"], "metric", "value")
     tot = cm.agg(F.sum(hit).alias("hits"), F.sum("n").alias("rows"))
     n_labels = per.select(F.count(F.lit(1))).scalar()
     acc = F.col("hits") / F.col("rows")
     overall = tot.select(
-        F.round(acc, digits).alias("accuracy"), F.round(acc, digits).alias("precision"),
-        F.round(acc, digits).alias("recall"), F.round(acc, digits).alias("f1"),
-        F.round(acc, digits).alias("micro_precision"), F.round(acc, digits).alias("micro_recall"),
-        F.round(acc, digits).alias("micro_f1"), F.round(acc, digits).alias("subset_accuracy"),
-        F.round(2 * (F.col("rows") - F.col("hits")) / (F.col("rows") * n_labels), digits).alias("hamming_loss"))
+        *[_round(acc, digits).alias(m) for m in ("accuracy", "precision", "recall", "f1", "micro_precision",
+                                                 "micro_recall", "micro_f1", "subset_accuracy")],
+        _round(2 * (F.col("rows") - F.col("hits")) / (F.col("rows") * n_labels), digits).alias("hamming_loss"))
     overall_long = overall.unpivot([], overall.columns, "metric", "value").select(
         F.lit("ALL").alias("label"), "metric", "value")
     return per_label_long.select("label", "metric", "value").unionByName(overall_long)

@@ -46,10 +46,11 @@ def expectation_table(counts: dict, expected: dict) -> DataFrame:
 TRAILING_PERIODS = {"1w": "7 days", "1m": "1 months", "3m": "3 months", "6m": "6 months", "1y": "1 years"}
 
 
-def entity_daily_metric(df: DataFrame, ts_col: str, entity: str, metric: str, digits: int = 4) -> DataFrame:
-    """Daily mean of ``metric`` per entity."""
+def entity_daily_metric(df: DataFrame, ts_col: str, entity: str, metric: str, digits: int | None = None) -> DataFrame:
+    """Daily mean of ``metric`` per entity (optionally rounded)."""
+    m = F.avg(metric)
     return df.groupBy(F.col(entity), F.to_date(ts_col).alias("date")).agg(
-        F.round(F.avg(metric), digits).alias(f"avg_{metric}"))
+        (m if digits is None else F.round(m, digits)).alias(f"avg_{metric}"))
 
 
 def flatten_json(spark, path: str, schema, rename: dict | None = None, keep=None, order=None) -> DataFrame:
