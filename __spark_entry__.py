@@ -21,6 +21,7 @@ from wattframe.operators import profile, resolve, reshape, sampling  # noqa: E40
 from wattframe.operators.features import calendar_features  # noqa: E402
 from wattframe.operators.joins import semi_join  # noqa: E402
 from wattframe.plans import standins as S  # noqa: E402
+from wattframe.session import configure  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -30,7 +31,11 @@ _SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        _QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql
         return fn
@@ -835,7 +840,7 @@ def q_expected_counts(spark, d):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: hour × entity duplicate matrix over the smoke tables."""
-    return q_duplicate_matrix(spark, SMOKE_DIR)
+    return _QUERIES["duplicate_matrix"](spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,8 +29,18 @@ def parse_offset_timestamp(col, pattern: str = OFFSET_PATTERN, ntz: bool = True)
 
 
 def hour_key(col, unit: str = "hour") -> Column:
-    """Truncate a timestamp to ``unit`` and keep it ``timestamp_ntz``."""
-    return F.date_trunc(unit, _c(col)).cast("timestamp_ntz")
+    """Truncate a ``timestamp_ntz`` wall clock to ``unit`` (``day``/``hour``/``minute``), zone-free.
+
+    Built from the wall-clock fields, so the result does not depend on the session time zone (a
+    round trip through a zoned timestamp would shift times that fall in a DST gap).
+    """
+    c = _c(col)
+    parts = {"day": (F.lit(0), F.lit(0)), "hour": (F.lit(0), F.lit(0)), "minute": (F.minute(c), F.lit(0))}
+    if unit not in parts:
+        return F.date_trunc(unit, c).cast("timestamp_ntz")
+    mi, se = parts[unit]
+    hr = F.lit(0) if unit == "day" else F.hour(c)
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), hr, mi, se)
 
 
 def calendar_parts(col, as_double: bool = True) -> dict[str, Column]:

@@ -54,6 +54,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+RUNTIME_CONF = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled",
+                "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.enabled")
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the library's runtime SQL settings to a session someone else built (idempotent)."""
+    for k in RUNTIME_CONF:
+        if spark.conf.get(k, None) != DEFAULT_CONF[k]:
+            spark.conf.set(k, DEFAULT_CONF[k])
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set one only where the cluster did not."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -84,4 +97,4 @@ def local_path(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") else p
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "local_path"]
+__all__ = ["get_session", "configure", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "local_path"]
