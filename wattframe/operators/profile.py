@@ -97,21 +97,26 @@ def any_missing(df: DataFrame, cols: list[str] | None = None) -> Column:
 
 def quality_checks(df: DataFrame, key, entity: str | None = None, entities: list[str] | None = None,
                    expected_keys: int | None = None, duplicates: DataFrame | None = None) -> DataFrame:
-    """One-row data-quality report in a single aggregation pass.
+    """One-row data-quality report.
 
     n_rows, n_rows_with_null (what ``na.drop`` would remove), n_keys, n_key_entity, expected rows
     (keys × entities), complete flag, per-entity row counts and — when a duplicate table is given —
-    the share of expected keys that are duplicated, as text ``"12.34%"``.
+    the share of keys that are duplicated, as text ``"12.34%"``.
+
+    Rows are first reduced to one row per (key, entity) with partial aggregation; the distinct
+    counts then run on that reduced table instead of expanding every input row.
     """
     ks = _keys(key)
-    aggs = [F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(any_missing(df)).alias("n_rows_with_null"),
+    grp = ks + ([entity] if entity else [])
+    per = df.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"), F.count_if(any_missing(df)).alias("_nn"))
+    aggs = [F.sum("_n").cast("long").alias("n_rows"), F.sum("_nn").cast("long").alias("n_rows_with_null"),
             F.count_distinct(*ks).alias("n_keys")]
     if entity:
-        aggs.append(F.count_distinct(*ks, entity).alias("n_key_entity"))
+        aggs.append(F.count(F.lit(1)).alias("n_key_entity"))
         for e in entities or []:
-            aggs.append(F.count_if(F.col(entity) == F.lit(e)).alias(f"n_{e}"))
-    out = df.agg(*aggs)
+            aggs.append(F.coalesce(F.sum(F.when(F.col(entity) == F.lit(e), F.col("_n"))), F.lit(0))
+                        .cast("long").alias(f"n_{e}"))
+    out = per.agg(*aggs)
     n_ent = len(entities) if entities else 1
     out = out.withColumn("expected_rows", (F.col("n_keys") * F.lit(n_ent)).cast("long"))
     out = out.withColumn("complete", F.col("n_rows") == F.col("expected_rows"))

@@ -64,13 +64,13 @@ def shuffled_folds(id_cols: list[str], k: int = 3, seed: int = 123) -> Column:
 def contiguous_folds(df: DataFrame, ts_col: str, k: int = 2) -> Column:
     """Unshuffled k-fold: k equal time spans between min and max of ``ts_col``.
 
-    Min and max come in as scalar subqueries (one small aggregate each), so the assignment stays a
+    Min and max come in as one scalar subquery (one small aggregate), so the assignment stays a
     per-row expression — no global window, no row numbering on one task.  On a gap-free hourly
     calendar equal spans are equal row counts.
     """
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    lo = df.select(F.min(F.unix_micros(F.col(ts_col).cast("timestamp")))).scalar()
-    hi = df.select(F.max(F.unix_micros(F.col(ts_col).cast("timestamp")))).scalar()
+    bounds = df.select(F.struct(F.min(t).alias("lo"), F.max(t).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     span = hi - lo + F.lit(1)
     return F.least(F.floor((t - lo) * F.lit(k) / span), F.lit(k - 1)).cast("int")
 
