@@ -433,9 +433,7 @@ _NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     f"SELECT '{c}' AS series, avg({c}) AS mean, stddev_samp({c}) AS std, count({c}) AS n FROM lineitem"
     for c in _NUMS))
 def q_means_and_std(spark, d):
-    li = io.read_table(spark, d, "lineitem")
-    return evaluate.mean_std_matrix(reshape.to_long(li.select("l_orderkey", "l_linenumber", *_NUMS),
-                                                    ["l_orderkey", "l_linenumber"], _NUMS))
+    return evaluate.mean_std_wide(io.read_table(spark, d, "lineitem", _NUMS), _NUMS)
 
 
 _PAIRS = {("gross", "price"): ("l_extendedprice", "p_gross"), ("net", "price"): ("l_extendedprice", "p_net"),
@@ -459,7 +457,7 @@ def _rmse_sql() -> str:
 def q_rmse_matrix(spark, d):
     li = io.read_table(spark, d, "lineitem")
     li = li.withColumns({k: F.expr(v) for k, v in _PRED_COLS.items()})
-    return evaluate.rmse_matrix(evaluate.stack_predictions(li, ["l_orderkey", "l_linenumber"], _PAIRS))
+    return evaluate.rmse_wide(li, _PAIRS)
 
 
 @query("impute_means", f"""WITH g AS ({S.LINEITEM_GAPS_SQL})

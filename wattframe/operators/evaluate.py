@@ -59,6 +59,31 @@ def mean_std_matrix(long: DataFrame, group=("series",), value: str = "value", di
                                 F.count(value).alias("n"))
 
 
+def rmse_wide(df: DataFrame, pairs: dict, digits: int = 4) -> DataFrame:
+    """RMSE per (model, target) straight from a wide prediction table: one aggregation pass with one
+    expression per pair (no row expansion), then the single result row is reshaped to long form."""
+    aggs, entries = [], []
+    for i, ((model, target), (a, p)) in enumerate(pairs.items()):
+        both = F.col(a).isNotNull() & F.col(p).isNotNull()
+        aggs += [F.round(F.sqrt(F.avg(F.when(both, F.pow(F.col(a) - F.col(p), 2)))), digits).alias(f"r{i}"),
+                 F.count_if(both).alias(f"n{i}"), F.count_if(~both).alias(f"z{i}")]
+        entries.append((F.lit(model), F.lit(target), F.col(f"r{i}"), F.col(f"n{i}"), F.col(f"z{i}")))
+    one = df.agg(*aggs)
+    names = ["model", "target", "rmse", "n_pairs", "n_null_pairs"]
+    return one.select(F.inline(F.array(*[F.struct(*[v.alias(n) for v, n in zip(e, names)]) for e in entries])))
+
+
+def mean_std_wide(df: DataFrame, cols: list[str], series_col: str = "series") -> DataFrame:
+    """Mean, sample std and count of each column in one aggregation pass (no unpivot of the rows)."""
+    aggs, entries = [], []
+    for i, c in enumerate(cols):
+        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"), F.count(c).alias(f"n{i}")]
+        entries.append((F.lit(c), F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"n{i}")))
+    one = df.agg(*aggs)
+    names = [series_col, "mean", "std", "n"]
+    return one.select(F.inline(F.array(*[F.struct(*[v.alias(n) for v, n in zip(e, names)]) for e in entries])))
+
+
 def error_direction(pred: DataFrame, label_idx: str, pred_idx: str, class_col: str) -> DataFrame:
     """Rows per (sign of prediction − label, class): ``pos_diff`` / ``neg_diff`` / ``same``."""
     diff = F.col(pred_idx) - F.col(label_idx)
@@ -102,5 +127,5 @@ def classification_metrics(pred: DataFrame, label: str, prediction: str, digits:
     return per_label_long.select("label", "metric", "value").unionByName(overall_long)
 
 
-__all__ = ["rmse_column", "stack_predictions", "rmse_matrix", "mean_std_matrix", "error_direction",
+__all__ = ["rmse_column", "stack_predictions", "rmse_matrix", "rmse_wide", "mean_std_matrix", "mean_std_wide", "error_direction",
            "confusion", "classification_metrics"]

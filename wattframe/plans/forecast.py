@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattframe.functions.columns import columns_of_type
-from wattframe.operators.evaluate import mean_std_matrix, rmse_matrix, stack_predictions
+from wattframe.operators.evaluate import mean_std_wide, rmse_wide
 from wattframe.operators.features import fit_centred_pca, fit_minmax
 from wattframe.operators.sampling import contiguous_folds, shuffled_folds, time_split_label, year_split
 from wattframe.operators.sequences import build_sequences, hour_index
@@ -221,13 +221,10 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
 def compare_models(preds: DataFrame, key, pairs: dict, series: dict | None = None):
     """(RMSE matrix, mean/std matrix).  ``pairs``: {(model, target): (actual, predicted)};
     ``series``: {name: column} whose mean and std are reported (defaults to every column in pairs)."""
-    ks = [key] if isinstance(key, str) else list(key)
-    long = stack_predictions(preds, ks, pairs)
-    rm = rmse_matrix(long)
+    rm = rmse_wide(preds, pairs)
     series = series or {c: c for pair in pairs.values() for c in pair}
-    ms_long = preds.select(*ks, *[F.col(c).cast("double").alias(n) for n, c in series.items()]).unpivot(
-        ks, list(series), "series", "value")
-    return rm, mean_std_matrix(ms_long)
+    wide = preds.select(*[F.col(c).cast("double").alias(n) for n, c in series.items()])
+    return rm, mean_std_wide(wide, list(series))
 
 
 __all__ = ["feature_columns", "gbt", "forecast_trees", "forecast_targets", "cv_curve", "split_importance",

@@ -166,7 +166,8 @@ def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inp
 
     with ThreadPoolExecutor(max_workers=parallelism or max(1, len(entities))) as pool:
         parts = [p for p in pool.map(one, entities) if p is not None]
-    preds = reduce(lambda a, b: a.unionByName(b), parts)
+    # model output is read by both sides of the selector (aggregates and join back): compute it once
+    preds = reduce(lambda a, b: a.unionByName(b), parts).persist(StorageLevel.MEMORY_AND_DISK)
     selected = select_predicted(preds, ks, label_col, id_col, "predictedLabel", id_map, row_id,
                                 entity=entity, rule=rule)
     kept = selected.filter(F.col("select_flag") == 1).select(*df.columns)
