@@ -788,11 +788,19 @@ def q_tune_trees(spark, d):
 @query("forecast_from_history")
 def q_forecast_from_history(spark, d):
     df = S.daily_features(spark, d)
-    pred, _ = FC.forecast_from_history(df, "day", "price", ["1999-01-01", "2000-01-01"], history=24,
-                                       unit_seconds=86400)
+    pred, _, _ = FC.forecast_from_history(df, "day", "price", ["1999-01-01", "2000-01-01"], history=24,
+                                          unit_seconds=86400)
     return pred
 
 
+@query("history_curve")
+def q_history_curve(spark, d):
+    df = S.daily_features(spark, d)
+    _, _, history = FC.forecast_from_history(df, "day", "price", ["1999-01-01", "2000-01-01"], history=24,
+                                             unit_seconds=86400, model="gbt", max_iter=20)
+    return history
+
+
 @query("compare_models")
 def q_compare_models(spark, d):
     df = S.daily_features(spark, d)

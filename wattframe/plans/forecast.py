@@ -83,8 +83,21 @@ def forecast_targets(df: DataFrame, ts_col: str, targets: dict, test_year: int,
     return out
 
 
+def _scope(df: DataFrame, ts_col: str, fit_scope: str, test_year: int | None) -> DataFrame:
+    """``"all"`` fits on every row (as the source does, test year included); ``"train"`` leaves the
+    test year out."""
+    if fit_scope not in ("all", "train"):
+        raise ValueError("fit_scope must be 'all' or 'train'")
+    if fit_scope == "train":
+        if test_year is None:
+            raise ValueError("fit_scope='train' needs test_year")
+        return year_split(df, ts_col, test_year)[0]
+    return df
+
+
 def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3, rounds: int = 50,
-             early_stop: int = 10, seed: int = 123, key_cols: list[str] | None = None) -> DataFrame:
+             early_stop: int = 10, seed: int = 123, key_cols: list[str] | None = None,
+             fit_scope: str = "all", test_year: int | None = None) -> DataFrame:
     """Per boosting round: mean / std (population) of train and test RMSE over shuffled k folds.
 
     Each fold is one distributed fit; ``evaluateEachIteration`` gives the loss after every round in
@@ -92,6 +105,7 @@ def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3,
     without improvement.
     """
     spark = df.sparkSession
+    df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
     folded = df.withColumn("_fold", shuffled_folds(key_cols or [ts_col], k, seed))
     asm = _assembler(cols)
@@ -120,13 +134,15 @@ def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3,
     return curve.filter(F.col("round") <= best)
 
 
-def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, rounds: int = 10) -> DataFrame:
+def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, rounds: int = 10,
+                     fit_scope: str = "all", test_year: int | None = None) -> DataFrame:
     """(feature, split_count, gain_importance) of a ``rounds``-tree model fitted on all rows.
 
     The split count is read from the saved model's node table (one row per node; internal nodes have
     a left child) with a grouped count — no tree is walked on the driver.
     """
     spark = df.sparkSession
+    df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
     model = gbt(target, **dict(params, n_estimators=rounds)).fit(_assembler(cols).transform(df))
     path = scratch_path(spark, "models", "gbt")
@@ -183,8 +199,8 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
 
     Rows get a split label by time (train / validation / test); scalers and PCA are fitted on train;
     each row's vector is [PCA scores..., scaled target]; sequences never cross a split; the
-    regressor sees the flattened sequence.  Returns (predictions in original units, train/validation
-    RMSE in original units).
+    regressor sees the flattened sequence.  Returns (test predictions in original units,
+    train / validation RMSE in original units, per-iteration training history).
     """
     cols = feature_columns(df, target, ts_col, exclude)
     lab = df.withColumn("split", time_split_label(ts_col, boundaries))
@@ -215,7 +231,25 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
         ts_col, "split", target, sy.inverse_column("prediction", target).alias(f"{target}_predicted"))
     errors = pred.filter(F.col("split") != "test").groupBy("split").agg(
         sy.inverse_error(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))), target).alias("rmse"))
-    return out.filter(F.col("split") == "test").drop("split"), errors
+    history = _training_history(df.sparkSession, m, model, fit_rows, sy, target)
+    return out.filter(F.col("split") == "test").drop("split"), errors, history
+
+
+def _training_history(spark, m, model: str, fit_rows: DataFrame, sy, target: str) -> DataFrame:
+    """Per-iteration training history in original units: for trees the train / validation RMSE after
+    every round (one pass per split), for the linear model its objective per iteration.  An error
+    scales back by the range factor only (no offset)."""
+    factor = (sy.maxs[target] - sy.mins[target]) / (sy.hi - sy.lo)
+    rows = []
+    if model == "linear":
+        for i, v in enumerate(m.summary.objectiveHistory):
+            rows.append((i, "train", "objective", float(v)))
+    else:
+        for split in ("train", "validation"):
+            part = fit_rows.filter(F.col("split") == split)
+            for i, v in enumerate(m.evaluateEachIteration(part, "squared")):
+                rows.append((i, split, "rmse", math.sqrt(v) * factor))
+    return spark.createDataFrame(rows, "iteration int, split string, metric string, value double")
 
 
 def compare_models(preds: DataFrame, key, pairs: dict, series: dict | None = None):
