@@ -104,10 +104,14 @@ def classification_metrics(pred: DataFrame, label: str, prediction: str, digits:
     equal the accuracy; Hamming loss is 2·errors / (rows · distinct labels).
     """
     cm = confusion(pred, label, prediction)
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
-    tp = cm.groupBy(F.col("label").alias("cls")).agg(F.sum(hit).alias("tp"), F.sum("n").alias("n_label"))
-    pp = cm.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("n_pred"))
-    per = tp.join(pp, "cls", "full").na.fill(0, ["tp", "n_label", "n_pred"])
+    # every confusion cell counts once for its true label and once for its predicted label:
+    # one aggregation gives tp, label and prediction totals per class (no outer join needed)
+    roles = F.array(F.struct(F.col("label").alias("cls"), F.col("n").alias("as_label"), F.lit(0).cast("long").alias("as_pred"),
+                             F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp")),
+                    F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("as_label"),
+                             F.col("n").alias("as_pred"), F.lit(0).cast("long").alias("tp")))
+    per = cm.select(F.inline(roles)).groupBy("cls").agg(
+        F.sum("tp").alias("tp"), F.sum("as_label").alias("n_label"), F.sum("as_pred").alias("n_pred"))
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     rec = F.when(F.col("n_label") > 0, F.col("tp") / F.col("n_label")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
@@ -115,8 +119,8 @@ def classification_metrics(pred: DataFrame, label: str, prediction: str, digits:
                            _round(prec, digits).alias("precision"), _round(rec, digits).alias("recall"),
                            _round(f1, digits).alias("f1"))
     per_label_long = per_label.unpivot(["label"], ["precision", "recall", "f1"], "metric", "value")
-    tot = cm.agg(F.sum(hit).alias("hits"), F.sum("n").alias("rows"))
-    n_labels = per.select(F.count(F.lit(1))).scalar()
+    tot = per.agg(F.sum("tp").alias("hits"), F.sum("n_label").alias("rows"), F.count(F.lit(1)).alias("n_labels"))
+    n_labels = F.col("n_labels")
     acc = F.col("hits") / F.col("rows")
     overall = tot.select(
         *[_round(acc, digits).alias(m) for m in ("accuracy", "precision", "recall", "f1", "micro_precision",

@@ -36,6 +36,7 @@ from wattframe.operators.resolve import merge_resolved, select_predicted
 from wattframe.operators.reshape import to_wide
 from wattframe.operators.sampling import balanced_sample, hash_split
 from wattframe.schemas import BALANCED_CAP
+from wattframe.session import cut_lineage
 
 
 def _keys(key) -> list[str]:
@@ -170,6 +171,11 @@ def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inp
     preds = reduce(lambda a, b: a.unionByName(b), parts).persist(StorageLevel.MEMORY_AND_DISK)
     selected = select_predicted(preds, ks, label_col, id_col, "predictedLabel", id_map, row_id,
                                 entity=entity, rule=rule)
+    # materialise the flagged rows once in the shared checkpoint folder: the merge reads them twice,
+    # a lost executor does not send the models back to work, and the cached inputs can go
+    selected = cut_lineage(selected)
+    for cached in (preds, repeated, samples):
+        cached.unpersist()
     kept = selected.filter(F.col("select_flag") == 1).select(*df.columns)
     merged = merge_resolved(df, kept, ks, entity)
     return selected, merged
