@@ -160,3 +160,16 @@ def test_quality_checks(spark):
     df = spark.createDataFrame([("h1", "A", 1.0), ("h1", "B", None), ("h2", "A", 2.0)], "k string, e string, v double")
     r = profile.quality_checks(df, "k", "e", ["A", "B"]).first()
     assert (r["n_rows"], r["n_rows_with_null"], r["n_keys"], r["expected_rows"], r["complete"]) == (3, 1, 2, 4, False)
+
+
+@pytest.mark.parametrize("offset,horizon", [(0, 1), (0, 3), (2, 1)])
+def test_sequence_methods_agree(spark, offset, horizon):
+    n = 200
+    rows = [(i, float(i * 7 % 13), float(i), "a" if i < 90 else "b") for i in range(n) if i not in (40, 41)]
+    df = spark.createDataFrame(rows, "idx long, x double, y double, s string")
+    kw = dict(history=24, target_offset=offset, horizon=horizon, split_col="s")
+    a = {(r["s"], r["idx"]): (r["history"], r["label"])
+         for r in sequences.build_sequences(df, "idx", "x", "y", method="blocks", block_size=32, **kw).collect()}
+    b = {(r["s"], r["idx"]): (r["history"], r["label"])
+         for r in sequences.build_sequences(df, "idx", "x", "y", method="explode", **kw).collect()}
+    assert a == b and len(a) > 50
