@@ -132,6 +132,23 @@ def fit_centred_pca(train: DataFrame, in_col: str = "features", out_col: str = "
     return CentredPCA(scaler, pca, k, ev)
 
 
+def partitions_for(max_rows: int, rows_per_partition: int = 200_000) -> int:
+    """Partitions for a frame whose row count is bounded by ``max_rows``."""
+    return max(1, -(-max_rows // rows_per_partition))
+
+
+def stable_layout(df: DataFrame, order: list[str], max_rows: int | None = None) -> DataFrame:
+    """Give a training frame a partition layout that does not depend on upstream partitioning.
+
+    Seeded learners draw per partition (bagging, row subsampling), so the same rows in another
+    layout give another model.  ``max_rows`` is a proven bound when known; otherwise the rows are
+    counted (one aggregation).  One sorted partition for small frames, range partitions otherwise.
+    """
+    n = partitions_for(max_rows if max_rows is not None else df.count())
+    out = df.coalesce(1) if n == 1 else df.repartitionByRange(n, *order)
+    return out.sortWithinPartitions(*order)
+
+
 def assemble(df: DataFrame, cols: list[str], out_col: str = "features", handle_invalid: str = "error") -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=out_col, handleInvalid=handle_invalid).transform(df)
 
@@ -141,5 +158,5 @@ def vector_columns(df: DataFrame, vec_col: str, prefix: str) -> DataFrame:
     return df.withColumn(prefix, vector_to_array(F.col(vec_col)))
 
 
-__all__ = ["calendar_features", "model_input", "set_aside", "fit_label_index", "index_to_label",
+__all__ = ["partitions_for", "stable_layout", "calendar_features", "model_input", "set_aside", "fit_label_index", "index_to_label",
            "MinMaxModel", "fit_minmax", "CentredPCA", "fit_centred_pca", "assemble", "vector_columns"]

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from wattframe.functions.columns import columns_of_type
 from wattframe.operators.evaluate import mean_std_wide, rmse_wide
-from wattframe.operators.features import fit_centred_pca, fit_minmax
+from wattframe.operators.features import fit_centred_pca, fit_minmax, stable_layout
 from wattframe.operators.sampling import contiguous_folds, shuffled_folds, time_split_label, year_split
 from wattframe.operators.sequences import build_sequences, hour_index
 from wattframe.schemas import TREE_COMMON
@@ -65,7 +65,7 @@ def forecast_trees(df: DataFrame, ts_col: str, target: str, test_year: int, para
     (``transform`` carries the key), so re-attaching it is a join, never a positional paste."""
     cols = feature_columns(df, target, ts_col, exclude)
     train, test = year_split(df, ts_col, test_year)
-    model = Pipeline(stages=[_assembler(cols), gbt(target, **params)]).fit(train)
+    model = Pipeline(stages=[_assembler(cols), gbt(target, **params)]).fit(stable_layout(train, [ts_col]))
     return model.transform(test).select(ts_col, target, F.col("prediction").alias(f"{target}_predicted"))
 
 
@@ -107,7 +107,7 @@ def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3,
     spark = df.sparkSession
     df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
-    folded = df.withColumn("_fold", shuffled_folds(key_cols or [ts_col], k, seed))
+    folded = stable_layout(df.withColumn("_fold", shuffled_folds(key_cols or [ts_col], k, seed)), [ts_col])
     asm = _assembler(cols)
     rows = []
     for f in range(k):
@@ -144,7 +144,7 @@ def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, roun
     spark = df.sparkSession
     df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
-    model = gbt(target, **dict(params, n_estimators=rounds)).fit(_assembler(cols).transform(df))
+    model = gbt(target, **dict(params, n_estimators=rounds)).fit(_assembler(cols).transform(stable_layout(df, [ts_col])))
     path = scratch_path(spark, "models", "gbt")
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -169,7 +169,7 @@ def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int =
     data = df
     if fit_scope == "train" and test_year is not None:
         data, _ = year_split(df, ts_col, test_year)
-    data = data.withColumn("_fold", contiguous_folds(data, ts_col, folds))
+    data = stable_layout(data.withColumn("_fold", contiguous_folds(data, ts_col, folds)), [ts_col])
     est = gbt(target, n_estimators=n_estimators)
     pg = (ParamGridBuilder().addGrid(est.stepSize, grid["learning_rate"])
           .addGrid(est.maxDepth, grid["max_depth"]).build())
@@ -217,7 +217,7 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
         "row", F.concat(vector_to_array("xp"), F.array(F.col(f"{target}_s"))))
     seq = build_sequences(rows, "idx", "row", f"{target}_s", history, split_col="split")
     seq = seq.withColumn("features", array_to_vector(F.flatten("history")))
-    fit_rows = seq.filter(F.col("split") != "test")
+    fit_rows = stable_layout(seq.filter(F.col("split") != "test"), ["split", "idx"])
     if model == "linear":
         reg = LinearRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=1e-4)
         m = reg.fit(fit_rows.filter(F.col("split") == "train"))

@@ -35,6 +35,7 @@ from wattframe.operators.profile import duplicate_counts, duplicate_matrix
 from wattframe.operators.resolve import merge_resolved, select_predicted
 from wattframe.operators.reshape import to_wide
 from wattframe.operators.sampling import balanced_sample, hash_split
+from wattframe.operators.features import stable_layout
 from wattframe.schemas import BALANCED_CAP
 from wattframe.session import cut_lineage
 
@@ -75,6 +76,7 @@ def fit_class_model(train: DataFrame, inputs: list[str], label_col: str, classif
     """Label order from all training rows; the classifier sees at most ``cap`` rows per class."""
     indexer = StringIndexer(inputCol=label_col, outputCol="label", handleInvalid="keep").fit(train)
     sample = balanced_sample(train, label_col, cap, id_cols, seed)
+    sample = stable_layout(sample, id_cols or sample.columns, cap * max(1, len(indexer.labels)))
     feats = "features_raw" if normalise else "features"
     stages = [VectorAssembler(inputCols=inputs, outputCol=feats, handleInvalid=handle_invalid)]
     if normalise:
@@ -153,16 +155,19 @@ def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inp
     repeated = repeated_rows(df, ks, entity).filter(F.col(entity).isin(list(entities)))
     if fill_features is not None:
         repeated = repeated.na.fill(fill_features, subset=inputs)
+    labels = label_orders(clean, entity, label_col)
     samples = balanced_sample(clean, label_col, cap, [row_id], seed, by=[entity])
-    samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
+    # the sample has a proven size bound (≤ cap rows per entity and class): give the model fits a
+    # partition count sized from that bound instead of the session's shuffle width
+    bound = cap * sum(len(v) for v in labels.values())
+    samples = stable_layout(samples, [entity, row_id], bound).persist(StorageLevel.MEMORY_AND_DISK)
     repeated = repeated.persist(StorageLevel.MEMORY_AND_DISK)
-    labels = label_orders(clean, entity, label_col)
 
     def one(value):
         if value not in labels:
             return None
-        model = _fit_from_sample(samples.filter(F.col(entity) == value), labels[value], inputs, label_col,
-                                 classifier, seed)
+        mine = stable_layout(samples.filter(F.col(entity) == value), [row_id], cap * len(labels[value]))
+        model = _fit_from_sample(mine, labels[value], inputs, label_col, classifier, seed)
         return model.transform(repeated.filter(F.col(entity) == value)).select(*df.columns, "predictedLabel")
 
     with ThreadPoolExecutor(max_workers=parallelism or max(1, len(entities))) as pool:
