@@ -234,7 +234,7 @@ from wattframe.functions.columns import columns_of_type, normalise_columns  # no
 from wattframe.functions.hashing import hash_fold  # noqa: E402
 from wattframe.operators import evaluate, impute, report  # noqa: E402
 from wattframe.operators.features import fit_label_index, fit_minmax, index_to_label  # noqa: E402
-from wattframe.operators.sequences import build_sequences, complete_grid, hour_index  # noqa: E402
+from wattframe.operators.sequences import build_sequences, complete_grid  # noqa: E402
 from wattframe.schemas import DESCRIPTION_RULES  # noqa: E402
 from wattframe.session import scratch_path  # noqa: E402
 from wattframe.sources import files as io  # noqa: E402

@@ -27,7 +27,8 @@ def escape_literal(text: str) -> str:
 def replace_trim(col, pattern: str, replacement: str, literal: bool = True) -> Column:
     """Replace every match of ``pattern`` and trim the result (null stays null)."""
     pat = escape_literal(pattern) if literal else pattern
-    return F.trim(F.regexp_replace(_c(col), F.lit(pat), F.lit(replacement)))
+    rep = replacement.replace("\\", "\\\\").replace("$", "\\$") if literal else replacement
+    return F.trim(F.regexp_replace(_c(col), F.lit(pat), F.lit(rep)))
 
 
 BLANKS = r"[ \t\n\x0B\f\r]+"

@@ -13,7 +13,6 @@ in ``spark.checkpoint.dir``; only when that is unset (tests, laptops) do we pick
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
