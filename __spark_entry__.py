@@ -651,6 +651,17 @@ def q_trailing_period(spark, d):
     return reshape.to_long(t, ["event_id", "ts"], ["value", "user_id"])
 
 
+@query("trailing_windows", """WITH m AS (SELECT max(ts) AS t1 FROM events)
+SELECT p.period, count(*) AS n_rows, sum(e.value) AS total_value
+FROM events e, m, (VALUES ('1w', INTERVAL 7 DAY), ('1m', INTERVAL 1 MONTH), ('3m', INTERVAL 3 MONTH),
+                          ('6m', INTERVAL 6 MONTH), ('1y', INTERVAL 1 YEAR)) p(period, iv)
+WHERE e.ts > m.t1 - p.iv GROUP BY p.period""")
+def q_trailing_windows(spark, d):
+    ev = io.read_table(spark, d, "events", ["ts", "value"])
+    tagged = report.trailing_periods(ev, "ts", report.TRAILING_PERIODS)
+    return tagged.groupBy("period").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total_value"))
+
+
 @query("entity_daily_metric", """SELECT event_type AS entity, CAST(ts AS DATE) AS date, avg(value) AS avg_value
 FROM events GROUP BY 1, 2""")
 def q_entity_daily_metric(spark, d):

@@ -43,6 +43,16 @@ def expectation_table(counts: dict, expected: dict) -> DataFrame:
     return first.withColumn("ok", F.col("expected") == F.col("actual"))
 
 
+def trailing_periods(df: DataFrame, ts_col: str, periods: dict) -> DataFrame:
+    """All trailing windows in one scan: each row is tagged with every period (name → interval text)
+    it falls in, relative to the newest row — (period, row...) long form, nested windows share rows."""
+    newest = df.select(F.max(ts_col)).scalar()
+    tags = F.array(*[F.when(F.col(ts_col) > newest - F.expr(f"INTERVAL {iv}"), F.lit(name))
+                     for name, iv in periods.items()])
+    return (df.withColumn("period", F.explode(F.array_compact(tags)))
+            .select("period", *df.columns))
+
+
 TRAILING_PERIODS = {"1w": "7 days", "1m": "1 months", "3m": "3 months", "6m": "6 months", "1y": "1 years"}
 
 
@@ -63,4 +73,4 @@ def flatten_json(spark, path: str, schema, rename: dict | None = None, keep=None
     return df.select(*(order or sorted(df.columns)))
 
 
-__all__ = ["history_long", "expectation_table", "top_k_per_group", "trailing_period", "TRAILING_PERIODS", "entity_daily_metric", "flatten_json"]
+__all__ = ["history_long", "expectation_table", "top_k_per_group", "trailing_period", "trailing_periods", "TRAILING_PERIODS", "entity_daily_metric", "flatten_json"]
