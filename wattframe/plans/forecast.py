@@ -37,7 +37,7 @@ from wattframe.operators.features import fit_centred_pca, fit_minmax, stable_lay
 from wattframe.operators.sampling import contiguous_folds, shuffled_folds, time_split_label, year_split
 from wattframe.operators.sequences import build_sequences, hour_index
 from wattframe.schemas import TREE_COMMON
-from wattframe.session import scratch_path
+from wattframe.session import cut_lineage, scratch_path
 
 NUMERIC = ("double", "float", "int", "bigint")
 
@@ -60,6 +60,13 @@ def _assembler(cols):
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
 
 
+def model_input_once(df: DataFrame) -> DataFrame:
+    """Materialise a model input read many times (fits, splits, per-round evaluation) once, as a
+    reliable checkpoint in the shared folder: later reads are file scans, not recomputations of the
+    pipeline that produced it, and a lost executor does not send that pipeline back to work."""
+    return cut_lineage(df)
+
+
 def forecast_trees(df: DataFrame, ts_col: str, target: str, test_year: int, params: dict,
                    exclude: list[str] | None = None, year_col: str | None = None) -> DataFrame:
     """(ts, actual, ``<target>_predicted``) for the test year.  The prediction stays keyed by time
@@ -74,6 +81,8 @@ def forecast_targets(df: DataFrame, ts_col: str, targets: dict, test_year: int,
                      set_aside: DataFrame | None = None, parallelism: int = 4) -> DataFrame:
     """All targets' predictions for the test year joined on time, plus the set-aside block.
     The per-target fits are independent distributed jobs and run concurrently."""
+    df = model_input_once(df)
+
     def one(item):
         target, pred_col = item
         return forecast_trees(df, ts_col, target, test_year, params_by_target[target]).withColumnRenamed(
@@ -114,6 +123,7 @@ def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3,
     spark = df.sparkSession
     df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
+    df = model_input_once(df.select(ts_col, target, *cols))
     folded = stable_layout(df.withColumn("_fold", shuffled_folds(key_cols or [ts_col], k, seed)), [ts_col])
     asm = _assembler(cols)
 
@@ -175,6 +185,7 @@ def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int =
     ``test_year``).  ``fit_scope="train"`` keeps the test year out of the search as well.
     """
     cols = feature_columns(df, target, ts_col)
+    df = model_input_once(df.select(ts_col, target, *cols))
     data = df
     if fit_scope == "train" and test_year is not None:
         data, _ = year_split(df, ts_col, test_year)
@@ -212,7 +223,7 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
     train / validation RMSE in original units, per-iteration training history).
     """
     cols = feature_columns(df, target, ts_col, exclude)
-    lab = df.withColumn("split", time_split_label(ts_col, boundaries))
+    lab = model_input_once(df.select(ts_col, target, *cols).withColumn("split", time_split_label(ts_col, boundaries)))
     train = lab.filter(F.col("split") == "train")
     sx = fit_minmax(train, cols)
     sy = fit_minmax(train, [target], drop_constant=False)
@@ -221,7 +232,7 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
     scaled = VectorAssembler(inputCols=[c + "_s" for c in cols], outputCol="xs", handleInvalid="keep").transform(scaled)
     pca = fit_centred_pca(scaled.filter(F.col("split") == "train"), "xs", "xp", variance)
     proj = pca.transform(scaled, "xs", "xp")
-    t0 = df.select(F.min(ts_col)).scalar()
+    t0 = lab.select(F.min(ts_col)).scalar()
     rows = hour_index(proj, ts_col, t0, unit_seconds).withColumn(
         "row", F.concat(vector_to_array("xp"), F.array(F.col(f"{target}_s"))))
     seq = build_sequences(rows, "idx", "row", f"{target}_s", history, split_col="split")
@@ -270,5 +281,5 @@ def compare_models(preds: DataFrame, key, pairs: dict, series: dict | None = Non
     return rm, mean_std_wide(wide, list(series))
 
 
-__all__ = ["feature_columns", "gbt", "forecast_trees", "forecast_targets", "cv_curve", "split_importance",
+__all__ = ["model_input_once", "feature_columns", "gbt", "forecast_trees", "forecast_targets", "cv_curve", "split_importance",
            "tune_trees", "forecast_from_history", "compare_models"]
