@@ -93,3 +93,28 @@ def test_stable_layout_is_layout_independent(spark):
     a = [r.k for r in features.stable_layout(df.repartition(7), ["k"], 1000).collect()]
     b = [r.k for r in features.stable_layout(df.repartition(3), ["k"], 1000).collect()]
     assert a == b == sorted(a)
+
+
+def test_single_file_csv_sink(spark):
+    import glob
+    from wattframe.session import local_path
+    df = spark.range(0, 100).repartition(5)
+    path = io.write_csv(df, scratch_path(spark, "t-single"), single_file=True)
+    parts = glob.glob(local_path(path) + "/part-*")
+    assert len(parts) == 1
+    with pytest.raises(Exception):
+        io.write_csv(df, path)  # fail if exists (default mode)
+
+
+def test_merge_null_keys_group_like_group_by(spark):
+    from wattframe.operators.resolve import merge_resolved
+    orig = spark.createDataFrame([(1, None, "A"), (2, None, "A"), (3, "h1", "A")], "rid long, hour string, city string")
+    resolved = orig.filter("rid = 2")
+    out = sorted(r["rid"] for r in merge_resolved(orig, resolved, "hour", "city").collect())
+    assert out == [2, 3]
+
+
+def test_balanced_sample_strict_cap_with_ties(spark):
+    from wattframe.operators.sampling import balanced_sample
+    df = spark.createDataFrame([("a", 1)] * 10, "c string, v int")
+    assert balanced_sample(df, "c", 3, ["v"]).count() == 3

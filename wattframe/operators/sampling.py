@@ -15,7 +15,8 @@ def balanced_sample(df: DataFrame, class_col: str, n: int = 100, id_cols: list[s
                     seed: int = 42, keep_helpers: bool = False, by: list[str] | None = None) -> DataFrame:
     """At most ``n`` rows per class, chosen by a hash of ``id_cols`` (repeatable).
 
-    ``dense_rank <= n`` over (class ordered by hash desc, id) is planned by Spark as a partial
+    ``row_number <= n`` over (class ordered by hash desc, then id) — the same rows as a dense rank
+    when ids are unique, and a strict cap when they are not — is planned by Spark as a partial
     ``WindowGroupLimit`` before the shuffle, so each map task forwards at most ``n`` rows per class:
     a class holding a third of all rows never reaches one task whole.
     """
@@ -24,7 +25,7 @@ def balanced_sample(df: DataFrame, class_col: str, n: int = 100, id_cols: list[s
     ids = id_cols or [c for c in df.columns if c != class_col]
     w = Window.partitionBy(*(by or []), class_col).orderBy(F.col("unif").desc(), *[F.col(c) for c in ids])
     out = (df.withColumn("unif", stable_order_key(ids, seed))
-           .withColumn("cat_rank", F.dense_rank().over(w))
+           .withColumn("cat_rank", F.row_number().over(w))
            .filter(F.col("cat_rank") <= n))
     return out if keep_helpers else out.drop("unif", "cat_rank")
 
