@@ -100,13 +100,18 @@ def merge_resolved(original: DataFrame, resolved: DataFrame, key, entity: str |
     """Original rows whose (key, entity) occurs once and has no resolved row, plus all resolved rows.
 
     Same result as tagging the union and keeping ``count over (key, entity) == 1 or tag = predicted``,
-    without a window: unique keys come from one grouped count, resolved keys leave by an anti join.
+    without a window and without joining the original rows back: one grouped aggregation carries
+    the count *and* the row (``first`` of a group of one is that row).  Partial aggregation collapses
+    a repeated key map-side — a key holding a third of all rows never crosses the network whole — and
+    resolved keys leave through an anti join with the (small) resolved side.
     """
     grp = _keys(key) + ([entity] if entity else [])
-    single = (original.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") == 1).select(*grp))
+    rest = [c for c in original.columns if c not in grp]
+    per_key = original.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"),
+                                         F.first(F.struct(*rest)).alias("_row"))
+    single = per_key.filter(F.col("_n") == 1)
     keep = semi_join(single, resolved, grp, anti=True)
-    kept = semi_join(original, keep, grp)
+    kept = keep.select(*grp, *[F.col("_row").getField(c).alias(c) for c in rest]).select(*original.columns)
     return kept.unionByName(resolved.select(*original.columns))
 
 
