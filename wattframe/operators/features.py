@@ -27,8 +27,8 @@ def calendar_features(df: DataFrame, ts_col: str, drop: list[str] | None = None,
     drop = [c for c in (drop or []) if c in out.columns]
     out = out.drop(*drop)
     if numeric_only:
-        keep = [ts_col] + [c for c, t in out.dtypes if c != ts_col and t in (
-            "double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")]
+        numeric = ("double", "float", "int", "bigint", "smallint", "tinyint")
+        keep = [ts_col] + [c for c, t in out.dtypes if c != ts_col and (t in numeric or t.startswith("decimal"))]
         out = out.select(*keep)
     return out
 
