@@ -118,3 +118,10 @@ def test_balanced_sample_strict_cap_with_ties(spark):
     from wattframe.operators.sampling import balanced_sample
     df = spark.createDataFrame([("a", 1)] * 10, "c string, v int")
     assert balanced_sample(df, "c", 3, ["v"]).count() == 3
+
+
+def test_csv_inferred_types(spark):
+    df = spark.createDataFrame([(1, 2.5, "x")], "a int, b double, c string")
+    path = io.write_csv(df, scratch_path(spark, "t-infer"))
+    back = io.read_csv(spark, path, None)
+    assert dict(back.dtypes) == {"a": "int", "b": "double", "c": "string"}
