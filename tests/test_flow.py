@@ -18,8 +18,7 @@ def _write(path, header, rows):
             fh.write(",".join("" if v is None else str(v) for v in r) + "\n")
 
 
-def _hours(n):
-    t0 = dt.datetime(2015, 1, 1)
+def _hours(n, t0=dt.datetime(2015, 1, 1)):
     return [(t0 + dt.timedelta(hours=i)).strftime("%Y-%m-%d %H:%M:%S") + "+01:00" for i in range(n)]
 
 
@@ -58,3 +57,28 @@ def test_build_tables_schema_and_counts(spark):
     q = out["checks"]["weather"].first()
     assert q["n_keys"] == 60 and q["n_duplicated_keys"] == 6
     assert spark.read.parquet(os.path.join(d, "out", "energy_weather")).count() == 60
+
+
+def test_flow_to_forecast_comparison(spark):
+    """The README example, end to end, on files that span a year boundary."""
+    from wattframe.operators.features import model_input, set_aside
+    from wattframe.plans import forecast as FC
+    from wattframe.schemas import FORECAST_TARGETS, SET_ASIDE
+    rnd = random.Random(3)
+    hours = _hours(24 * 20, dt.datetime(2017, 12, 22))
+    d = tempfile.mkdtemp(prefix="wf-flow2-")
+    _write(os.path.join(d, "energy.csv"), ["time"] + ENERGY_MEASURES,
+           [[h] + [round(rnd.uniform(0, 100), 1) for _ in ENERGY_MEASURES] for h in hours])
+    w_rows = [[h, city] + [round(rnd.uniform(0, 30), 2) for _ in range(11)] + [800.0, "clear", "sky is clear", "01d"]
+              for h in hours for city in CITIES]
+    _write(os.path.join(d, "weather.csv"), ["dt_iso", "city_name"] + [m for m, _ in WEATHER_MEASURES], w_rows)
+    out = build_tables(spark, os.path.join(d, "energy.csv"), os.path.join(d, "weather.csv"), expected_hours=None)
+    table = out["energy_weather"].withColumn("ts", F.col("date_time"))
+    small = {t: {"learning_rate": 0.1, "max_depth": 3, "n_estimators": 3} for t in FORECAST_TARGETS}
+    preds = FC.forecast_targets(model_input(table, "ts"), "ts", {t: p for t, (p, _) in FORECAST_TARGETS.items()},
+                                2018, small, set_aside=set_aside(table, "ts", SET_ASIDE))
+    pairs = {("trees", t): (t, p) for t, (p, _) in FORECAST_TARGETS.items()}
+    pairs |= {("day_ahead", t): (t, f) for t, (_, f) in FORECAST_TARGETS.items()}
+    rmse, mean_std = FC.compare_models(preds, "ts", pairs)
+    assert rmse.count() == 8 and all(r["n_pairs"] > 0 for r in rmse.collect())
+    assert mean_std.count() == 12
