@@ -2,7 +2,7 @@
 
 Flow for a long table (key, entity, measures, class, class id):
 
-1. ``duplicate_matrix`` — keys repeated in any entity;
+1. ``duplicate_counts`` — (key, entity) pairs repeated, and from them the keys repeated in any entity;
 2. per entity: training rows = that entity's rows at keys repeated in **no** entity (anti join),
    capped per class by a repeatable balanced sample; rows to predict = that entity's rows at keys
    it repeats itself (semi join);
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from wattframe.functions.text import normalised_equals
 from wattframe.operators.evaluate import classification_metrics, error_direction
 from wattframe.operators.joins import semi_join
-from wattframe.operators.profile import duplicate_counts, duplicate_matrix
+from wattframe.operators.profile import duplicate_counts
 from wattframe.operators.resolve import merge_resolved, select_predicted
 from wattframe.operators.reshape import to_wide
 from wattframe.operators.sampling import balanced_sample, hash_split
@@ -150,9 +150,12 @@ def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inp
     entity's repeated rows) are per entity, run concurrently.
     """
     ks = _keys(key)
-    dup_keys = duplicate_matrix(df, ks, entity, entities).select(*ks)
+    # one grouped pass gives the repeated (key, entity) pairs; the keys repeated in any entity are
+    # their distinct keys (small), so the table is aggregated once for both
+    reps = duplicate_counts(df, ks, entity).filter(F.col(entity).isin(list(entities)))
+    dup_keys = reps.select(*ks).distinct()
     clean = clean_rows(df, ks, dup_keys).filter(F.col(entity).isin(list(entities))).na.drop(subset=inputs)
-    repeated = repeated_rows(df, ks, entity).filter(F.col(entity).isin(list(entities)))
+    repeated = semi_join(df, reps, ks + [entity])
     if fill_features is not None:
         repeated = repeated.na.fill(fill_features, subset=inputs)
     labels = label_orders(clean, entity, label_col)
@@ -172,6 +175,8 @@ def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inp
 
     with ThreadPoolExecutor(max_workers=parallelism or max(1, len(entities))) as pool:
         parts = [p for p in pool.map(one, entities) if p is not None]
+    if not parts:  # no entity has a labelled clean row: nothing can be predicted, nothing is resolved
+        parts = [repeated.select(*df.columns, F.lit(None).cast("string").alias("predictedLabel"))]
     # model output is read by both sides of the selector (aggregates and join back): compute it once
     preds = reduce(lambda a, b: a.unionByName(b), parts).persist(StorageLevel.MEMORY_AND_DISK)
     selected = select_predicted(preds, ks, label_col, id_col, "predictedLabel", id_map, row_id,
