@@ -741,13 +741,17 @@ def _weather_like(spark, d):
 def q_classify_entity(spark, d):
     ev = _weather_like(spark, d)
     dup_keys = profile.duplicate_matrix(ev, "slot", "entity", E).select("slot")
-    out = None
-    for name in ("rf", "dt", "lr", "mlp"):
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+
+    def one(name):  # the four classifiers are independent distributed fits
         _, metrics, _ = WE.train_and_evaluate_classifier(ev, "slot", "entity", "click", _CLS_INPUTS, "cls", dup_keys,
                                                          classifier=name, id_cols=["event_id"])
-        m = metrics.withColumn("classifier", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
+        return metrics.withColumn("classifier", F.lit(name))
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(one, ("rf", "dt", "lr", "mlp")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("predict_duplicates")
