@@ -36,7 +36,7 @@ from wattframe.operators.evaluate import mean_std_wide, rmse_wide
 from wattframe.operators.features import fit_centred_pca, fit_minmax, stable_layout
 from wattframe.operators.sampling import contiguous_folds, shuffled_folds, time_split_label, year_split
 from wattframe.operators.sequences import build_sequences, hour_index
-from wattframe.schemas import TREE_COMMON
+from wattframe.schemas import BEST_TREE_PARAMS, HISTORY_SPLITS, HISTORY_WINDOW, TEST_YEAR, TREE_COMMON
 from wattframe.session import cut_lineage, scratch_path
 
 NUMERIC = ("double", "float", "int", "bigint")
@@ -67,18 +67,20 @@ def model_input_once(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def forecast_trees(df: DataFrame, ts_col: str, target: str, test_year: int, params: dict,
-                   exclude: list[str] | None = None, year_col: str | None = None) -> DataFrame:
+def forecast_trees(df: DataFrame, ts_col: str, target: str, test_year: int = TEST_YEAR, params: dict | None = None,
+                   exclude: list[str] | None = None) -> DataFrame:
     """(ts, actual, ``<target>_predicted``) for the test year.  The prediction stays keyed by time
     (``transform`` carries the key), so re-attaching it is a join, never a positional paste."""
+    params = params if params is not None else BEST_TREE_PARAMS.get(target, {})
     cols = feature_columns(df, target, ts_col, exclude)
     train, test = year_split(df, ts_col, test_year)
     model = Pipeline(stages=[_assembler(cols), gbt(target, **params)]).fit(stable_layout(train, [ts_col]))
     return model.transform(test).select(ts_col, target, F.col("prediction").alias(f"{target}_predicted"))
 
 
-def forecast_targets(df: DataFrame, ts_col: str, targets: dict, test_year: int, params_by_target: dict,
-                     set_aside: DataFrame | None = None, parallelism: int = 4) -> DataFrame:
+def forecast_targets(df: DataFrame, ts_col: str, targets: dict, test_year: int = TEST_YEAR,
+                     params_by_target: dict = BEST_TREE_PARAMS, set_aside: DataFrame | None = None,
+                     parallelism: int = 4) -> DataFrame:
     """All targets' predictions for the test year joined on time, plus the set-aside block.
     The per-target fits are independent distributed jobs and run concurrently."""
     df = model_input_once(df)
@@ -212,7 +214,8 @@ def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int =
     return scores, best, test_rmse
 
 
-def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: list, history: int = 24,
+def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: list = HISTORY_SPLITS,
+                          history: int = HISTORY_WINDOW,
                           variance: float = 0.80, unit_seconds: int = 3600, model: str = "linear",
                           max_iter: int = 50, exclude: list[str] | None = None):
     """Predict the target of every test row from the ``history`` rows before it.

@@ -142,6 +142,8 @@ BEST_TREE_PARAMS = {
 TREE_COMMON = {"min_child_weight": 4, "subsample": 0.7, "colsample_bytree": 0.7}
 TREE_GRID = {"learning_rate": [0.03, 0.05, 0.07], "max_depth": [5, 6, 7]}
 
+TEST_YEAR = 2018                                   # forecast year (UTC)
+HISTORY_SPLITS = ["2017-01-01", "2018-01-01"]       # train < … ≤ validation < … ≤ test (UTC)
 EXPECTED_HOURS = 35064          # 2015-01-01 .. 2018-12-31
 EXPECTED_RESOLVED_ROWS = 2798   # duplicate hours resolved, five cities
 BALANCED_CAP = 150
