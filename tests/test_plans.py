@@ -16,12 +16,20 @@ def test_duplicate_matrix_single_exchange(spark):
     assert p.count("Exchange") == 1 and "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
 
 
-def test_selector_uses_no_window(spark):
+def test_selector_hot_groups_use_no_window(spark):
     ev = S.events_long(spark, SF)
-    sel = resolve.select_predicted(ev, "slot", "cls", "cls_id", "pred_cls", S.BAND_MIN_ID, "event_id", entity="entity")
+    sel = resolve.select_predicted(ev, "slot", "cls", "cls_id", "pred_cls", S.BAND_MIN_ID, "event_id", entity="entity",
+                                   hot_rows=None)
     assert "Window" not in plan(sel)
 
 
+def test_selector_cold_groups_one_exchange_for_windows(spark):
+    ev = S.events_long(spark, SF)
+    sel = resolve._select_by_window(ev, "slot", "cls", "cls_id", "pred_cls", S.BAND_MIN_ID, "event_id", "entity",
+                                    "running", "select_flag", False)
+    assert plan(sel).count("Exchange") == 1
+
+
 def test_balanced_sample_limits_before_shuffle(spark):
     ev = S.events_long(spark, SF).select("event_id", "cls")
     p = plan(sampling.balanced_sample(ev, "cls", 150, ["event_id"]))

@@ -45,9 +45,9 @@ def brute(rows, rule="running"):
     return {rid: d["flag"] for rid, d in out.items()}
 
 
-def run(spark, rows, rule="running"):
+def run(spark, rows, rule="running", hot_rows=100_000):
     df = spark.createDataFrame(rows, SCHEMA)
-    sel = select_predicted(df, "hour", "cls", "wid", "pred", ID_MAP, "rid", entity="city", rule=rule)
+    sel = select_predicted(df, "hour", "cls", "wid", "pred", ID_MAP, "rid", entity="city", rule=rule, hot_rows=hot_rows)
     return {r["rid"]: r["select_flag"] for r in sel.collect()}
 
 
@@ -99,10 +99,12 @@ row_st = st.tuples(st.sampled_from(["h1", "h2"]), st.sampled_from(["A", "B"]),
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(row_st, min_size=1, max_size=9), st.sampled_from(["running", "group_size"]))
-def test_matches_window_definition(spark, raw, rule):
+@given(st.lists(row_st, min_size=1, max_size=9), st.sampled_from(["running", "group_size"]),
+       st.sampled_from([None, 1, 2, 100_000]))
+def test_matches_window_definition(spark, raw, rule, hot_rows):
+    """Both paths (aggregation for hot groups, windows for the rest) and any mix of them."""
     rows = [(i,) + r for i, r in enumerate(raw)]
-    assert run(spark, rows, rule) == brute(rows, rule)
+    assert run(spark, rows, rule, hot_rows) == brute(rows, rule)
 
 
 def test_merge_prefers_resolved_and_keeps_unique(spark):

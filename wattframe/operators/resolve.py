@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.operators.joins import keyed_join, semi_join
@@ -37,17 +37,78 @@ def id_map_column(id_map: dict[str, int]):
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in id_map.items()))
 
 
+HOT_GROUP_ROWS = 100_000
+
+
 def select_predicted(df: DataFrame, key, class_col: str, id_col: str, pred_col: str,
                      id_map: dict[str, int], row_id: str, entity: str | None = None,
                      rule: str = "running", flag_col: str = "select_flag",
-                     keep_helpers: bool = False) -> DataFrame:
-    """Add ``flag_col`` (0/1/2…: 1 = keep) to every row; see the module docstring for the rule."""
+                     keep_helpers: bool = False, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+    """Add ``flag_col`` (0/1/2…: 1 = keep) to every row; see the module docstring for the rule.
+
+    Groups are split by size.  One grouped count (partial aggregation, keys only) finds the
+    (key, entity) groups with more than ``hot_rows`` rows — at most rows / ``hot_rows`` of them.
+    Their rows take the aggregation path (no task ever holds a hot group); every other row takes
+    the window path, which shuffles each row once.  ``hot_rows=None`` sends everything through the
+    aggregation path, ``hot_rows=0`` … through it too (every group is "hot"); both paths give the
+    same flags.
+    """
     if rule not in ("running", "group_size"):
         raise ValueError("rule must be 'running' or 'group_size'")
+    args = (key, class_col, id_col, pred_col, id_map, row_id, entity, rule, flag_col, keep_helpers)
+    if hot_rows is None or hot_rows <= 0:
+        return _select_by_aggregation(df, *args)
+    grp = _keys(key) + ([entity] if entity else [])
+    hot = (df.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_rows).select(*grp))
+    hot_part = _select_by_aggregation(semi_join(df, hot, grp), *args)
+    cold_part = _select_by_window(semi_join(df, hot, grp, anti=True), *args)
+    return cold_part.unionByName(hot_part)
+
+
+def _with_diff(df: DataFrame, id_col: str, pred_col: str, id_map: dict[str, int]) -> DataFrame:
+    return (df.withColumn("pred_min_id", id_map_column(id_map)[F.col(pred_col)])
+            .withColumn("pred_min_id_diff", F.col(id_col) - F.col("pred_min_id")))
+
+
+def _finish(out: DataFrame, df: DataFrame, flag_col: str, keep_helpers: bool) -> DataFrame:
+    out = out.withColumn(flag_col, F.col("sc1_select") + F.col("sc2_select") + F.col("sc3_select"))
+    keep = df.columns + (["pred_min_id", "pred_min_id_diff", "sc3_min_id", "sc1_select", "sc2_select",
+                          "sc3_select"] if keep_helpers else []) + [flag_col]
+    return out.select(*keep)
+
+
+def _select_by_window(df: DataFrame, key, class_col, id_col, pred_col, id_map, row_id, entity, rule,
+                      flag_col, keep_helpers) -> DataFrame:
+    """The rule as written: window functions over (key, entity[, class]).  Every window spec is
+    partitioned by a superset of (key, entity), so the plan has one exchange and each row moves once."""
+    grp = _keys(key) + ([entity] if entity else [])
+    cls = grp + [class_col]
+    d = _with_diff(df, id_col, pred_col, id_map)
+    diff = F.col("pred_min_id_diff").asc_nulls_first()
+    w_rank = Window.partitionBy(*cls).orderBy(diff, F.col(row_id).asc())
+    w_count = (Window.partitionBy(*cls).orderBy(diff).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+               if rule == "running" else Window.partitionBy(*cls))
+    w_grp = Window.partitionBy(*grp)
+    d = d.withColumns({"_rn": F.row_number().over(w_rank), "_cnt": F.count(class_col).over(w_count),
+                       "sc3_min_id": F.min(id_col).over(w_grp)})
+    sc1 = F.coalesce((F.col(pred_col) == F.col(class_col)) & (F.col("_cnt") == 1), F.lit(False)).cast("int")
+    d = d.withColumn("sc1_select", sc1)
+    sc2 = F.coalesce((F.col("pred_min_id_diff") == 0) & (F.col("_rn") == 1) & (F.col("sc1_select") == 0),
+                     F.lit(False)).cast("int")
+    d = d.withColumn("sc2_select", sc2)
+    d = d.withColumn("_s12", F.sum(F.col("sc1_select") + F.col("sc2_select")).over(w_grp))
+    sc3 = F.coalesce((F.col(id_col) == F.col("sc3_min_id")) & (F.col("_s12") == 0) & (F.col("_rn") == 1),
+                     F.lit(False)).cast("int")
+    return _finish(d.withColumn("sc3_select", sc3), df, flag_col, keep_helpers)
+
+
+def _select_by_aggregation(df: DataFrame, key, class_col, id_col, pred_col, id_map, row_id, entity, rule,
+                           flag_col, keep_helpers) -> DataFrame:
+    """The rule evaluated on shrinking hash aggregates and joined back once (for hot groups)."""
     grp = _keys(key) + ([entity] if entity else [])
     cls = grp + [class_col]
-    d = (df.withColumn("pred_min_id", id_map_column(id_map)[F.col(pred_col)])
-         .withColumn("pred_min_id_diff", F.col(id_col) - F.col("pred_min_id")))
+    d = _with_diff(df, id_col, pred_col, id_map)
 
     # Ordering key of the (key, entity, class) window: diff ascending, nulls first.  A null diff
     # becomes -inf so every reduction below is a fixed-width min / min_by (hash aggregation with a
@@ -81,10 +142,7 @@ def select_predicted(df: DataFrame, key, class_col: str, id_col: str, pred_col:
     s3 = F.coalesce(first & (F.col(id_col) == F.col("sc3_min_id")) & (F.col("_s12") == 0),
                     F.lit(False)).cast("int")
     out = out.withColumns({"sc1_select": s1, "sc2_select": s2, "sc3_select": s3})
-    out = out.withColumn(flag_col, F.col("sc1_select") + F.col("sc2_select") + F.col("sc3_select"))
-    keep = df.columns + (["pred_min_id", "pred_min_id_diff", "sc3_min_id", "sc1_select", "sc2_select",
-                          "sc3_select"] if keep_helpers else []) + [flag_col]
-    return out.select(*keep)
+    return _finish(out, df, flag_col, keep_helpers)
 
 
 def survivors_check(selected: DataFrame, key, entity: str | None = None,
