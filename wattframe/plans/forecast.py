@@ -180,7 +180,7 @@ def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, roun
 
 
 def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int = 2, n_estimators: int = 500,
-               test_year: int | None = None, parallelism: int = 4, metric: str = "r2", fit_scope: str = "all"):
+               test_year: int | None = None, parallelism: int = 5, metric: str = "r2", fit_scope: str = "all"):
     """Grid over learning rate × depth, k-fold CV with contiguous time folds.
 
     Returns (scores per grid point, best params, test RMSE of the best params refitted outside
