@@ -54,6 +54,7 @@ def test_build_tables_schema_and_counts(spark):
     assert first["date_time"].month == 12 or first["date_time"].month == 1
     checks = {r["check"]: r["ok"] for r in out["checks"]["expectations"].collect()}
     assert set(checks) == {"joined_complete_rows", "wide_complete_rows"}
+    assert set(out["checks"]["survivors"].columns) == {"dt_iso", "city_name", "n_kept", "n_rows"}
     q = out["checks"]["weather"].first()
     assert q["n_keys"] == 60 and q["n_duplicated_keys"] == 6
     assert spark.read.parquet(os.path.join(d, "out", "energy_weather")).count() == 60

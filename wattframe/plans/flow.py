@@ -3,8 +3,9 @@
 ``build_tables`` reads the two hourly CSV files with their declared schemas, trims city names,
 resolves repeated (hour, city) weather rows, turns weather wide, joins it to the energy totals,
 imputes means and writes the outputs (Parquet by default, partitioned by year so later year
-filters prune whole directories).  It returns the DataFrames and a one-row-per-check expectation
-table.  Every step is one of the library operators; nothing is collected.
+filters prune whole directories).  It returns the DataFrames and the checks: a quality report of
+the resolved long table, the (hour, city) groups where the selector kept other than one row, and a
+one-row-per-check expectation table.  Every step is one of the library operators; nothing is collected.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from wattframe.operators.impute import drop_incomplete
 from wattframe.operators.profile import duplicate_matrix, quality_checks
 from wattframe.operators.report import expectation_table
 from wattframe.plans.energy import energy_weather_table
+from wattframe.operators.resolve import survivors_check
 from wattframe.plans.weather import resolve_duplicates, wide_weather
 from wattframe.schemas import (CITIES, CLASSIFIER_INPUTS, CITY_SHORT, ENERGY_SCHEMA, EXPECTED_HOURS,
                                WEATHER_MIN_ID, WEATHER_SCHEMA, WEATHER_MEASURES)
@@ -53,7 +55,8 @@ def build_tables(spark: SparkSession, energy_path: str, weather_path: str, out_d
     table = energy_weather_table(energy, wide)
     resolved_rows = selected.filter(F.col("select_flag") == 1).drop("row_id", "select_flag")
     dups = duplicate_matrix(raw, "dt_iso", "city_name", cities, names=CITY_SHORT)
-    checks = {"weather": quality_checks(merged, "dt_iso", "city_name", cities, expected_hours, dups)}
+    checks = {"weather": quality_checks(merged, "dt_iso", "city_name", cities, expected_hours, dups),
+              "survivors": survivors_check(selected, "dt_iso", "city_name")}
     if expected_hours is not None:
         checks["expectations"] = expectation_table(
             {"joined_complete_rows": drop_incomplete(table), "wide_complete_rows": drop_incomplete(wide)},
