@@ -729,8 +729,6 @@ _CLS_INPUTS = ["user_id_d", "k_d", "minute_d", "second_d"]
 
 def _weather_like(spark, d):
     ev = S.events_long(spark, d)
-    raw = io.read_table(spark, d, "events", ["event_id", "props"])
-    ev = ev.join(raw, "event_id")
     return ev.select("event_id", "slot", "entity", "cls", "cls_id", "value",
                      F.col("user_id").cast("double").alias("user_id_d"),
                      F.get_json_object("props", "$.k").cast("double").alias("k_d"),

@@ -57,6 +57,7 @@ def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         band("value", VALUE_BANDS, TOP_BAND).alias("cls"),
         F.floor("value").cast("double").alias("cls_id"),
         band("user_id", USER_BANDS, UNKNOWN_CLASS).alias("pred_cls"),
+        "props",
     )
 
 
