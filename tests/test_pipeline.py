@@ -47,3 +47,14 @@ def test_history_long(spark):
     long = report.history_long(curve, "trees")
     assert long.count() == 4 and set(long.columns) == {"model", "round", "metric", "value"}
     assert long.filter((F.col("round") == 1) & (F.col("metric") == "test_rmse_mean")).first()["value"] == 2.5
+
+
+def test_resolve_exact_copies_keep_one(spark):
+    rows = [(1, "h1", "A", 3.0, 1.0, "rain", 500.0), (1, "h1", "A", 3.0, 1.0, "rain", 500.0),
+            (2, "h2", "A", 20.0, 2.0, "clear", 800.0), (3, "h3", "A", 4.0, 1.0, "rain", 500.0),
+            (4, "h4", "A", 21.0, 3.0, "clear", 800.0)]
+    df = spark.createDataFrame(rows, "rid long, hour string, city string, temp double, hum double, cls string, wid double")
+    _, merged = WE.resolve_duplicates(df, "hour", "city", ["A"], ["temp", "hum"], "cls", "wid",
+                                      {"rain": 500, "clear": 800}, "rid", cap=10)
+    got = sorted((r.hour, r.rid) for r in merged.collect())
+    assert got == [("h1", 1), ("h2", 2), ("h3", 3), ("h4", 4)]

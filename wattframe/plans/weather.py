@@ -155,7 +155,9 @@ def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inp
     reps = duplicate_counts(df, ks, entity).filter(F.col(entity).isin(list(entities)))
     dup_keys = reps.select(*ks).distinct()
     clean = clean_rows(df, ks, dup_keys).filter(F.col(entity).isin(list(entities))).na.drop(subset=inputs)
-    repeated = semi_join(df, reps, ks + [entity])
+    # byte-identical copies can only sit in repeated groups; keeping one of them is what the rule
+    # would do, so drop them here, on the repeated rows only (a no-op when row ids are unique)
+    repeated = semi_join(df, reps, ks + [entity]).dropDuplicates()
     if fill_features is not None:
         repeated = repeated.na.fill(fill_features, subset=inputs)
     labels = label_orders(clean, entity, label_col)
