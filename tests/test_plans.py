@@ -48,3 +48,32 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "all_dupl" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_year_split_pushes_range_to_scan(spark):
+    from wattframe.sources.files import read_table
+    li = read_table(spark, SF, "lineitem", ["l_orderkey", "l_shipdate"])
+    _, test = sampling.year_split(li, "l_shipdate", 2000)
+    p = plan(test)
+    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in p and "LessThan(l_shipdate" in p
+
+
+def test_wide_pivot_single_exchange_no_join(spark):
+    from wattframe.operators import reshape
+    ev = S.events_long(spark, SF).select("slot", "entity", "value")
+    p = plan(reshape.to_wide(ev, "slot", "entity", S.EVENT_ENTITIES, ["value"]))
+    assert p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_merge_aggregates_before_shuffle(spark):
+    ev = S.events_long(spark, SF).select("event_id", "slot", "entity", "value")
+    p = plan(resolve.merge_resolved(ev, ev.limit(0), "slot", "entity"))
+    # the row-carrying aggregation has a partial step below its exchange
+    assert "partial_first" in p and "partial_count" in p
+
+
+def test_sequence_blocks_single_exchange(spark):
+    from wattframe.operators import sequences
+    df = spark.range(0, 500).selectExpr("id AS idx", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
+    p = plan(sequences.build_sequences(df, "idx", "x", "y", history=24, block_size=128))
+    assert p.count("Exchange hashpartitioning") == 1 and "Join" not in p
