@@ -767,6 +767,17 @@ def q_resolve_weather(spark, d):
     return WE.wide_weather(merged.select("slot", "entity", "value", "cls"), "slot", "entity", E)
 
 
+@query("energy_weather_flow")
+def q_energy_weather_flow(spark, d):
+    """The whole preparation flow (CSV in → resolved, wide, joined, imputed table) on files derived
+    from ``events`` in the source schemas."""
+    from wattframe.plans.flow import build_tables
+    energy, weather = S.flow_inputs(spark, d)
+    e_path = io.write_csv(energy, scratch_path(spark, "flow", "energy"))
+    w_path = io.write_csv(weather, scratch_path(spark, "flow", "weather"))
+    return build_tables(spark, e_path, w_path, expected_hours=None)["energy_weather"]
+
+
 # --- forecasting (rows-only: model outputs) -------------------------------------------------
 
 _FIXTURE_TREES = {"learning_rate": 0.07, "max_depth": 5, "n_estimators": 20}

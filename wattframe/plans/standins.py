@@ -153,3 +153,51 @@ def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem per day with calendar parts: the model-input stand-in (key ``day``)."""
     from wattframe.operators.features import calendar_features
     return calendar_features(lineitem_daily(spark, sf_dir), "day")
+
+
+# FIXED VALUES: event types → cities, value bands → weather classes (id base, description, icon)
+EVENT_CITY = {"click": "Madrid", "error": "Seville", "purchase": "Bilbao", "signup": "Barcelona", "view": "Valencia"}
+VALUE_WEATHER = [(10, "clear", 800, "sky is clear", "01d"), (30, "clouds", 801, "few clouds", "02d"),
+                 (80, "rain", 500, "light rain", "10d")]
+TOP_WEATHER = ("mist", 701, "mist", "50d")
+
+
+def flow_inputs(spark: SparkSession, sf_dir: str):
+    """(energy, weather) in the source file schemas, derived from ``events``.
+
+    Weather: one row per event — time key = the event's minute as offset text, city = its type,
+    measures from value / user id / props, class and id from the value band (repeats per (time,
+    city) come from the data).  Energy: one row per time key, the 28 measures as fixed linear
+    functions of that key's event count and value sum (one missing part per key with a single
+    event, so imputation has work).
+    """
+    from wattframe.schemas import ENERGY_MEASURES
+    ev = read_table(spark, sf_dir, "events")
+    key = offset_text(hour_key("ts", "minute"))
+    v = F.col("value")
+    k = F.get_json_object("props", "$.k").cast("double")
+    city = F.create_map(*[x for kv in EVENT_CITY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])[F.col("event_type")]
+
+    def by_band(i):
+        expr = None
+        for bound, *vals in VALUE_WEATHER:
+            expr = F.when(v < bound, F.lit(vals[i])) if expr is None else expr.when(v < bound, F.lit(vals[i]))
+        return expr.otherwise(F.lit(TOP_WEATHER[i]))
+
+    weather = ev.select(
+        key.alias("dt_iso"), F.concat(F.lit(" "), city).alias("city_name"),
+        (v / 10).alias("temp"), (v / 10 - 1).alias("temp_min"), (v / 10 + 1).alias("temp_max"),
+        (F.lit(1000.0) + F.col("user_id")).alias("pressure"), k.alias("humidity"), (v / 100).alias("wind_speed"),
+        (F.col("user_id") * 2.0).alias("wind_deg"), F.when(v < 5, v).otherwise(F.lit(0.0)).alias("rain_1h"),
+        F.lit(0.0).alias("rain_3h"), F.lit(0.0).alias("snow_3h"), k.alias("clouds_all"),
+        (by_band(1) + F.floor(v / 10) * F.when(v < 80, F.lit(1)).otherwise(F.lit(0))).cast("double").alias("weather_id"),
+        by_band(0).alias("weather_main"), by_band(2).alias("weather_description"), by_band(3).alias("weather_icon"))
+    per_key = ev.groupBy(key.alias("time")).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("value").alias("_s"))
+    measures = []
+    for i, name in enumerate(ENERGY_MEASURES):
+        m = F.col("_s") * F.lit((i + 1) / 10.0) + F.col("_n") * F.lit(float(i))
+        if name == "generation solar":
+            m = F.when(F.col("_n") > 1, m)
+        measures.append(m.alias(name))
+    energy = per_key.select("time", *measures)
+    return energy, weather
