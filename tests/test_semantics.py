@@ -125,3 +125,18 @@ def test_csv_inferred_types(spark):
     path = io.write_csv(df, scratch_path(spark, "t-infer"))
     back = io.read_csv(spark, path, None)
     assert dict(back.dtypes) == {"a": "int", "b": "double", "c": "string"}
+
+
+def test_wide_text_measures_dictionary_and_fallback_agree(spark):
+    rows = [("h1", "A", "x", 1.0), ("h1", "B", "y", 2.0), ("h2", "A", "y", None), ("h3", "B", None, 3.0)]
+    df = spark.createDataFrame(rows, "k string, e string, s string, v double")
+    a = {r["k"]: r.asDict() for r in reshape.to_wide(df, "k", "e", ["A", "B"], ["s", "v"]).collect()}
+    b = {r["k"]: r.asDict() for r in reshape.to_wide(df, "k", "e", ["A", "B"], ["s", "v"], dict_limit=None).collect()}
+    assert a == b
+    assert a["h2"]["s_B"] is None and a["h3"]["s_B"] is None and a["h1"]["s_B"] == "y"
+
+
+def test_wide_text_measures_stay_hash_aggregated(spark):
+    df = spark.createDataFrame([("h1", "A", "x"), ("h2", "B", "y")], "k string, e string, s string")
+    plan = reshape.to_wide(df, "k", "e", ["A", "B"], ["s"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan

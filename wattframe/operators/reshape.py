@@ -18,22 +18,57 @@ _AGGS = {"min": F.min, "max": F.max, "first": lambda c: F.first(c, ignorenulls=T
          "avg": F.avg, "sum": F.sum}
 
 
+def _dictionary(df: DataFrame, col: str, limit: int) -> list | None:
+    """Sorted distinct values of a text column when there are at most ``limit`` (bounded collect),
+    else None."""
+    vals = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect()]
+    vals = sorted(v for v in vals if v is not None)
+    return vals if len(vals) <= limit else None
+
+
 def to_wide(df: DataFrame, key, entity: str, entities: list[str], measures: list[str] | None = None,
-            agg: str = "min", suffix=None) -> DataFrame:
+            agg: str = "min", suffix=None, dict_limit: int | None = 1000) -> DataFrame:
     """One row per key; column ``<measure>_<entity>`` for every measure and entity.
 
     Written as one conditional aggregation grouped by key (one shuffle, partial aggregation), not as
     one left join per entity.  Every key present for any entity appears once; an entity without a row
     for that key gives NULLs.  With one row per (key, entity) — the resolved table — ``agg`` does not
     matter; with repeats it decides which value wins (``min`` is deterministic).
+
+    Text measures would force a sort-based aggregation (no fixed-width buffer for strings).  When a
+    text measure has at most ``dict_limit`` distinct values (checked with a bounded collect), it is
+    aggregated as its position in the sorted dictionary and decoded afterwards, so the whole pivot
+    stays a hash aggregation; ``min`` / ``max`` of positions equal those of the text.
     """
     ks = _keys(key)
     measures = measures or [c for c in df.columns if c not in ks and c != entity]
     suffix = suffix or (lambda e: e)
     f = _AGGS[agg]
+    types = dict(df.dtypes)
+    dicts = {}
+    if dict_limit and agg in ("min", "max", "first"):
+        for m in measures:
+            if types[m] == "string":
+                d = _dictionary(df, m, dict_limit)
+                if d is not None:
+                    dicts[m] = d
+    src = df.select(*ks, entity, *[
+        F.array_position(F.array(*[F.lit(v) for v in dicts[m]]), F.col(m)).cast("int").alias(m) if m in dicts else F.col(m)
+        for m in measures]) if dicts else df
     cols = [f(F.when(F.col(entity) == F.lit(e), F.col(m))).alias(f"{m}_{suffix(e)}")
             for e in entities for m in measures]
-    return df.groupBy(*ks).agg(*cols)
+    out = src.groupBy(*ks).agg(*cols)
+    if not dicts:
+        return out
+    decoded = []
+    for c in out.columns:
+        m = next((m for m in dicts if c.startswith(f"{m}_") and c[len(m) + 1:] in {suffix(e) for e in entities}), None)
+        # explicit null guard: element_at over a nullable aggregate result has been seen to ignore the
+        # index's null flag when evaluated inside the aggregation's result projection
+        code = F.col(c)
+        decoded.append(F.when(code.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in dicts[m]]), code)).alias(c)
+                       if m else code)
+    return out.select(*decoded)
 
 
 def to_long(df: DataFrame, key, columns: list[str], name_col: str = "series",
