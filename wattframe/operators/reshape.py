@@ -26,6 +26,25 @@ def _dictionary(df: DataFrame, col: str, limit: int) -> list | None:
     return vals if len(vals) <= limit else None
 
 
+def _dictionaries(df: DataFrame, cols: list[str], limit: int) -> dict:
+    """Dictionaries of several text columns in one pass: the distinct (column, value) pairs, collected
+    up to a global bound of ``limit`` per column.  Only if that bound is hit is each column checked
+    on its own."""
+    if not cols:
+        return {}
+    pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])).alias("p"))
+             .select("p.c", "p.v").distinct())
+    cap = limit * len(cols)
+    rows = pairs.limit(cap + 1).collect()
+    if len(rows) > cap:
+        return {c: d for c in cols if (d := _dictionary(df, c, limit)) is not None}
+    found: dict[str, set] = {c: set() for c in cols}
+    for r in rows:
+        if r["v"] is not None:
+            found[r["c"]].add(r["v"])
+    return {c: sorted(v) for c, v in found.items() if len(v) <= limit}
+
+
 def to_wide(df: DataFrame, key, entity: str, entities: list[str], measures: list[str] | None = None,
             agg: str = "min", suffix=None, dict_limit: int | None = 1000) -> DataFrame:
     """One row per key; column ``<measure>_<entity>`` for every measure and entity.
@@ -47,11 +66,7 @@ def to_wide(df: DataFrame, key, entity: str, entities: list[str], measures: list
     types = dict(df.dtypes)
     dicts = {}
     if dict_limit and agg in ("min", "max", "first"):
-        for m in measures:
-            if types[m] == "string":
-                d = _dictionary(df, m, dict_limit)
-                if d is not None:
-                    dicts[m] = d
+        dicts = _dictionaries(df, [m for m in measures if types[m] == "string"], dict_limit)
     src = df.select(*ks, entity, *[
         F.array_position(F.array(*[F.lit(v) for v in dicts[m]]), F.col(m)).cast("int").alias(m) if m in dicts else F.col(m)
         for m in measures]) if dicts else df
