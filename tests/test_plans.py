@@ -27,7 +27,8 @@ def test_selector_cold_groups_one_exchange_for_windows(spark):
     ev = S.events_long(spark, SF)
     sel = resolve._select_by_window(ev, "slot", "cls", "cls_id", "pred_cls", S.BAND_MIN_ID, "event_id", "entity",
                                     "running", "select_flag", False)
-    assert plan(sel).count("Exchange") == 1
+    p = plan(sel)
+    assert p.count("Exchange") == 1 and p.count("Sort [") == 1  # one shuffle, one sort for all four windows
 
 
 def test_balanced_sample_limits_before_shuffle(spark):

@@ -89,9 +89,12 @@ def _select_by_window(df: DataFrame, key, class_col, id_col, pred_col, id_map, r
     w_rank = Window.partitionBy(*cls).orderBy(diff, F.col(row_id).asc())
     w_count = (Window.partitionBy(*cls).orderBy(diff).rangeBetween(Window.unboundedPreceding, Window.currentRow)
                if rule == "running" else Window.partitionBy(*cls))
-    w_grp = Window.partitionBy(*grp)
-    d = d.withColumns({"_rn": F.row_number().over(w_rank), "_cnt": F.count(class_col).over(w_count),
-                       "sc3_min_id": F.min(id_col).over(w_grp)})
+    # the (key, entity) windows use an unbounded frame, so their order is free: giving them the rank
+    # windows' order lets one exchange on (key, entity) and one sort serve every window of the rule
+    w_grp = (Window.partitionBy(*grp).orderBy(F.col(class_col), diff, F.col(row_id).asc())
+             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    d = d.withColumns({"sc3_min_id": F.min(id_col).over(w_grp), "_rn": F.row_number().over(w_rank),
+                       "_cnt": F.count(class_col).over(w_count)})
     sc1 = F.coalesce((F.col(pred_col) == F.col(class_col)) & (F.col("_cnt") == 1), F.lit(False)).cast("int")
     d = d.withColumn("sc1_select", sc1)
     sc2 = F.coalesce((F.col("pred_min_id_diff") == 0) & (F.col("_rn") == 1) & (F.col("sc1_select") == 0),
