@@ -178,12 +178,12 @@ sel AS (SELECT event_id, slot, entity, cls, cls_id, pred_cls, value,
 {final}"""
 
 
-def _selected(spark, d):
+def _selected(spark, d, hot_rows=resolve.HOT_GROUP_ROWS):
     ev = S.events_long(spark, d)
     rows = semi_join(ev, profile.duplicate_counts(ev, "slot", "entity"), ["slot", "entity"]).select(
         "event_id", "slot", "entity", "cls", "cls_id", "pred_cls", "value")
     return ev, resolve.select_predicted(rows, "slot", "cls", "cls_id", "pred_cls", S.BAND_MIN_ID,
-                                        row_id="event_id", entity="entity")
+                                        row_id="event_id", entity="entity", hot_rows=hot_rows)
 
 
 @query("selector_three_case", _selector_sql("SELECT * FROM sel"))
@@ -191,6 +191,12 @@ def q_selector_three_case(spark, d):
     return _selected(spark, d)[1]
 
 
+@query("selector_aggregation_path", _selector_sql("SELECT * FROM sel"))
+def q_selector_aggregation_path(spark, d):
+    """The selector with every group sent through the aggregation path used for hot groups."""
+    return _selected(spark, d, hot_rows=None)[1]
+
+
 @query("merge_resolved", _selector_sql(f"""SELECT event_id, slot, entity, cls, value FROM (
   SELECT *, count(*) OVER (PARTITION BY slot, entity) AS n FROM (
     SELECT event_id, slot, entity, cls, value, 'original' AS dataset FROM e
