@@ -551,13 +551,23 @@ SELECT split, idx, round(y, 4) AS label, CAST(n AS INTEGER) AS n_steps, first_x,
 
 @query("sequence_history", _sequence_sql())
 def q_sequence_history(spark, d):
+    return _sequence_history(spark, d, "blocks")
+
+
+@query("sequence_history_explode", _sequence_sql())
+def q_sequence_history_explode(spark, d):
+    """The same sequences built by the explode-to-targets method."""
+    return _sequence_history(spark, d, "explode")
+
+
+def _sequence_history(spark, d, method):
     h = S.hourly_events(spark, d)
     b = h.agg(F.min("hour").alias("t0"), F.max("hour").alias("t1")).first()
     n = int((b["t1"] - b["t0"]).total_seconds() // 3600) + 1
     grid = complete_grid(spark, b["t0"], n, ts_col="hour")
     full = grid.join(h, "hour", "left").na.fill(0.0, ["x", "y"])
     full = full.withColumn("split", F.when(F.col("hour") < F.lit("2024-01-16").cast("timestamp_ntz"), "a").otherwise("b"))
-    seq = build_sequences(full, "idx", "x", "y", history=24, split_col="split")
+    seq = build_sequences(full, "idx", "x", "y", history=24, split_col="split", method=method)
     return seq.select("split", "idx", F.round("label", 4).alias("label"), F.size("history").alias("n_steps"),
                       F.element_at("history", 1).alias("first_x"), F.element_at("history", -1).alias("last_x"),
                       F.aggregate("history", F.lit(0.0), lambda a, x: a + x).alias("sum_x"))
