@@ -161,14 +161,16 @@ def q_hash_split(spark, d):
     return S.events_long(spark, d).select("event_id", sampling.split_label(["event_id"], 0.6, 42).alias("split"))
 
 
-def _selector_sql(final: str) -> str:
+def _selector_sql(final: str, rule: str = "running") -> str:
     pmin = _case_map("pred_cls", S.BAND_MIN_ID)
+    count_window = ("PARTITION BY slot, entity, cls ORDER BY diff ASC NULLS FIRST\n"
+                    "                   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW") if rule == "running" \
+        else "PARTITION BY slot, entity, cls"
     return f"""WITH {EV}, {_DUP_ROWS},
 q AS (SELECT event_id, slot, entity, cls, cls_id, pred_cls, value, cls_id - {pmin} AS diff FROM dr),
 r AS (SELECT *, row_number() OVER (PARTITION BY slot, entity, cls ORDER BY diff ASC NULLS FIRST, event_id) AS rn,
   min(cls_id) OVER (PARTITION BY slot, entity) AS min3,
-  count(cls) OVER (PARTITION BY slot, entity, cls ORDER BY diff ASC NULLS FIRST
-                   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt FROM q),
+  count(cls) OVER ({count_window}) AS cnt FROM q),
 s AS (SELECT *, CASE WHEN pred_cls = cls AND cnt = 1 THEN 1 ELSE 0 END AS sc1 FROM r),
 t AS (SELECT *, CASE WHEN diff = 0 AND rn = 1 AND sc1 = 0 THEN 1 ELSE 0 END AS sc2 FROM s),
 u AS (SELECT *, sum(sc1 + sc2) OVER (PARTITION BY slot, entity) AS s12 FROM t),
@@ -178,12 +180,12 @@ sel AS (SELECT event_id, slot, entity, cls, cls_id, pred_cls, value,
 {final}"""
 
 
-def _selected(spark, d, hot_rows=resolve.HOT_GROUP_ROWS):
+def _selected(spark, d, hot_rows=resolve.HOT_GROUP_ROWS, rule="running"):
     ev = S.events_long(spark, d)
     rows = semi_join(ev, profile.duplicate_counts(ev, "slot", "entity"), ["slot", "entity"]).select(
         "event_id", "slot", "entity", "cls", "cls_id", "pred_cls", "value")
     return ev, resolve.select_predicted(rows, "slot", "cls", "cls_id", "pred_cls", S.BAND_MIN_ID,
-                                        row_id="event_id", entity="entity", hot_rows=hot_rows)
+                                        row_id="event_id", entity="entity", hot_rows=hot_rows, rule=rule)
 
 
 @query("selector_three_case", _selector_sql("SELECT * FROM sel"))
@@ -197,6 +199,12 @@ def q_selector_aggregation_path(spark, d):
     return _selected(spark, d, hot_rows=None)[1]
 
 
+@query("selector_group_size_rule", _selector_sql("SELECT * FROM sel", rule="group_size"))
+def q_selector_group_size_rule(spark, d):
+    """The selector with case 1 counting the whole class group instead of the running count."""
+    return _selected(spark, d, rule="group_size")[1]
+
+
 @query("merge_resolved", _selector_sql(f"""SELECT event_id, slot, entity, cls, value FROM (
   SELECT *, count(*) OVER (PARTITION BY slot, entity) AS n FROM (
     SELECT event_id, slot, entity, cls, value, 'original' AS dataset FROM e
@@ -225,6 +233,13 @@ def q_wide_pivot(spark, d):
     return reshape.to_wide(ev, "slot", "entity", E, ["value", "cls"])
 
 
+@query("wide_pivot_text_fallback", _wide_sql())
+def q_wide_pivot_text_fallback(spark, d):
+    """The wide pivot with text measures aggregated as text (no dictionary positions)."""
+    ev = S.events_long(spark, d).select("slot", "entity", "value", "cls")
+    return reshape.to_wide(ev, "slot", "entity", E, ["value", "cls"], dict_limit=None)
+
+
 @query("calendar_features", f"""WITH {EV} SELECT ts, event_id, value, CAST(hour(ts) AS DOUBLE) AS hour,
   CAST(isodow(ts) - 1 AS DOUBLE) AS weekday, CAST(month(ts) AS DOUBLE) AS month, CAST(year(ts) AS DOUBLE) AS year
 FROM e""")
@@ -364,6 +379,21 @@ def q_text_repair(spark, d):
                        T.clean_token("p_brand").alias("brand_token"))
 
 
+def _repair_sql_plain(col: str, rules) -> str:
+    expr = col
+    for pat, rep in rules:
+        expr = f"trim(regexp_replace({expr}, '{pat}', '{rep}', 'g'))"
+    return expr
+
+
+@query("text_repair_plain_chain", f"""SELECT doc_id, md5(x) AS text_md5 FROM (
+  SELECT doc_id, {_repair_sql_plain('text', DESCRIPTION_RULES)} AS x FROM documents)""")
+def q_text_repair_plain_chain(spark, d):
+    """The description repair chain without blank collapsing (replace, then trim, per rule)."""
+    docs = io.read_table(spark, d, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", F.md5(T.repair_text("text", DESCRIPTION_RULES, collapse=False)).alias("text_md5"))
+
+
 @query("document_repair", f"""SELECT doc_id, md5(x) AS text_md5, length(x) AS n_chars_fixed FROM (
   SELECT doc_id, {_repair_sql('text', DESCRIPTION_RULES)} AS x FROM documents)""")
 def q_document_repair(spark, d):
