@@ -52,11 +52,11 @@ def _case_map(col: str, mapping: dict) -> str:
 
 # --- duplicates and profiling ---------------------------------------------------------------
 
-def _dup_matrix_sql(key: str) -> str:
+def _dup_matrix_sql(key: str, flag_entities=None) -> str:
     n = ", ".join(f"count(*) FILTER (WHERE entity = '{x}') AS n_{x}" for x in E)
     counts = ", ".join(f"CAST(CASE WHEN n_{x} >= 2 THEN n_{x} ELSE 0 END AS BIGINT) AS counts_{x}" for x in E)
     anyrep = " OR ".join(f"n_{x} >= 2" for x in E)
-    alld = " AND ".join(f"counts_{x} > 0" for x in E)
+    alld = " AND ".join(f"counts_{x} > 0" for x in (flag_entities or E))
     return (f"WITH {EV}, g AS (SELECT {key}, {n} FROM e GROUP BY {key}), "
             f"c AS (SELECT {key}, {counts} FROM g WHERE {anyrep}) SELECT *, ({alld}) AS all_dupl FROM c")
 
@@ -66,6 +66,12 @@ def q_duplicate_matrix(spark, d):
     return profile.duplicate_matrix(S.events_long(spark, d), "hour", "entity", E)
 
 
+@query("duplicate_matrix_flag_subset", _dup_matrix_sql("hour", E[:4]))
+def q_duplicate_matrix_flag_subset(spark, d):
+    """The matrix with ``all_dupl`` over a subset of the entities (the source's four-of-five flag)."""
+    return profile.duplicate_matrix(S.events_long(spark, d), "hour", "entity", E, all_entities=E[:4])
+
+
 @query("count_of_counts", f"""WITH {EV}, k AS (SELECT entity, slot, count(*) AS multiplicity FROM e GROUP BY 1, 2)
 SELECT entity, multiplicity, count(*) AS n_keys FROM k GROUP BY 1, 2""")
 def q_count_of_counts(spark, d):
@@ -496,6 +502,23 @@ def q_rmse_matrix(spark, d):
     return evaluate.rmse_wide(li, _PAIRS)
 
 
+@query("rmse_matrix_long", _rmse_sql())
+def q_rmse_matrix_long(spark, d):
+    """RMSE through the long path: stacked (model, target, actual, predicted) rows, then grouped."""
+    li = io.read_table(spark, d, "lineitem")
+    li = li.withColumns({k: F.expr(v) for k, v in _PRED_COLS.items()})
+    return evaluate.rmse_matrix(evaluate.stack_predictions(li, ["l_orderkey", "l_linenumber"], _PAIRS))
+
+
+@query("means_and_std_long", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS series, avg({c}) AS mean, stddev_samp({c}) AS std, count({c}) AS n FROM lineitem"
+    for c in _NUMS))
+def q_means_and_std_long(spark, d):
+    """Mean and std through the long path: unpivot, then grouped."""
+    li = io.read_table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", *_NUMS])
+    return evaluate.mean_std_matrix(reshape.to_long(li, ["l_orderkey", "l_linenumber"], _NUMS))
+
+
 @query("impute_means", f"""WITH g AS ({S.LINEITEM_GAPS_SQL})
 SELECT l_orderkey, l_linenumber, coalesce(l_quantity, avg(l_quantity) OVER ()) AS l_quantity,
   coalesce(l_discount, avg(l_discount) OVER ()) AS l_discount, l_tax FROM g""")
