@@ -32,7 +32,7 @@ from wattframe.functions.text import normalised_equals
 from wattframe.operators.evaluate import classification_metrics, error_direction
 from wattframe.operators.joins import semi_join
 from wattframe.operators.profile import duplicate_counts
-from wattframe.operators.resolve import merge_resolved, select_predicted
+from wattframe.operators.resolve import HOT_GROUP_ROWS, merge_resolved, select_predicted
 from wattframe.operators.reshape import to_wide
 from wattframe.operators.sampling import balanced_sample, hash_split
 from wattframe.operators.features import stable_layout
@@ -140,7 +140,8 @@ def _fit_from_sample(sample: DataFrame, labels: list[str], inputs: list[str], la
 def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inputs: list[str],
                        label_col: str, id_col: str, id_map: dict, row_id: str, classifier: str = "rf",
                        cap: int = BALANCED_CAP, seed: int = 42, rule: str = "running",
-                       parallelism: int | None = None, fill_features: float | None = 0.0):
+                       parallelism: int | None = None, fill_features: float | None = 0.0,
+                       hot_rows: int | None = HOT_GROUP_ROWS):
     """Returns ``(selected, merged)``: the flagged predictions of every repeated row, and the long
     table with one resolved row per (key, entity) wherever the selector kept one.
 
@@ -182,7 +183,7 @@ def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inp
     # model output is read by both sides of the selector (aggregates and join back): compute it once
     preds = reduce(lambda a, b: a.unionByName(b), parts).persist(StorageLevel.MEMORY_AND_DISK)
     selected = select_predicted(preds, ks, label_col, id_col, "predictedLabel", id_map, row_id,
-                                entity=entity, rule=rule)
+                                entity=entity, rule=rule, hot_rows=hot_rows)
     # materialise the flagged rows once in the shared checkpoint folder: the merge reads them twice,
     # a lost executor does not send the models back to work, and the cached inputs can go
     selected = cut_lineage(selected)
@@ -194,8 +195,8 @@ def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inp
 
 
 def wide_weather(merged: DataFrame, key, entity: str, entities: list[str],
-                 measures: list[str] | None = None) -> DataFrame:
-    return to_wide(merged, key, entity, entities, measures)
+                 measures: list[str] | None = None, dict_limit: int | None = 1000) -> DataFrame:
+    return to_wide(merged, key, entity, entities, measures, dict_limit=dict_limit)
 
 
 __all__ = ["make_classifier", "clean_rows", "repeated_rows", "fit_class_model", "predict_duplicates",
