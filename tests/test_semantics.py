@@ -140,3 +140,19 @@ def test_wide_text_measures_stay_hash_aggregated(spark):
     df = spark.createDataFrame([("h1", "A", "x"), ("h2", "B", "y")], "k string, e string, s string")
     plan = reshape.to_wide(df, "k", "e", ["A", "B"], ["s"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_model_save_and_load(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    df = spark.createDataFrame([(float(i), float(i % 7), 2.0 * i) for i in range(60)], "a double, b double, y double")
+    asm = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    pipe = Pipeline(stages=[asm, GBTRegressor(labelCol="y", maxIter=3, seed=1)]).fit(df)
+    single = GBTRegressor(labelCol="y", maxIter=3, seed=1).fit(asm.transform(df))
+    for model, data in ((pipe, df), (single, asm.transform(df))):
+        path = io.save_model(model, scratch_path(spark, "t-model"))
+        back = io.load_model(path)
+        a = [r.prediction for r in model.transform(data).collect()]
+        b = [r.prediction for r in back.transform(data).collect()]
+        assert a == b and type(back).__name__ == type(model).__name__
