@@ -7,8 +7,6 @@ each generation total, the classifier inputs and the forecast targets.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------------------------
@@ -174,11 +172,6 @@ def normalise_name(name: str, keep_hyphen: bool = False) -> str:
     return out if keep_hyphen else out.replace("-", "_")
 
 
-def strict_name(name: str) -> str:
-    """Like ``normalise_name`` but also maps every other non-word character to ``_``."""
-    return re.sub(r"\W", "_", name)
-
-
 def wide_weather_schema(cities=CITIES) -> T.StructType:
     fields = [("dt_iso", "string")]
     for city in cities:
