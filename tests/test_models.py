@@ -46,3 +46,13 @@ def test_history_forecaster_beats_mean(spark):
     assert r["rmse"] < r["sd"]
     assert {e["split"] for e in errors.collect()} == {"train", "validation"}
     assert history.count() > 0
+
+
+def test_history_forecaster_trees_keep_best_round(spark):
+    df = _series(spark, 24 * 90)
+    pred, errors, history = FC.forecast_from_history(df, "ts", "y", ["2016-02-15", "2016-03-10"], history=24,
+                                                     model="gbt", max_iter=15, patience=3)
+    assert pred.count() > 0
+    val = sorted((r["iteration"], r["value"]) for r in history.filter("split = 'validation'").collect())
+    # the kept model's last round is its best validation round
+    assert min(v for _, v in val) == val[-1][1]

@@ -217,12 +217,13 @@ def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int =
 def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: list = HISTORY_SPLITS,
                           history: int = HISTORY_WINDOW,
                           variance: float = 0.80, unit_seconds: int = 3600, model: str = "linear",
-                          max_iter: int = 50, exclude: list[str] | None = None):
+                          max_iter: int = 50, exclude: list[str] | None = None, patience: int = 10):
     """Predict the target of every test row from the ``history`` rows before it.
 
     Rows get a split label by time (train / validation / test); scalers and PCA are fitted on train;
     each row's vector is [PCA scores..., scaled target]; sequences never cross a split; the
-    regressor sees the flattened sequence.  Returns (test predictions in original units,
+    regressor sees the flattened sequence.  ``model="gbt"`` keeps the best number of rounds on the
+    validation range with ``patience``.  Returns (test predictions in original units,
     train / validation RMSE in original units, per-iteration training history).
     """
     cols = feature_columns(df, target, ts_col, exclude)
@@ -245,9 +246,20 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
         reg = LinearRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=1e-4)
         m = reg.fit(fit_rows.filter(F.col("split") == "train"))
     else:
-        reg = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter,
-                           validationIndicatorCol="is_val", seed=42)
-        m = reg.fit(fit_rows.withColumn("is_val", F.col("split") == "validation"))
+        # best round kept, patience-style: fit all rounds on train, read the validation error after
+        # every round (one pass), stop looking once `patience` rounds bring no improvement, refit
+        # with the best number of rounds (same seed and layout give the same first trees)
+        train_rows = fit_rows.filter(F.col("split") == "train")
+        full = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, seed=42).fit(train_rows)
+        val_err = full.evaluateEachIteration(fit_rows.filter(F.col("split") == "validation"), "squared")
+        best, best_v = 0, float("inf")
+        for i, v in enumerate(val_err):
+            if v < best_v:
+                best, best_v = i, v
+            elif i - best >= patience:
+                break
+        m = full if best + 1 == len(val_err) else \
+            GBTRegressor(featuresCol="features", labelCol="label", maxIter=best + 1, seed=42).fit(train_rows)
     pred = m.transform(seq)
     keyed = rows.select("split", "idx", ts_col, target)
     out = pred.join(keyed, ["split", "idx"]).select(
