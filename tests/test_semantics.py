@@ -156,3 +156,12 @@ def test_model_save_and_load(spark):
         a = [r.prediction for r in model.transform(data).collect()]
         b = [r.prediction for r in back.transform(data).collect()]
         assert a == b and type(back).__name__ == type(model).__name__
+
+
+def test_random_options(spark):
+    from wattframe.operators.sampling import balanced_sample, hash_split
+    df = spark.range(0, 1000).select("id", (F.col("id") % 4).cast("string").alias("c"))
+    a, b = hash_split(df, ["id"], 0.6, method="random")
+    assert a.count() + b.count() == 1000 and 450 < a.count() < 750
+    s = balanced_sample(df, "c", 10, ["id"], order="random")
+    assert {r["count"] for r in s.groupBy("c").count().collect()} == {10}

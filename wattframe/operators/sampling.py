@@ -12,7 +12,8 @@ from wattframe.functions.time import year_range
 
 
 def balanced_sample(df: DataFrame, class_col: str, n: int = 100, id_cols: list[str] | None = None,
-                    seed: int = 42, keep_helpers: bool = False, by: list[str] | None = None) -> DataFrame:
+                    seed: int = 42, keep_helpers: bool = False, by: list[str] | None = None,
+                    order: str = "hash") -> DataFrame:
     """At most ``n`` rows per class, chosen by a hash of ``id_cols`` (repeatable).
 
     ``row_number <= n`` over (class ordered by hash desc, then id) — the same rows as a dense rank
@@ -24,14 +25,26 @@ def balanced_sample(df: DataFrame, class_col: str, n: int = 100, id_cols: list[s
         raise ValueError(f"{class_col!r} is not a column of the frame")
     ids = id_cols or [c for c in df.columns if c != class_col]
     w = Window.partitionBy(*(by or []), class_col).orderBy(F.col("unif").desc(), *[F.col(c) for c in ids])
-    out = (df.withColumn("unif", stable_order_key(ids, seed))
+    if order not in ("hash", "random"):
+        raise ValueError("order must be 'hash' or 'random'")
+    # "random" orders by rand(seed) as a plain random sample would; its rows depend on the layout
+    unif = stable_order_key(ids, seed) if order == "hash" else F.rand(seed)
+    out = (df.withColumn("unif", unif)
            .withColumn("cat_rank", F.row_number().over(w))
            .filter(F.col("cat_rank") <= n))
     return out if keep_helpers else out.drop("unif", "cat_rank")
 
 
-def hash_split(df: DataFrame, id_cols: list[str], fraction: float = 0.6, seed: int = 42):
-    """(first, second) with about ``fraction`` of the keys in the first — a repeatable randomSplit."""
+def hash_split(df: DataFrame, id_cols: list[str], fraction: float = 0.6, seed: int = 42,
+               method: str = "hash"):
+    """(first, second) with about ``fraction`` of the keys in the first.
+
+    ``method="hash"`` (default) is a repeatable split on a hash of the key; ``method="random"`` is
+    Spark's ``randomSplit(seed)``, whose rows depend on the partition layout of ``df``.
+    """
+    if method == "random":
+        first, second = df.randomSplit([fraction, 1 - fraction], seed)
+        return first, second
     inside = hash_fraction_below(id_cols, fraction, seed)
     return df.filter(inside), df.filter(~inside)
 
