@@ -2,8 +2,17 @@
 
 Every query reads the test tables under ``sf_dir`` whole (see ``wattframe.plans.standins`` for how
 they play the energy / weather data model) and is built from the library's operators.  Computed
-columns carry the same alias on both sides; floats are rounded on both sides where summation order
-could differ.
+columns carry the same alias on both sides.  Only sums of two-decimal values and square roots are
+rounded; means and ratios are left unrounded, because rounding them would create exact decimal
+ties that summation order then breaks differently in the two engines.
+
+Sections, in order: duplicates and profiling; selector, merge, wide; sources, catalog, projections;
+join, concat, totals, nulls; time parsing, splits, folds; sequences, scaling, label index; metrics
+and report tables; the energy ⋈ weather table and the whole flow; classifiers and resolution;
+forecasting.  Some queries share their SQL with another on purpose, to check an alternative path
+of the same operator: ``selector_aggregation_path`` (hot-group path), ``selector_group_size_rule``,
+``wide_pivot_text_fallback``, ``sequence_history_explode``, ``rmse_matrix_long``,
+``means_and_std_long``, ``duplicate_matrix_flag_subset``, ``text_repair_plain_chain``.
 """
 
 from __future__ import annotations
