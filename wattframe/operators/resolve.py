@@ -12,10 +12,13 @@
 ``id difference`` = row id − smallest id of the predicted class (``id_map``; NULL if the class is not
 in the map).  Ties in the ordering are broken by ``row_id``.
 
-Plan shape: instead of four window functions over (key, entity[, class]) — which send every row of a
-hot key to one task — the rule is evaluated on two small pre-aggregates (per peer group, then per
-class), summed per (key, entity), and joined back once.  Partial aggregation collapses hot keys
-map-side; the join back is an equi-join AQE can broadcast or skew-split.
+Plan shape: groups are split by size.  The rule's natural form — four window functions over
+(key, entity[, class]) — is used for ordinary groups: one exchange on (key, entity), one sort shared
+by all windows, each row moved once.  A window would put a hot group (say a third of all rows) on one
+task, so groups above ``hot_rows`` rows (found by a keys-only grouped count) are evaluated instead on
+small pre-aggregates (per peer group, per class, per (key, entity)) and joined back once: partial
+aggregation collapses the hot group map-side, and the join back is an equi-join AQE can broadcast
+or skew-split.  Both paths give the same flags (property-tested against a row-by-row evaluation).
 """
 
 from __future__ import annotations
