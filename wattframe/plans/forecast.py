@@ -7,7 +7,7 @@
   table, next to Spark's gain importance;
 * ``tune_trees`` — grid over learning rate × depth with k-fold cross-validation;
 * ``forecast_from_history`` — a regressor over the previous ``history`` rows (scaled, PCA-reduced
-  features plus the scaled target), early-stopped on a validation range;
+  features plus the scaled target); trees keep their best round on a validation range (patience);
 * ``compare_models`` — RMSE, mean and standard deviation of every model and the published forecast.
 
 Boosted-tree settings map onto ``GBTRegressor``: learning rate → ``stepSize``, rounds → ``maxIter``,
