@@ -24,6 +24,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # let AQE coalesce the partitions of persisted intermediates too (small model outputs would
+    # otherwise keep the full shuffle width and schedule hundreds of near-empty tasks)
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -54,7 +57,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 RUNTIME_CONF = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled",
-                "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.enabled")
+                "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning")
 
 
 def configure(spark: SparkSession) -> SparkSession:
