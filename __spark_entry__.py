@@ -17,6 +17,7 @@ of the same operator: ``selector_aggregation_path`` (hot-group path), ``selector
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -944,6 +945,28 @@ def q_expected_counts(spark, d):
                                      "complete_wide_rows": complete}, _EXPECT)
 
 
+# --- training-data operators (optional subpackage) ------------------------------------------
+
+def _present(module: str) -> bool:
+    try:
+        return importlib.util.find_spec(module) is not None
+    except ModuleNotFoundError:  # the parent package is not there
+        return False
+
+
+if _present("wattframe.llm.queries"):
+    from wattframe.llm import queries as _llm
+
+    _QUERIES.update(_llm.QUERIES)
+    _SQL.update(_llm.ORACLE_SQL)
+    if _present("corpus_pipeline"):
+        import corpus_pipeline
+
+        _QUERIES["pipeline"] = corpus_pipeline.query
+        if corpus_pipeline.ORACLE_SQL is not None:
+            _SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 # --- contract -------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:
