@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattframe.session import configure
 
-from . import simhash
+from . import quality, simhash
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -38,3 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op4_simhash")
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).drop("text")
