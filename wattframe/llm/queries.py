@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattframe.session import configure
 
-from . import quality, simhash
+from . import quality, simhash, substring
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -45,3 +45,9 @@ def op1_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).drop("text")
+
+
+@query("op5_substring")
+def op5_substring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.without_repeats(docs, with_text=False).drop("text")
