@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.session import configure
+from wattframe.session import configure, scratch_path
 
-from . import quality, simhash, substring
+from . import bpe, packing, quality, rans, simhash, substring
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -35,6 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies (the operators take any path)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op4_simhash")
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -51,3 +58,21 @@ def op1_quality(spark, sf_dir):
 def op5_substring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.without_repeats(docs, with_text=False).drop("text")
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, vocabulary("byte_bpe_50k.tiktoken"), with_ids=False).drop("text")
+
+
+@query("op6_packing")
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
+@query("op8_rans_tokens")
+def op8_rans_tokens(spark, sf_dir):
+    out = scratch_path(spark, "llm", "tokens")
+    rans.write_tokens(table(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"))
+    return rans.read_tokens(spark, out, with_ids=False)
