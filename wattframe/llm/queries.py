@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattframe.session import configure, scratch_path
 
-from . import bpe, packing, quality, rans, simhash, substring
+from . import bpe, embeddings, packing, quality, rans, simhash, substring
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -76,3 +76,8 @@ def op8_rans_tokens(spark, sf_dir):
     out = scratch_path(spark, "llm", "tokens")
     rans.write_tokens(table(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"))
     return rans.read_tokens(spark, out, with_ids=False)
+
+
+@query("op10_embeddings")
+def op10_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
