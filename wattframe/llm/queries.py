@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattframe.session import configure, scratch_path
 
-from . import bpe, embeddings, packing, quality, rans, simhash, substring
+from . import bpe, embeddings, packing, pii, quality, rans, simhash, substring
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ def op8_rans_tokens(spark, sf_dir):
 @query("op10_embeddings")
 def op10_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_pii")
+def op9_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
