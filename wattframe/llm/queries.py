@@ -7,10 +7,11 @@ can express the result; the other queries are held against brute-force versions
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattframe.session import configure, scratch_path
 
-from . import bpe, embeddings, packing, pii, quality, rans, simhash, substring
+from . import bpe, embeddings, langid, packing, pii, quality, rans, simhash, substring
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -86,3 +87,11 @@ def op10_embeddings(spark, sf_dir):
 @query("op9_pii")
 def op9_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language")
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.withColumn("held_out", F.coalesce(langid.fold() == 2, F.lit(False))).drop("text")
