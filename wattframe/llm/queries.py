@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wattframe.session import configure, scratch_path
 
-from . import bpe, embeddings, langid, packing, pii, quality, rans, simhash, substring
+from . import bpe, embeddings, langid, licenses, packing, pii, quality, rans, simhash, substring
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -95,3 +95,8 @@ def op7_language(spark, sf_dir):
     model = langid.learn(docs)
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.withColumn("held_out", F.coalesce(langid.fold() == 2, F.lit(False))).drop("text")
+
+
+@query("op2_licenses", licenses.scan_sql())
+def op2_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
