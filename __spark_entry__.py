@@ -177,13 +177,13 @@ def q_hash_split(spark, d):
     return S.events_long(spark, d).select("event_id", sampling.split_label(["event_id"], 0.6, 42).alias("split"))
 
 
-def _selector_sql(final: str, rule: str = "running") -> str:
+def _selector_sql(final: str, rule: str = "running", rows: str = "dr") -> str:
     pmin = _case_map("pred_cls", S.BAND_MIN_ID)
     count_window = ("PARTITION BY slot, entity, cls ORDER BY diff ASC NULLS FIRST\n"
                     "                   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW") if rule == "running" \
         else "PARTITION BY slot, entity, cls"
     return f"""WITH {EV}, {_DUP_ROWS},
-q AS (SELECT event_id, slot, entity, cls, cls_id, pred_cls, value, cls_id - {pmin} AS diff FROM dr),
+q AS (SELECT event_id, slot, entity, cls, cls_id, pred_cls, value, cls_id - {pmin} AS diff FROM {rows}),
 r AS (SELECT *, row_number() OVER (PARTITION BY slot, entity, cls ORDER BY diff ASC NULLS FIRST, event_id) AS rn,
   min(cls_id) OVER (PARTITION BY slot, entity) AS min3,
   count(cls) OVER ({count_window}) AS cnt FROM q),
@@ -196,12 +196,14 @@ sel AS (SELECT event_id, slot, entity, cls, cls_id, pred_cls, value,
 {final}"""
 
 
-def _selected(spark, d, hot_rows=resolve.HOT_GROUP_ROWS, rule="running"):
+def _selected(spark, d, rule="running", copies=False):
     ev = S.events_long(spark, d)
     rows = semi_join(ev, profile.duplicate_counts(ev, "slot", "entity"), ["slot", "entity"]).select(
         "event_id", "slot", "entity", "cls", "cls_id", "pred_cls", "value")
+    if copies:
+        rows = rows.unionAll(rows.filter("event_id % 3 = 0"))
     return ev, resolve.select_predicted(rows, "slot", "cls", "cls_id", "pred_cls", S.BAND_MIN_ID,
-                                        row_id="event_id", entity="entity", hot_rows=hot_rows, rule=rule)
+                                        row_id="event_id", entity="entity", rule=rule)
 
 
 @query("selector_three_case", _selector_sql("SELECT * FROM sel"))
@@ -211,8 +213,15 @@ def q_selector_three_case(spark, d):
 
 @query("selector_aggregation_path", _selector_sql("SELECT * FROM sel"))
 def q_selector_aggregation_path(spark, d):
-    """The selector with every group sent through the aggregation path used for hot groups."""
-    return _selected(spark, d, hot_rows=None)[1]
+    """The selector (all groups take the aggregation form)."""
+    return _selected(spark, d)[1]
+
+
+@query("selector_exact_copies", _selector_sql(
+    "SELECT * FROM sel", rows="(SELECT * FROM dr UNION ALL SELECT * FROM dr WHERE event_id % 3 = 0) c"))
+def q_selector_exact_copies(spark, d):
+    """The selector where every third row is there twice: of copies at most the first is kept, all count as peers."""
+    return _selected(spark, d, copies=True)[1]
 
 
 @query("selector_group_size_rule", _selector_sql("SELECT * FROM sel", rule="group_size"))
@@ -246,14 +255,14 @@ def _wide_sql() -> str:
 @query("wide_pivot", _wide_sql())
 def q_wide_pivot(spark, d):
     ev = S.events_long(spark, d).select("slot", "entity", "value", "cls")
-    return reshape.to_wide(ev, "slot", "entity", E, ["value", "cls"])
+    return reshape.to_wide(ev, "slot", "entity", E, ["value", "cls"], dictionaries={"cls": list(S.BAND_MIN_ID)})
 
 
 @query("wide_pivot_text_fallback", _wide_sql())
 def q_wide_pivot_text_fallback(spark, d):
-    """The wide pivot with text measures aggregated as text (no dictionary positions)."""
+    """The wide pivot with text measures aggregated as text (no dictionary given)."""
     ev = S.events_long(spark, d).select("slot", "entity", "value", "cls")
-    return reshape.to_wide(ev, "slot", "entity", E, ["value", "cls"], dict_limit=None)
+    return reshape.to_wide(ev, "slot", "entity", E, ["value", "cls"])
 
 
 @query("calendar_features", f"""WITH {EV} SELECT ts, event_id, value, CAST(hour(ts) AS DOUBLE) AS hour,
@@ -690,7 +699,7 @@ per AS (SELECT coalesce(tp.c, pp.c) AS c, coalesce(tp, 0) AS tp, coalesce(n_labe
 m AS (SELECT c, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS p,
              CASE WHEN n_label > 0 THEN tp / n_label ELSE 0.0 END AS r FROM per),
 tot AS (SELECT sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS hits, sum(n) AS rows FROM cm),
-acc AS (SELECT hits / rows AS a, 2 * (rows - hits) / (rows * (SELECT count(*) FROM per)) AS h FROM tot)
+acc AS (SELECT hits / rows AS a, 2 * (rows - hits) / (rows * (SELECT count(*) FROM per WHERE n_label > 0)) AS h FROM tot)
 SELECT c AS label, 'precision' AS metric, p AS value FROM m
 UNION ALL SELECT c, 'recall', r FROM m
 UNION ALL SELECT c, 'f1', CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END FROM m
@@ -818,17 +827,10 @@ def _weather_like(spark, d):
 def q_classify_entity(spark, d):
     ev = _weather_like(spark, d)
     dup_keys = profile.duplicate_matrix(ev, "slot", "entity", E).select("slot")
-    from concurrent.futures import ThreadPoolExecutor
     from functools import reduce
-
-    def one(name):  # the four classifiers are independent distributed fits
-        _, metrics, _ = WE.train_and_evaluate_classifier(ev, "slot", "entity", "click", _CLS_INPUTS, "cls", dup_keys,
-                                                         classifier=name, id_cols=["event_id"])
-        return metrics.withColumn("classifier", F.lit(name))
-
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        parts = list(pool.map(one, ("rf", "dt", "lr", "mlp")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    _, metrics, _ = WE.train_and_evaluate_classifier(ev, "slot", "entity", "click", _CLS_INPUTS, "cls", dup_keys,
+                                                     classifier=["rf", "dt", "lr", "mlp"], id_cols=["event_id"])
+    return reduce(lambda a, b: a.unionByName(b), [m.withColumn("classifier", F.lit(n)) for n, m in metrics.items()])
 
 
 @query("predict_duplicates")
@@ -859,61 +861,97 @@ def q_energy_weather_flow(spark, d):
 
 # --- forecasting (rows-only: model outputs) -------------------------------------------------
 
-_FIXTURE_TREES = {"learning_rate": 0.07, "max_depth": 5, "n_estimators": 20}
+_ROUNDS = 100  # the library's defaults are 500; see README for the cost of a round
+_DAILY_TREES = {"learning_rate": 0.07, "max_depth": 5, "n_estimators": _ROUNDS}
+_DAILY_TARGETS = ("price", "quantity", "discount", "tax")
+_DAILY_SPLITS = ["1999-01-01", "2000-01-01"]
 
 
 @query("forecast_trees")
 def q_forecast_trees(spark, d):
     df = S.daily_features(spark, d)
     aside = df.select("day", F.col("returns").alias("returns_aside"))
-    return FC.forecast_targets(df.drop("returns"), "day", {"price": "price_predicted", "quantity": "quantity_predicted"},
-                               2000, {"price": _FIXTURE_TREES, "quantity": _FIXTURE_TREES}, set_aside=aside)
+    return FC.forecast_targets(df.drop("returns"), "day", {t: f"{t}_predicted" for t in _DAILY_TARGETS}, 2000,
+                               {t: _DAILY_TREES for t in _DAILY_TARGETS}, set_aside=aside)
+
+
+@query("forecast_trees_frame", f"""WITH d AS ({S.LINEITEM_DAILY_SQL})
+SELECT day, price, quantity, discount, tax, returns AS returns_aside FROM d WHERE year(day) = 2000""")
+def q_forecast_trees_frame(spark, d):
+    """The deterministic part of the tree forecast: test-year keys, actuals and the set-aside block."""
+    df = S.daily_features(spark, d)
+    aside = df.select("day", F.col("returns").alias("returns_aside"))
+    two = dict(_DAILY_TREES, n_estimators=2)
+    out = FC.forecast_targets(df.drop("returns"), "day", {t: f"{t}_predicted" for t in _DAILY_TARGETS}, 2000,
+                              {t: two for t in _DAILY_TARGETS}, set_aside=aside)
+    return out.filter(" and ".join(f"{t}_predicted is not null" for t in _DAILY_TARGETS)).select("day", *_DAILY_TARGETS, "returns_aside")
 
 
 @query("cv_curve")
 def q_cv_curve(spark, d):
-    return FC.cv_curve(S.daily_features(spark, d), "day", "price", _FIXTURE_TREES, k=3, rounds=20, early_stop=10)
+    return FC.cv_curve(S.daily_features(spark, d), "day", "price", _DAILY_TREES, k=3, rounds=50, early_stop=10)
 
 
 @query("split_importance")
 def q_split_importance(spark, d):
-    return FC.split_importance(S.daily_features(spark, d), "day", "price", _FIXTURE_TREES, rounds=10)
+    return FC.split_importance(S.daily_features(spark, d), "day", "price", _DAILY_TREES, rounds=10)
 
 
 @query("tune_trees")
 def q_tune_trees(spark, d):
+    """The grid's scores, the chosen point and its test RMSE."""
     from wattframe.schemas import TREE_GRID
-    scores, _, _ = FC.tune_trees(S.daily_features(spark, d), "day", "price", TREE_GRID, folds=2, n_estimators=10,
-                                 test_year=2000)
-    return scores
+    return FC.tuning_report(*FC.tune_trees(S.daily_features(spark, d), "day", "price", TREE_GRID, folds=2, n_estimators=20,
+                                           test_year=2000))
 
 
 @query("forecast_from_history")
 def q_forecast_from_history(spark, d):
-    df = S.daily_features(spark, d)
-    pred, _, _ = FC.forecast_from_history(df, "day", "price", ["1999-01-01", "2000-01-01"], history=24,
-                                          unit_seconds=86400)
-    return pred
+    """All four targets of the test year from the history model, next to the actuals."""
+    return FC.forecast_history_targets(S.daily_features(spark, d), "day", {t: f"{t}_history" for t in _DAILY_TARGETS},
+                                       boundaries=_DAILY_SPLITS, history=24, unit_seconds=86400)
 
 
 @query("history_curve")
 def q_history_curve(spark, d):
     df = S.daily_features(spark, d)
-    _, _, history = FC.forecast_from_history(df, "day", "price", ["1999-01-01", "2000-01-01"], history=24,
-                                             unit_seconds=86400, model="gbt", max_iter=20)
+    _, _, history = FC.forecast_from_history(df, "day", "price", _DAILY_SPLITS, history=24,
+                                             unit_seconds=86400, model="gbt", max_iter=50)
     return history
 
 
+def _week_before(df):
+    return df.select(F.date_add(F.col("day").cast("date"), 7).cast("timestamp_ntz").alias("day"),
+                     *[F.col(t).alias(f"{t}_published") for t in _DAILY_TARGETS])
+
+
 @query("compare_models")
 def q_compare_models(spark, d):
+    """Four targets by three models (the value of a week before plays the published forecast), mean and std."""
+    df = S.daily_features(spark, d)
+    trees = FC.forecast_targets(df, "day", {t: f"{t}_trees" for t in _DAILY_TARGETS}, 2000, {t: _DAILY_TREES for t in _DAILY_TARGETS})
+    past = FC.forecast_history_targets(df, "day", {t: f"{t}_history" for t in _DAILY_TARGETS}, boundaries=_DAILY_SPLITS,
+                                       history=24, unit_seconds=86400).drop(*_DAILY_TARGETS)
+    wide = trees.join(past, "day", "left").join(_week_before(df), "day", "left")
+    return FC.comparison_report(wide, {(m, t): (t, f"{t}_{m}") for t in _DAILY_TARGETS for m in ("published", "trees", "history")})
+
+
+def _compare_published_sql() -> str:
+    err = " UNION ALL ".join(f"SELECT '{t}' AS target, a.{t} AS x, b.{t} AS p FROM a LEFT JOIN d b ON b.day = a.day - INTERVAL 7 DAY"
+                             for t in _DAILY_TARGETS)
+    return f"""WITH d AS ({S.LINEITEM_DAILY_SQL}), a AS (SELECT * FROM d WHERE year(day) = 2000), e AS ({err})
+SELECT 'published' AS model, target, round(sqrt(avg((x - p) * (x - p))), 2) AS rmse, count(p) AS n_pairs,
+  count(*) - count(p) AS n_null_pairs FROM e GROUP BY target"""
+
+
+@query("compare_published", _compare_published_sql())
+def q_compare_published(spark, d):
+    """The published model's row of the comparison, which no fit goes into."""
+    from wattframe.operators.sampling import year_split
     df = S.daily_features(spark, d)
-    pred = FC.forecast_trees(df, "day", "price", 2000, _FIXTURE_TREES)
-    week_before = df.select(F.date_add(F.col("day").cast("date"), 7).cast("timestamp_ntz").alias("day"),
-                            F.col("price").alias("price_week_before"))
-    wide = pred.join(week_before, "day", "left")
-    rm, _ = FC.compare_models(wide, "day", {("trees", "price"): ("price", "price_predicted"),
-                                            ("published", "price"): ("price", "price_week_before")})
-    return rm
+    wide = year_split(df, "day", 2000)[1].join(_week_before(df), "day", "left")
+    rm, _ = FC.compare_models(wide, "day", {("published", t): (t, f"{t}_published") for t in _DAILY_TARGETS})
+    return rm.withColumn("rmse", F.round("rmse", 2))
 
 
 @query("pca_variance")

@@ -51,7 +51,7 @@ def test_build_tables_schema_and_counts(spark):
     assert table.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in doubles]) == 1).count() == 0
     # date_time is the UTC instant of the offset text; the month is right
     first = table.orderBy("date_time").first()
-    assert first["date_time"].month == 12 or first["date_time"].month == 1
+    assert first["date_time"] == dt.datetime(2014, 12, 31, 23) and first["date"] == dt.date(2014, 12, 31)
     checks = {r["check"]: r["ok"] for r in out["checks"]["expectations"].collect()}
     assert set(checks) == {"joined_complete_rows", "wide_complete_rows"}
     assert set(out["checks"]["survivors"].columns) == {"dt_iso", "city_name", "n_kept", "n_rows"}

@@ -173,3 +173,42 @@ def test_sequence_methods_agree(spark, offset, horizon):
     b = {(r["s"], r["idx"]): (r["history"], r["label"])
          for r in sequences.build_sequences(df, "idx", "x", "y", method="explode", **kw).collect()}
     assert a == b and len(a) > 50
+
+
+def test_hamming_loss_counts_labels_only(spark):
+    """Against Spark's own evaluator, with a class that is only predicted and one that is only a label."""
+    from pyspark.ml.evaluation import MultilabelClassificationEvaluator
+    from wattframe.operators.evaluate import classification_metrics
+    pairs = [(0.0, 0.0), (0.0, 2.0), (1.0, 1.0), (1.0, 0.0), (3.0, 1.0), (0.0, 0.0)]
+    df = spark.createDataFrame(pairs, "label double, prediction double")
+    sets = spark.createDataFrame([([p], [lab]) for lab, p in pairs], "prediction array<double>, label array<double>")
+    want = MultilabelClassificationEvaluator(metricName="hammingLoss").evaluate(sets)
+    got = {(r["label"], r["metric"]): r["value"] for r in classification_metrics(df, "label", "prediction").collect()}
+    assert abs(got["ALL", "hamming_loss"] - want) < 1e-12
+    swapped = {(r["label"], r["metric"]): r["value"] for r in classification_metrics(df, "label", "prediction", label_first=True).collect()}
+    assert swapped["0.0", "precision"] == got["0.0", "recall"] and swapped["0.0", "recall"] == got["0.0", "precision"]
+
+
+def test_repeated_index_raises(spark):
+    import pytest
+    from wattframe.operators import sequences
+    rows = [(i, float(i), float(i)) for i in [*range(30), 12]]
+    df = spark.createDataFrame(rows, "idx long, x double, y double")
+    for method in ("blocks", "explode"):
+        with pytest.raises(Exception, match="a time index is repeated"):
+            sequences.build_sequences(df, "idx", "x", "y", history=24, method=method).collect()
+
+
+def test_undeclared_text_raises(spark):
+    import pytest
+    from wattframe.operators.reshape import to_wide
+    df = spark.createDataFrame([("h1", "A", "x"), ("h2", "A", "z")], "k string, e string, s string")
+    with pytest.raises(Exception, match="not in its dictionary"):
+        to_wide(df, "k", "e", ["A"], ["s"], dictionaries={"s": ["x"]}).collect()
+
+
+def test_unknown_tree_settings_raise():
+    import pytest
+    from wattframe.plans.forecast import gbt
+    with pytest.raises(TypeError):
+        gbt("y", learning_rte=0.1)

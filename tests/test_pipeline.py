@@ -58,3 +58,13 @@ def test_resolve_exact_copies_keep_one(spark):
                                       {"rain": 500, "clear": 800}, "rid", cap=10)
     got = sorted((r.hour, r.rid) for r in merged.collect())
     assert got == [("h1", 1), ("h2", 2), ("h3", 3), ("h4", 4)]
+
+
+def test_resolve_counts_copies_as_peers(spark):
+    """Copies of a clear row and one rain row, all predicted clear: the copies are no single row, rain stays."""
+    rows = [(1, "h1", "A", 20.0, 1.0, "clear", 801.0), (1, "h1", "A", 20.0, 1.0, "clear", 801.0), (2, "h1", "A", 20.0, 1.0, "rain", 500.0)]
+    rows += [(10 + i, f"c{i}", "A", 20.0, 1.0, "clear", 800.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "rid long, hour string, city string, temp double, hum double, cls string, wid double")
+    sel, merged = WE.resolve_duplicates(df, "hour", "city", ["A"], ["temp", "hum"], "cls", "wid",
+                                        {"rain": 500, "clear": 800}, "rid", cap=10)
+    assert sel.count() == 3 and [r.rid for r in merged.filter("hour = 'h1'").collect()] == [2]

@@ -89,10 +89,11 @@ def test_year_partitioned_output_prunes(spark):
 
 
 def test_stable_layout_is_layout_independent(spark):
-    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"))
-    a = [r.k for r in features.stable_layout(df.repartition(7), ["k"], 1000).collect()]
-    b = [r.k for r in features.stable_layout(df.repartition(3), ["k"], 1000).collect()]
-    assert a == b == sorted(a)
+    """The same rows land in the same partitions in the same order, at every size."""
+    for n in (1000, 200_001):
+        df = spark.range(0, n).select((F.col("id") * 7919 % n).alias("k"))
+        placed = [features.stable_layout(df.repartition(p), ["k"]).select(F.spark_partition_id().alias("p"), "k").collect() for p in (3, 7)]
+        assert placed[0] == placed[1] and len({r.p for r in placed[0]}) == features.FIT_PARTITIONS
 
 
 def test_single_file_csv_sink(spark):
@@ -130,15 +131,15 @@ def test_csv_inferred_types(spark):
 def test_wide_text_measures_dictionary_and_fallback_agree(spark):
     rows = [("h1", "A", "x", 1.0), ("h1", "B", "y", 2.0), ("h2", "A", "y", None), ("h3", "B", None, 3.0)]
     df = spark.createDataFrame(rows, "k string, e string, s string, v double")
-    a = {r["k"]: r.asDict() for r in reshape.to_wide(df, "k", "e", ["A", "B"], ["s", "v"]).collect()}
-    b = {r["k"]: r.asDict() for r in reshape.to_wide(df, "k", "e", ["A", "B"], ["s", "v"], dict_limit=None).collect()}
+    a = {r["k"]: r.asDict() for r in reshape.to_wide(df, "k", "e", ["A", "B"], ["s", "v"], dictionaries={"s": ["y", "x"]}).collect()}
+    b = {r["k"]: r.asDict() for r in reshape.to_wide(df, "k", "e", ["A", "B"], ["s", "v"]).collect()}
     assert a == b
     assert a["h2"]["s_B"] is None and a["h3"]["s_B"] is None and a["h1"]["s_B"] == "y"
 
 
 def test_wide_text_measures_stay_hash_aggregated(spark):
     df = spark.createDataFrame([("h1", "A", "x"), ("h2", "B", "y")], "k string, e string, s string")
-    plan = reshape.to_wide(df, "k", "e", ["A", "B"], ["s"])._jdf.queryExecution().executedPlan().toString()
+    plan = reshape.to_wide(df, "k", "e", ["A", "B"], ["s"], dictionaries={"s": ["x", "y"]})._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 

@@ -96,13 +96,17 @@ def confusion(pred: DataFrame, label: str, prediction: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def classification_metrics(pred: DataFrame, label: str, prediction: str, digits: int | None = None) -> DataFrame:
+def classification_metrics(pred: DataFrame, label: str, prediction: str, digits: int | None = None,
+                           label_first: bool = False) -> DataFrame:
     """Per-label precision / recall / F1 and overall accuracy, micro P/R/F1, Hamming loss and
     subset accuracy, for one label and one prediction per row (long form: metric, label, value).
 
     With one label per row the document-averaged precision, recall and F1 and the subset accuracy all
-    equal the accuracy; Hamming loss is 2·errors / (rows · distinct labels).
+    equal the accuracy; Hamming loss is 2·errors / (rows · distinct labels), where a class that is only
+    predicted is no label.  ``label_first`` swaps per-label precision and recall: it gives the numbers of
+    an evaluator that is handed (label, prediction) pairs where (prediction, label) is meant.
     """
+    p_name, r_name = ("recall", "precision") if label_first else ("precision", "recall")
     cm = confusion(pred, label, prediction)
     # every confusion cell counts once for its true label and once for its predicted label:
     # one aggregation gives tp, label and prediction totals per class (no outer join needed)
@@ -116,10 +120,10 @@ def classification_metrics(pred: DataFrame, label: str, prediction: str, digits:
     rec = F.when(F.col("n_label") > 0, F.col("tp") / F.col("n_label")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
     per_label = per.select(F.col("cls").cast("string").alias("label"),
-                           _round(prec, digits).alias("precision"), _round(rec, digits).alias("recall"),
+                           _round(prec, digits).alias(p_name), _round(rec, digits).alias(r_name),
                            _round(f1, digits).alias("f1"))
     per_label_long = per_label.unpivot(["label"], ["precision", "recall", "f1"], "metric", "value")
-    tot = per.agg(F.sum("tp").alias("hits"), F.sum("n_label").alias("rows"), F.count(F.lit(1)).alias("n_labels"))
+    tot = per.agg(F.sum("tp").alias("hits"), F.sum("n_label").alias("rows"), F.count_if(F.col("n_label") > 0).alias("n_labels"))
     n_labels = F.col("n_labels")
     acc = F.col("hits") / F.col("rows")
     overall = tot.select(

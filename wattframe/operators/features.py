@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import IndexToString, PCA, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +111,9 @@ class CentredPCA:
 
     def transform(self, df: DataFrame, in_col: str = "features", out_col: str = "pca") -> DataFrame:
         c = self.scaler.transform(df).drop(in_col).withColumnRenamed("__centred", in_col)
-        return self.pca.transform(c)
+        scores = vector_to_array(F.col("__scores"))
+        return (self.pca.copy({self.pca.outputCol: "__scores"}).transform(c)
+                .withColumn(out_col, array_to_vector(F.slice(scores, 1, self.k))).drop("__scores"))
 
 
 def fit_centred_pca(train: DataFrame, in_col: str = "features", out_col: str = "pca",
@@ -127,26 +129,22 @@ def fit_centred_pca(train: DataFrame, in_col: str = "features", out_col: str = "
     full = PCA(k=d, inputCol=in_col, outputCol=out_col).fit(centred)
     ev = list(full.explainedVariance.toArray())
     k = int(np.searchsorted(np.cumsum(ev), variance - 1e-12) + 1)
-    k = min(k, d)
-    pca = PCA(k=k, inputCol=in_col, outputCol=out_col).fit(centred) if k < d else full
-    return CentredPCA(scaler, pca, k, ev)
+    return CentredPCA(scaler, full, min(k, d), ev)
 
 
-def partitions_for(max_rows: int, rows_per_partition: int = 200_000) -> int:
-    """Partitions for a frame whose row count is bounded by ``max_rows``."""
-    return max(1, -(-max_rows // rows_per_partition))
+#: Partitions of a training frame.  Part of a seeded model's definition, like its seed: raise it for
+#: frames that need more than a few hundred MB per partition.
+FIT_PARTITIONS = 8
 
 
-def stable_layout(df: DataFrame, order: list[str], max_rows: int | None = None) -> DataFrame:
+def stable_layout(df: DataFrame, order: list[str], partitions: int = FIT_PARTITIONS) -> DataFrame:
     """Give a training frame a partition layout that does not depend on upstream partitioning.
 
     Seeded learners draw per partition (bagging, row subsampling), so the same rows in another
-    layout give another model.  ``max_rows`` is a proven bound when known; otherwise the rows are
-    counted (one aggregation).  One sorted partition for small frames, range partitions otherwise.
+    layout give another model.  Rows are dealt by a hash of ``order`` into ``partitions`` and sorted
+    there, at every size alike; ``order`` should identify a row.
     """
-    n = partitions_for(max_rows if max_rows is not None else df.count())
-    out = df.coalesce(1) if n == 1 else df.repartitionByRange(n, *order)
-    return out.sortWithinPartitions(*order)
+    return df.repartition(partitions, *order).sortWithinPartitions(*order)
 
 
 def assemble(df: DataFrame, cols: list[str], out_col: str = "features", handle_invalid: str = "error") -> DataFrame:
@@ -158,5 +156,5 @@ def vector_columns(df: DataFrame, vec_col: str, prefix: str) -> DataFrame:
     return df.withColumn(prefix, vector_to_array(F.col(vec_col)))
 
 
-__all__ = ["partitions_for", "stable_layout", "calendar_features", "model_input", "set_aside", "fit_label_index", "index_to_label",
+__all__ = ["FIT_PARTITIONS", "stable_layout", "calendar_features", "model_input", "set_aside", "fit_label_index", "index_to_label",
            "MinMaxModel", "fit_minmax", "CentredPCA", "fit_centred_pca", "assemble", "vector_columns"]

@@ -18,35 +18,8 @@ _AGGS = {"min": F.min, "max": F.max, "first": lambda c: F.first(c, ignorenulls=T
          "avg": F.avg, "sum": F.sum}
 
 
-def _dictionary(df: DataFrame, col: str, limit: int) -> list | None:
-    """Sorted distinct values of a text column when there are at most ``limit`` (bounded collect),
-    else None."""
-    vals = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect()]
-    vals = sorted(v for v in vals if v is not None)
-    return vals if len(vals) <= limit else None
-
-
-def _dictionaries(df: DataFrame, cols: list[str], limit: int) -> dict:
-    """Dictionaries of several text columns in one pass: the distinct (column, value) pairs, collected
-    up to a global bound of ``limit`` per column.  Only if that bound is hit is each column checked
-    on its own."""
-    if not cols:
-        return {}
-    pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])).alias("p"))
-             .select("p.c", "p.v").distinct())
-    cap = limit * len(cols)
-    rows = pairs.limit(cap + 1).collect()
-    if len(rows) > cap:
-        return {c: d for c in cols if (d := _dictionary(df, c, limit)) is not None}
-    found: dict[str, set] = {c: set() for c in cols}
-    for r in rows:
-        if r["v"] is not None:
-            found[r["c"]].add(r["v"])
-    return {c: sorted(v) for c, v in found.items() if len(v) <= limit}
-
-
 def to_wide(df: DataFrame, key, entity: str, entities: list[str], measures: list[str] | None = None,
-            agg: str = "min", suffix=None, dict_limit: int | None = 1000) -> DataFrame:
+            agg: str = "min", suffix=None, dictionaries: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per key; column ``<measure>_<entity>`` for every measure and entity.
 
     Written as one conditional aggregation grouped by key (one shuffle, partial aggregation), not as
@@ -54,36 +27,35 @@ def to_wide(df: DataFrame, key, entity: str, entities: list[str], measures: list
     for that key gives NULLs.  With one row per (key, entity) — the resolved table — ``agg`` does not
     matter; with repeats it decides which value wins (``min`` is deterministic).
 
-    Text measures would force a sort-based aggregation (no fixed-width buffer for strings).  When a
-    text measure has at most ``dict_limit`` distinct values (checked with a bounded collect), it is
-    aggregated as its position in the sorted dictionary and decoded afterwards, so the whole pivot
-    stays a hash aggregation; ``min`` / ``max`` of positions equal those of the text.
+    Text measures mean a sort-based aggregation (no fixed-width buffer for strings).  Where the caller
+    knows all values of a text measure, ``dictionaries`` names them: the measure is then aggregated as
+    its position in the sorted list and decoded afterwards, so the pivot stays a hash aggregation.  The
+    result is the same (``min`` / ``max`` of positions equal those of the text); a value that is not in
+    the list raises.
     """
     ks = _keys(key)
     measures = measures or [c for c in df.columns if c not in ks and c != entity]
     suffix = suffix or (lambda e: e)
     f = _AGGS[agg]
-    types = dict(df.dtypes)
-    dicts = {}
-    if dict_limit and agg in ("min", "max", "first"):
-        dicts = _dictionaries(df, [m for m in measures if types[m] == "string"], dict_limit)
-    src = df.select(*ks, entity, *[
-        F.array_position(F.array(*[F.lit(v) for v in dicts[m]]), F.col(m)).cast("int").alias(m) if m in dicts else F.col(m)
-        for m in measures]) if dicts else df
-    cols = [f(F.when(F.col(entity) == F.lit(e), F.col(m))).alias(f"{m}_{suffix(e)}")
-            for e in entities for m in measures]
-    out = src.groupBy(*ks).agg(*cols)
+    dicts = {m: sorted(set(v)) for m, v in (dictionaries or {}).items() if m in measures}
+    if dicts and agg not in ("min", "max", "first"):
+        raise ValueError(f"a text measure can't be aggregated by {agg!r}")
+
+    def coded(m):
+        at = F.array_position(F.array(*[F.lit(v) for v in dicts[m]]), F.col(m)).cast("int")
+        unknown = F.raise_error(F.concat(F.lit(f"{m}: not in its dictionary: "), F.col(m))).cast("int")
+        return F.when(at == 0, unknown).otherwise(at).alias(m)
+
+    src = df.select(*ks, entity, *[coded(m) if m in dicts else F.col(m) for m in measures]) if dicts else df
+    names = {f"{m}_{suffix(e)}": (m, e) for e in entities for m in measures}
+    out = src.groupBy(*ks).agg(*[f(F.when(F.col(entity) == F.lit(e), F.col(m))).alias(c) for c, (m, e) in names.items()])
     if not dicts:
         return out
-    decoded = []
-    for c in out.columns:
-        m = next((m for m in dicts if c.startswith(f"{m}_") and c[len(m) + 1:] in {suffix(e) for e in entities}), None)
-        # explicit null guard: element_at over a nullable aggregate result has been seen to ignore the
-        # index's null flag when evaluated inside the aggregation's result projection
-        code = F.col(c)
-        decoded.append(F.when(code.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in dicts[m]]), code)).alias(c)
-                       if m else code)
-    return out.select(*decoded)
+    # explicit null guard: element_at over a nullable aggregate result has been seen to ignore the
+    # index's null flag when evaluated inside the aggregation's result projection
+    return out.select(*ks, *[
+        F.when(F.col(c).isNotNull(), F.element_at(F.array(*[F.lit(v) for v in dicts[m]]), F.col(c))).alias(c) if m in dicts else F.col(c)
+        for c, (m, _) in names.items()])
 
 
 def to_long(df: DataFrame, key, columns: list[str], name_col: str = "series",

@@ -12,20 +12,19 @@
 ``id difference`` = row id − smallest id of the predicted class (``id_map``; NULL if the class is not
 in the map).  Ties in the ordering are broken by ``row_id``.
 
-Plan shape: groups are split by size.  The rule's natural form — four window functions over
-(key, entity[, class]) — is used for ordinary groups: one exchange on (key, entity), one sort shared
-by all windows, each row moved once.  A window would put a hot group (say a third of all rows) on one
-task, so groups above ``hot_rows`` rows (found by a keys-only grouped count) are evaluated instead on
-small pre-aggregates (per peer group, per class, per (key, entity)) and joined back once: partial
-aggregation collapses the hot group map-side, and the join back is an equi-join AQE can broadcast
-or skew-split.  Both paths give the same flags (property-tested against a row-by-row evaluation).
+Plan shape: one form for all groups.  Equal rows collapse into one with a count (partial aggregation),
+the rule is evaluated on shrinking hash aggregates (per row id, peer group, class and (key, entity)) and
+joined back once by an equi-join that AQE can broadcast or skew-split; the copies are dealt out again
+at the end, and only the first copy of a row can be kept.  A hot group, say a third of all rows, is
+never in one task.  The flags equal those of the four window functions the rule is written with
+(property-tested against a row-by-row evaluation, with repeated row ids and exact copies).
 """
 
 from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.operators.joins import keyed_join, semi_join
@@ -40,101 +39,45 @@ def id_map_column(id_map: dict[str, int]):
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in id_map.items()))
 
 
-HOT_GROUP_ROWS = 100_000
-
-
 def select_predicted(df: DataFrame, key, class_col: str, id_col: str, pred_col: str,
                      id_map: dict[str, int], row_id: str, entity: str | None = None,
                      rule: str = "running", flag_col: str = "select_flag",
-                     keep_helpers: bool = False, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+                     keep_helpers: bool = False) -> DataFrame:
     """Add ``flag_col`` (0/1/2…: 1 = keep) to every row; see the module docstring for the rule.
 
-    Groups are split by size.  One grouped count (partial aggregation, keys only) finds the
-    (key, entity) groups with more than ``hot_rows`` rows — at most rows / ``hot_rows`` of them.
-    Their rows take the aggregation path (no task ever holds a hot group); every other row takes
-    the window path, which shuffles each row once.  ``hot_rows=None`` sends everything through the
-    aggregation path, ``hot_rows=0`` … through it too (every group is "hot"); both paths give the
-    same flags.
+    ``row_id`` need not be unique: rows that share it are ordered by a hash of the whole row, and of
+    exact copies the first counts as one row, the others as further peers.
     """
     if rule not in ("running", "group_size"):
         raise ValueError("rule must be 'running' or 'group_size'")
-    args = (key, class_col, id_col, pred_col, id_map, row_id, entity, rule, flag_col, keep_helpers)
-    if hot_rows is None or hot_rows <= 0:
-        return _select_by_aggregation(df, *args)
-    grp = _keys(key) + ([entity] if entity else [])
-    hot = (df.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_rows).select(*grp))
-    hot_part = _select_by_aggregation(semi_join(df, hot, grp), *args)
-    cold_part = _select_by_window(semi_join(df, hot, grp, anti=True), *args)
-    return cold_part.unionByName(hot_part)
-
-
-def _with_diff(df: DataFrame, id_col: str, pred_col: str, id_map: dict[str, int]) -> DataFrame:
-    return (df.withColumn("pred_min_id", id_map_column(id_map)[F.col(pred_col)])
-            .withColumn("pred_min_id_diff", F.col(id_col) - F.col("pred_min_id")))
-
-
-def _finish(out: DataFrame, df: DataFrame, flag_col: str, keep_helpers: bool) -> DataFrame:
-    out = out.withColumn(flag_col, F.col("sc1_select") + F.col("sc2_select") + F.col("sc3_select"))
-    keep = df.columns + (["pred_min_id", "pred_min_id_diff", "sc3_min_id", "sc1_select", "sc2_select",
-                          "sc3_select"] if keep_helpers else []) + [flag_col]
-    return out.select(*keep)
-
-
-def _select_by_window(df: DataFrame, key, class_col, id_col, pred_col, id_map, row_id, entity, rule,
-                      flag_col, keep_helpers) -> DataFrame:
-    """The rule as written: window functions over (key, entity[, class]).  Every window spec is
-    partitioned by a superset of (key, entity), so the plan has one exchange and each row moves once."""
-    grp = _keys(key) + ([entity] if entity else [])
-    cls = grp + [class_col]
-    d = _with_diff(df, id_col, pred_col, id_map)
-    diff = F.col("pred_min_id_diff").asc_nulls_first()
-    w_rank = Window.partitionBy(*cls).orderBy(diff, F.col(row_id).asc())
-    w_count = (Window.partitionBy(*cls).orderBy(diff).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-               if rule == "running" else Window.partitionBy(*cls))
-    # the (key, entity) windows use an unbounded frame, so their order is free: giving them the rank
-    # windows' order lets one exchange on (key, entity) and one sort serve every window of the rule
-    w_grp = (Window.partitionBy(*grp).orderBy(F.col(class_col), diff, F.col(row_id).asc())
-             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    d = d.withColumns({"sc3_min_id": F.min(id_col).over(w_grp), "_rn": F.row_number().over(w_rank),
-                       "_cnt": F.count(class_col).over(w_count)})
-    sc1 = F.coalesce((F.col(pred_col) == F.col(class_col)) & (F.col("_cnt") == 1), F.lit(False)).cast("int")
-    d = d.withColumn("sc1_select", sc1)
-    sc2 = F.coalesce((F.col("pred_min_id_diff") == 0) & (F.col("_rn") == 1) & (F.col("sc1_select") == 0),
-                     F.lit(False)).cast("int")
-    d = d.withColumn("sc2_select", sc2)
-    d = d.withColumn("_s12", F.sum(F.col("sc1_select") + F.col("sc2_select")).over(w_grp))
-    sc3 = F.coalesce((F.col(id_col) == F.col("sc3_min_id")) & (F.col("_s12") == 0) & (F.col("_rn") == 1),
-                     F.lit(False)).cast("int")
-    return _finish(d.withColumn("sc3_select", sc3), df, flag_col, keep_helpers)
-
-
-def _select_by_aggregation(df: DataFrame, key, class_col, id_col, pred_col, id_map, row_id, entity, rule,
-                           flag_col, keep_helpers) -> DataFrame:
-    """The rule evaluated on shrinking hash aggregates and joined back once (for hot groups)."""
     grp = _keys(key) + ([entity] if entity else [])
     cls = grp + [class_col]
-    d = _with_diff(df, id_col, pred_col, id_map)
+    rows = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    d = _with_diff(rows, id_col, pred_col, id_map).withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
 
     # Ordering key of the (key, entity, class) window: diff ascending, nulls first.  A null diff
     # becomes -inf so every reduction below is a fixed-width min / min_by (hash aggregation with a
     # map-side partial step) rather than a sort-based aggregation over structs.
     okey = F.when(F.col("pred_min_id_diff").isNull(), F.lit(float("-inf"))).otherwise(F.col("pred_min_id_diff"))
     match = F.coalesce(F.col(pred_col) == F.col(class_col), F.lit(False)).cast("int")
-    # level 1: peer groups (key, entity, class, diff) — size, first row id, whether that row's
+    # level 0: rows that share an id — their first by hash
+    ids = (d.withColumn("_ok", okey).withColumn("_m", match)
+           .groupBy(*cls, "_ok", F.col(row_id).alias("_rid"))
+           .agg(F.sum("_copies").alias("_n"), F.min("_h").alias("_h1"), F.min_by("_m", "_h").alias("_m"), F.min(id_col).alias("_minid")))
+    # level 1: peer groups (key, entity, class, diff) — size, first row, whether that row's
     # prediction equals its class, smallest id
-    peers = (d.withColumn("_ok", okey).withColumn("_m", match)
-             .groupBy(*cls, "_ok").agg(F.count(F.lit(1)).alias("_n"), F.min(row_id).alias("_rid"),
-                                       F.min_by("_m", F.col(row_id)).alias("_m"), F.min(id_col).alias("_minid")))
+    peers = ids.groupBy(*cls, "_ok").agg(
+        F.sum("_n").alias("_n"), F.min("_rid").alias("_r1"), F.min_by("_h1", "_rid").alias("_h1"),
+        F.min_by("_m", "_rid").alias("_m"), F.min("_minid").alias("_minid"))
     # level 2: per class — the first peer group, its first row, class size
     per_cls = peers.groupBy(*cls).agg(
-        F.min_by("_n", "_ok").alias("_n1"), F.min_by("_rid", "_ok").alias("_rn1"),
+        F.min_by("_n", "_ok").alias("_n1"), F.min_by("_r1", "_ok").alias("_r1"), F.min_by("_h1", "_ok").alias("_h1"),
         F.min_by("_m", "_ok").alias("_m1"), F.min("_ok").alias("_ok1"),
         F.sum("_n").alias("_size"), F.min("_minid").alias("_minid"))
     first_n = F.col("_n1") if rule == "running" else F.col("_size")
     sc1 = (F.col("_m1") == 1) & (first_n == 1)
     sc2 = (F.col("_ok1") == 0.0) & ~sc1
-    per_cls = per_cls.select(*cls, "_rn1", sc1.alias("_sc1"), sc2.alias("_sc2"), "_minid")
+    per_cls = per_cls.select(*cls, "_r1", "_h1", sc1.alias("_sc1"), sc2.alias("_sc2"), "_minid")
     # level 3: per (key, entity) — anything picked by 1/2? smallest id
     per_grp = per_cls.groupBy(*grp).agg(
         F.sum(F.col("_sc1").cast("int") + F.col("_sc2").cast("int")).alias("_s12"),
@@ -142,7 +85,8 @@ def _select_by_aggregation(df: DataFrame, key, class_col, id_col, pred_col, id_m
     decided = keyed_join(per_cls.drop("_minid"), per_grp, grp)
 
     out = keyed_join(d, decided, cls, "inner")
-    first = F.col(row_id) == F.col("_rn1")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    first = F.col(row_id).eqNullSafe(F.col("_r1")) & (F.col("_h") == F.col("_h1")) & (F.col("_copy") == 1)
     s1 = (first & F.col("_sc1")).cast("int")
     s2 = (first & F.col("_sc2")).cast("int")
     s3 = F.coalesce(first & (F.col(id_col) == F.col("sc3_min_id")) & (F.col("_s12") == 0),
@@ -151,6 +95,18 @@ def _select_by_aggregation(df: DataFrame, key, class_col, id_col, pred_col, id_m
     return _finish(out, df, flag_col, keep_helpers)
 
 
+def _with_diff(df: DataFrame, id_col: str, pred_col: str, id_map: dict[str, int]) -> DataFrame:
+    return (df.withColumn("pred_min_id", id_map_column(id_map)[F.col(pred_col)])
+            .withColumn("pred_min_id_diff", F.col(id_col) - F.col("pred_min_id")))
+
+
+def _finish(out: DataFrame, df: DataFrame, flag_col: str, keep_helpers: bool) -> DataFrame:
+    out = out.withColumn(flag_col, F.col("sc1_select") + F.col("sc2_select") + F.col("sc3_select"))
+    keep = df.columns + (["pred_min_id", "pred_min_id_diff", "sc3_min_id", "sc1_select", "sc2_select",
+                          "sc3_select"] if keep_helpers else []) + [flag_col]
+    return out.select(*keep)
+
+
 def survivors_check(selected: DataFrame, key, entity: str | None = None,
                     flag_col: str = "select_flag") -> DataFrame:
     """(key, entity) groups where the selector did not keep exactly one row."""
@@ -160,23 +116,20 @@ def survivors_check(selected: DataFrame, key, entity: str | None = None,
             .filter(F.col("n_kept") != 1))
 
 
-def merge_resolved(original: DataFrame, resolved: DataFrame, key, entity: str | None = None) -> DataFrame:
+def merge_resolved(original: DataFrame, resolved: DataFrame, key, entity: str | None = None,
+                   repeated: DataFrame | None = None) -> DataFrame:
     """Original rows whose (key, entity) occurs once and has no resolved row, plus all resolved rows.
 
-    Same result as tagging the union and keeping ``count over (key, entity) == 1 or tag = predicted``,
-    without a window and without joining the original rows back: one grouped aggregation carries
-    the count *and* the row (``first`` of a group of one is that row).  Partial aggregation collapses
-    a repeated key map-side — a key holding a third of all rows never crosses the network whole — and
-    resolved keys leave through an anti join with the (small) resolved side.
+    Same result as tagging the union and keeping ``count over (key, entity) == 1 or tag = predicted``.
+    Only keys are counted (``repeated``: the keys that occur twice or more, if the caller has them); the
+    original rows leave through one anti join with the repeated and resolved keys, which AQE
+    broadcasts when that side measures small, so that the rows do not move.
     """
     grp = _keys(key) + ([entity] if entity else [])
-    rest = [c for c in original.columns if c not in grp]
-    per_key = original.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"),
-                                         F.first(F.struct(*rest)).alias("_row"))
-    single = per_key.filter(F.col("_n") == 1)
-    keep = semi_join(single, resolved, grp, anti=True)
-    kept = keep.select(*grp, *[F.col("_row").getField(c).alias(c) for c in rest]).select(*original.columns)
-    return kept.unionByName(resolved.select(*original.columns))
+    if repeated is None:
+        repeated = original.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    gone = repeated.select(*grp).unionByName(resolved.select(*grp))
+    return semi_join(original, gone, grp, anti=True).unionByName(resolved.select(*original.columns))
 
 
 __all__ = ["id_map_column", "select_predicted", "survivors_check", "merge_resolved"]

@@ -13,23 +13,29 @@ from wattframe.functions.time import year_range
 
 def balanced_sample(df: DataFrame, class_col: str, n: int = 100, id_cols: list[str] | None = None,
                     seed: int = 42, keep_helpers: bool = False, by: list[str] | None = None,
-                    order: str = "hash") -> DataFrame:
+                    order: str = "hash", buckets: int = 32) -> DataFrame:
     """At most ``n`` rows per class, chosen by a hash of ``id_cols`` (repeatable).
 
     ``row_number <= n`` over (class ordered by hash desc, then id) — the same rows as a dense rank
-    when ids are unique, and a strict cap when they are not — is planned by Spark as a partial
-    ``WindowGroupLimit`` before the shuffle, so each map task forwards at most ``n`` rows per class:
-    a class holding a third of all rows never reaches one task whole.
+    when ids are unique, and a strict cap when they are not.  The limit is taken twice: per class and
+    bucket of the id first, then per class.  Spark plans each as a ``WindowGroupLimit`` on both sides of
+    its exchange, so a map task forwards at most ``n`` rows per class and bucket, a class holding a third
+    of all rows is dealt over ``buckets`` tasks, and the last one sees at most ``buckets * n`` rows of it.
     """
     if class_col not in df.columns:
         raise ValueError(f"{class_col!r} is not a column of the frame")
     ids = id_cols or [c for c in df.columns if c != class_col]
-    w = Window.partitionBy(*(by or []), class_col).orderBy(F.col("unif").desc(), *[F.col(c) for c in ids])
+    first = [F.col("unif").desc(), *[F.col(c) for c in ids]]
+    w = Window.partitionBy(*(by or []), class_col).orderBy(*first)
+    w_bucket = Window.partitionBy(*(by or []), class_col, "_bucket").orderBy(*first)
     if order not in ("hash", "random"):
         raise ValueError("order must be 'hash' or 'random'")
     # "random" orders by rand(seed) as a plain random sample would; its rows depend on the layout
     unif = stable_order_key(ids, seed) if order == "hash" else F.rand(seed)
     out = (df.withColumn("unif", unif)
+           .withColumn("_bucket", F.pmod(F.xxhash64(*ids), F.lit(buckets)))
+           .withColumn("_bucket_rank", F.row_number().over(w_bucket))
+           .filter(F.col("_bucket_rank") <= n).drop("_bucket", "_bucket_rank")
            .withColumn("cat_rank", F.row_number().over(w))
            .filter(F.col("cat_rank") <= n))
     return out if keep_helpers else out.drop("unif", "cat_rank")

@@ -34,6 +34,12 @@ def complete_grid(spark, start, n_units: int, unit_seconds: int = 3600, ts_col:
         F.timestamp_seconds(base + F.col("id") * F.lit(unit_seconds)).cast("timestamp_ntz").alias(ts_col))
 
 
+def _unique(rows: str, idx: str):
+    """True, or an error where the collected rows hold an index twice."""
+    indexes = F.transform(rows, lambda s: s[idx])
+    return F.when(F.size(F.array_distinct(indexes)) < F.size(indexes), F.raise_error(F.lit("a time index is repeated")).cast("boolean")).otherwise(True)
+
+
 def build_sequences(df: DataFrame, idx_col: str, value_col: str, label_col: str, history: int = 24,
                     target_offset: int = 0, horizon: int = 1, split_col: str | None = None,
                     out_col: str = "history", method: str = "blocks", block_size: int = 8192) -> DataFrame:
@@ -43,8 +49,8 @@ def build_sequences(df: DataFrame, idx_col: str, value_col: str, label_col: str,
     * ``label``: ``label_col`` at ``i + target_offset`` (or, with ``horizon > 1``, the array of the
       ``horizon`` labels ``i … i+horizon-1``).
 
-    ``idx_col`` must be unique within a split (one row per time index); a target is produced only
-    when all the indexes it needs are present.
+    ``idx_col`` must be unique within a split (one row per time index); a repeated index raises.  A target
+    is produced only when all the indexes it needs are present.
     """
     if method == "blocks":
         return _sequences_blocks(df, idx_col, value_col, label_col, history, target_offset, horizon,
@@ -58,7 +64,7 @@ def build_sequences(df: DataFrame, idx_col: str, value_col: str, label_col: str,
             .withColumn("_tgt", F.col("_src") + F.col("_lag")))
     seq = (sent.groupBy(*part, "_tgt")
            .agg(F.sort_array(F.collect_list(F.struct(F.col("_src"), F.col("_v")))).alias("_s"))
-           .filter(F.size("_s") == history)
+           .filter(_unique("_s", "_src") & (F.size("_s") == history))
            .select(*part, F.col("_tgt").alias(idx_col), F.transform("_s", lambda s: s["_v"]).alias(out_col)))
     if horizon == 1:
         labels = df.select(*part, (F.col(idx_col) - F.lit(target_offset)).alias(idx_col),
@@ -99,8 +105,9 @@ def _sequences_blocks(df, idx_col, value_col, label_col, history, target_offset,
     w = Window.partitionBy(*part, "_b").orderBy("_i")
     hist = F.collect_list(F.struct("_i", "_v")).over(w.rowsBetween(-history, -1))
     labs = F.collect_list(F.struct("_i", "_y")).over(w.rowsBetween(target_offset, fwd))
-    seq = rows.select(*part, "_i", "_core", hist.alias("_h"), labs.alias("_l"))
-    ok = (F.col("_core") & (F.size("_h") == history) & (F.col("_h")[0]["_i"] == F.col("_i") - history)
+    again = F.when(F.lag("_i").over(w) == F.col("_i"), F.raise_error(F.lit("a time index is repeated")).cast("boolean")).otherwise(True)
+    seq = rows.select(*part, "_i", "_core", hist.alias("_h"), labs.alias("_l"), again.alias("_once"))
+    ok = (F.col("_once") & F.col("_core") & (F.size("_h") == history) & (F.col("_h")[0]["_i"] == F.col("_i") - history)
           & (F.size("_l") == horizon) & (F.element_at("_l", -1)["_i"] == F.col("_i") + fwd)
           & (F.col("_l")[0]["_i"] == F.col("_i") + target_offset))
     label = F.col("_l")[0]["_y"] if horizon == 1 else F.transform("_l", lambda s: s["_y"])

@@ -22,6 +22,7 @@ from wattframe.operators.resolve import survivors_check
 from wattframe.plans.weather import resolve_duplicates, wide_weather
 from wattframe.schemas import (CITIES, CLASSIFIER_INPUTS, CITY_SHORT, ENERGY_SCHEMA, EXPECTED_HOURS,
                                WEATHER_MIN_ID, WEATHER_SCHEMA, WEATHER_MEASURES)
+from wattframe.session import cut_lineage
 from wattframe.sources.files import read_csv, write_csv, write_parquet
 
 
@@ -37,21 +38,23 @@ def load_energy(spark: SparkSession, path: str) -> DataFrame:
 def with_row_id(weather: DataFrame) -> DataFrame:
     """Row id for tie-breaking: ``xxhash64`` of the whole row — a narrow projection, the same on every
     run and after any retry or repartitioning, unlike positional ids.  Byte-identical copies share an
-    id; ``resolve_duplicates`` drops such copies among the repeated rows (the only place they can
-    be), so no pass over the whole table is spent on them."""
+    id; the selector counts them as peers of one another."""
     return weather.withColumn("row_id", F.xxhash64(*[F.col(c) for c in weather.columns]))
 
 
 def build_tables(spark: SparkSession, energy_path: str, weather_path: str, out_dir: str | None = None,
                  cities: list[str] = CITIES, fmt: str = "parquet", expected_hours: int | None = EXPECTED_HOURS):
     energy = load_energy(spark, energy_path)
-    raw = load_weather(spark, weather_path)
-    weather = with_row_id(raw)
+    # the text file is parsed once; all passes below read columns of the copy in the shared folder
+    weather = cut_lineage(with_row_id(load_weather(spark, weather_path)))
+    raw = weather.drop("row_id")
     selected, merged = resolve_duplicates(weather, "dt_iso", "city_name", cities, CLASSIFIER_INPUTS,
                                           "weather_main", "weather_id", WEATHER_MIN_ID, "row_id")
-    merged = merged.drop("row_id")
+    # read by the pivot and the quality report
+    merged = cut_lineage(merged.drop("row_id"))
     measures = [m for m, _ in WEATHER_MEASURES]
-    wide = wide_weather(merged.select("dt_iso", "city_name", *measures), "dt_iso", "city_name", cities, measures)
+    # read by the imputer's fit, the joined table, the sink and the check
+    wide = cut_lineage(wide_weather(merged.select("dt_iso", "city_name", *measures), "dt_iso", "city_name", cities, measures))
     table = energy_weather_table(energy, wide)
     resolved_rows = selected.filter(F.col("select_flag") == 1).drop("row_id", "select_flag")
     dups = duplicate_matrix(raw, "dt_iso", "city_name", cities, names=CITY_SHORT)

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from wattframe.functions.columns import columns_of_type
 from wattframe.operators.evaluate import mean_std_wide, rmse_wide
-from wattframe.operators.features import fit_centred_pca, fit_minmax, stable_layout
+from wattframe.operators.features import FIT_PARTITIONS, fit_centred_pca, fit_minmax, stable_layout
 from wattframe.operators.sampling import contiguous_folds, shuffled_folds, time_split_label, year_split
 from wattframe.operators.sequences import build_sequences, hour_index
 from wattframe.schemas import BEST_TREE_PARAMS, HISTORY_SPLITS, HISTORY_WINDOW, TEST_YEAR, TREE_COMMON
@@ -50,7 +50,10 @@ def feature_columns(df: DataFrame, target: str, ts_col: str, exclude: list[str]
 
 def gbt(target: str, learning_rate: float = 0.07, max_depth: int = 5, n_estimators: int = 500,
         min_child_weight: int = TREE_COMMON["min_child_weight"], subsample: float = TREE_COMMON["subsample"],
-        colsample: float = TREE_COMMON["colsample_bytree"], seed: int = 42, **_ignored) -> GBTRegressor:
+        colsample: float = TREE_COMMON["colsample_bytree"], alpha: float = 0.0, seed: int = 42) -> GBTRegressor:
+    """``alpha``, an L1 penalty of leaf values, has no counterpart in Spark; only 0 is accepted."""
+    if alpha:
+        raise ValueError("GBTRegressor has no L1 leaf penalty; alpha must be 0")
     return GBTRegressor(labelCol=target, featuresCol="features", stepSize=learning_rate, maxDepth=max_depth,
                         maxIter=n_estimators, minInstancesPerNode=min_child_weight, subsamplingRate=subsample,
                         featureSubsetStrategy=str(colsample), lossType="squared", seed=seed)
@@ -68,33 +71,33 @@ def model_input_once(df: DataFrame) -> DataFrame:
 
 
 def forecast_trees(df: DataFrame, ts_col: str, target: str, test_year: int = TEST_YEAR, params: dict | None = None,
-                   exclude: list[str] | None = None) -> DataFrame:
-    """(ts, actual, ``<target>_predicted``) for the test year.  The prediction stays keyed by time
-    (``transform`` carries the key), so re-attaching it is a join, never a positional paste."""
+                   exclude: list[str] | None = None, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """The whole test-year frame with ``<target>_predicted``.  The prediction stays keyed by time
+    (``transform`` carries the row), so re-attaching it is a join, never a positional paste."""
     params = params if params is not None else BEST_TREE_PARAMS.get(target, {})
     cols = feature_columns(df, target, ts_col, exclude)
     train, test = year_split(df, ts_col, test_year)
-    model = Pipeline(stages=[_assembler(cols), gbt(target, **params)]).fit(stable_layout(train, [ts_col]))
-    return model.transform(test).select(ts_col, target, F.col("prediction").alias(f"{target}_predicted"))
+    model = Pipeline(stages=[_assembler(cols), gbt(target, **params)]).fit(stable_layout(train, [ts_col], partitions))
+    return model.transform(test).select(*df.columns, F.col("prediction").alias(f"{target}_predicted"))
 
 
 def forecast_targets(df: DataFrame, ts_col: str, targets: dict, test_year: int = TEST_YEAR,
                      params_by_target: dict = BEST_TREE_PARAMS, set_aside: DataFrame | None = None,
-                     parallelism: int = 4) -> DataFrame:
-    """All targets' predictions for the test year joined on time, plus the set-aside block.
+                     parallelism: int = 4, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """The test-year frame with all targets' predictions, joined on time, plus the set-aside block.
     The per-target fits are independent distributed jobs and run concurrently."""
     df = model_input_once(df)
 
     def one(item):
         target, pred_col = item
-        return forecast_trees(df, ts_col, target, test_year, params_by_target[target]).withColumnRenamed(
-            f"{target}_predicted", pred_col)
+        return forecast_trees(df, ts_col, target, test_year, params_by_target[target], partitions=partitions).select(
+            ts_col, F.col(f"{target}_predicted").alias(pred_col))
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(targets)))) as pool:
         parts = list(pool.map(one, targets.items()))
-    out = None
+    out = year_split(df, ts_col, test_year)[1]
     for p in parts:
-        out = p if out is None else out.join(p, ts_col, "inner")
+        out = out.join(p, ts_col, "inner")
     if set_aside is not None:
         _, aside_test = year_split(set_aside, ts_col, test_year)
         out = out.join(aside_test, ts_col, "left")
@@ -165,6 +168,7 @@ def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, roun
     spark = df.sparkSession
     df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
+    df = model_input_once(df.select(ts_col, target, *cols))
     model = gbt(target, **dict(params, n_estimators=rounds)).fit(_assembler(cols).transform(stable_layout(df, [ts_col])))
     path = scratch_path(spark, "models", "gbt")
     model.write().overwrite().save(path)
@@ -239,8 +243,12 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
     t0 = lab.select(F.min(ts_col)).scalar()
     rows = hour_index(proj, ts_col, t0, unit_seconds).withColumn(
         "row", F.concat(vector_to_array("xp"), F.array(F.col(f"{target}_s"))))
-    seq = build_sequences(rows, "idx", "row", f"{target}_s", history, split_col="split")
-    seq = seq.withColumn("features", array_to_vector(F.flatten("history")))
+    # the target row's time and value travel with its label
+    rows = rows.withColumn("_label", F.struct(F.col(f"{target}_s").alias("y"), F.col(ts_col).alias("ts"), F.col(target).alias("actual")))
+    seq = build_sequences(rows, "idx", "row", "_label", history, split_col="split")
+    seq = seq.select("split", "idx", F.col("label.y").alias("label"), F.col("label.ts").alias(ts_col), F.col("label.actual").alias(target),
+                     array_to_vector(F.flatten("history")).alias("features"))
+    seq = model_input_once(seq)
     fit_rows = stable_layout(seq.filter(F.col("split") != "test"), ["split", "idx"])
     if model == "linear":
         reg = LinearRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=1e-4)
@@ -261,8 +269,7 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
         m = full if best + 1 == len(val_err) else \
             GBTRegressor(featuresCol="features", labelCol="label", maxIter=best + 1, seed=42).fit(train_rows)
     pred = m.transform(seq)
-    keyed = rows.select("split", "idx", ts_col, target)
-    out = pred.join(keyed, ["split", "idx"]).select(
+    out = pred.select(
         ts_col, "split", target, sy.inverse_column("prediction", target).alias(f"{target}_predicted"))
     errors = pred.filter(F.col("split") != "test").groupBy("split").agg(
         sy.inverse_error(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))), target).alias("rmse"))
@@ -270,6 +277,39 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
     return out.filter(F.col("split") == "test").drop("split"), errors, history
 
 
+def forecast_history_targets(df: DataFrame, ts_col: str, targets: dict[str, str], parallelism: int = 4, **how) -> DataFrame:
+    """One row per test time: every target with its prediction from the history model (``targets`` maps target to
+    prediction column); settings as in :func:`forecast_from_history`."""
+    df = model_input_once(df)
+
+    def one(item):
+        target, name = item
+        pred, _, _ = forecast_from_history(df, ts_col, target, **how)
+        return pred.withColumnRenamed(f"{target}_predicted", name)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(targets)))) as pool:
+        parts = list(pool.map(one, targets.items()))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, ts_col, "inner")
+    return out
+
+
+def tuning_report(scores: DataFrame, best: dict, test_rmse: float | None) -> DataFrame:
+    """The grid's scores with the chosen point marked and its test RMSE after the refit."""
+    chosen = (F.col("learning_rate") == best["learning_rate"]) & (F.col("max_depth") == best["max_depth"])
+    return scores.withColumns({"best": chosen, "test_rmse": F.when(chosen, F.lit(test_rmse).cast("double"))})
+
+
+def comparison_report(preds: DataFrame, pairs: dict) -> DataFrame:
+    """Both matrices as one long table: RMSE per (model, target), mean and std of every series."""
+    rm, ms = compare_models(preds, None, pairs)
+    none = F.lit(None).cast("double")
+    return rm.select(F.lit("rmse").alias("part"), "model", F.col("target").alias("series"), "rmse", none.alias("mean"), none.alias("std"),
+                     F.col("n_pairs").alias("n")).unionByName(
+        ms.select(F.lit("mean_std").alias("part"), F.lit(None).cast("string").alias("model"), "series", none.alias("rmse"), "mean", "std", "n"))
+
+
 def _training_history(spark, m, model: str, fit_rows: DataFrame, sy, target: str) -> DataFrame:
     """Per-iteration training history in original units: for trees the train / validation RMSE after
     every round (one pass per split), for the linear model its objective per iteration.  An error
@@ -297,4 +337,4 @@ def compare_models(preds: DataFrame, key, pairs: dict, series: dict | None = Non
 
 
 __all__ = ["model_input_once", "feature_columns", "gbt", "forecast_trees", "forecast_targets", "cv_curve", "split_importance",
-           "tune_trees", "forecast_from_history", "compare_models"]
+           "tune_trees", "tuning_report", "forecast_from_history", "forecast_history_targets", "compare_models", "comparison_report"]

@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.text import normalised_equals
 from wattframe.operators.evaluate import classification_metrics, error_direction
-from wattframe.operators.joins import semi_join
+from wattframe.operators.joins import keyed_join, semi_join
 from wattframe.operators.profile import duplicate_counts
-from wattframe.operators.resolve import HOT_GROUP_ROWS, merge_resolved, select_predicted
+from wattframe.operators.resolve import merge_resolved, select_predicted
 from wattframe.operators.reshape import to_wide
 from wattframe.operators.sampling import balanced_sample, hash_split
-from wattframe.operators.features import stable_layout
+from wattframe.operators.features import FIT_PARTITIONS, stable_layout
 from wattframe.schemas import BALANCED_CAP
 from wattframe.session import cut_lineage
 
@@ -72,11 +72,12 @@ def repeated_rows(df: DataFrame, key, entity: str, min_count: int = 2) -> DataFr
 
 def fit_class_model(train: DataFrame, inputs: list[str], label_col: str, classifier: str = "rf",
                     cap: int = BALANCED_CAP, id_cols: list[str] | None = None, seed: int = 42,
-                    normalise: bool = False, handle_invalid: str = "keep") -> PipelineModel:
+                    normalise: bool = False, handle_invalid: str = "keep",
+                    partitions: int = FIT_PARTITIONS) -> PipelineModel:
     """Label order from all training rows; the classifier sees at most ``cap`` rows per class."""
     indexer = StringIndexer(inputCol=label_col, outputCol="label", handleInvalid="keep").fit(train)
     sample = balanced_sample(train, label_col, cap, id_cols, seed)
-    sample = stable_layout(sample, id_cols or sample.columns, cap * max(1, len(indexer.labels)))
+    sample = stable_layout(sample, id_cols or sample.columns, partitions)
     feats = "features_raw" if normalise else "features"
     stages = [VectorAssembler(inputCols=inputs, outputCol=feats, handleInvalid=handle_invalid)]
     if normalise:
@@ -86,6 +87,17 @@ def fit_class_model(train: DataFrame, inputs: list[str], label_col: str, classif
     return Pipeline(stages=stages).fit(sample)
 
 
+def training_rows(rows: DataFrame, inputs: list[str], nulls: str = "drop", fill: float = 0.0) -> DataFrame:
+    """Training rows with null features dropped (as the source does), filled, or kept for the assembler."""
+    if nulls == "drop":
+        return rows.na.drop(subset=inputs)
+    if nulls == "fill":
+        return rows.na.fill(fill, subset=inputs)
+    if nulls == "keep":
+        return rows
+    raise ValueError("nulls must be 'drop', 'fill' or 'keep'")
+
+
 def _entity_frames(df, key, entity, value, dup_keys):
     mine = df.filter(normalised_equals(entity, value))
     return clean_rows(mine, key, dup_keys), repeated_rows(mine, key, entity)
@@ -93,28 +105,44 @@ def _entity_frames(df, key, entity, value, dup_keys):
 
 def predict_duplicates(df: DataFrame, key, entity: str, value: str, inputs: list[str], label_col: str,
                        dup_keys: DataFrame, classifier: str = "rf", cap: int = BALANCED_CAP,
-                       id_cols: list[str] | None = None, seed: int = 42, fill_features: float | None = 0.0):
+                       id_cols: list[str] | None = None, seed: int = 42, fill_features: float | None = 0.0,
+                       train_nulls: str = "drop"):
     """Fit on one entity's clean rows, predict its repeated rows (adds prediction, predictedLabel)."""
     train, todo = _entity_frames(df, key, entity, value, dup_keys)
-    model = fit_class_model(train.na.drop(subset=inputs), inputs, label_col, classifier, cap, id_cols, seed)
+    model = fit_class_model(training_rows(train, inputs, train_nulls), inputs, label_col, classifier, cap, id_cols, seed)
     if fill_features is not None:
         todo = todo.na.fill(fill_features, subset=inputs)
     return model.transform(todo)
 
 
 def train_and_evaluate_classifier(df: DataFrame, key, entity: str, value: str, inputs: list[str],
-                                  label_col: str, dup_keys: DataFrame, classifier: str = "rf",
+                                  label_col: str, dup_keys: DataFrame, classifier: str | list[str] = "rf",
                                   cap: int = BALANCED_CAP, id_cols: list[str] | None = None,
-                                  seed: int = 42, fraction: float = 0.6):
-    """Hold out ``1 - fraction`` of one entity's clean rows; return (predictions, metrics, direction)."""
+                                  seed: int = 42, fraction: float = 0.6, train_nulls: str = "drop",
+                                  normalise: bool = False):
+    """Hold out ``1 - fraction`` of one entity's clean rows; return (predictions, metrics, direction).
+
+    With a list of classifiers the entity's rows are found and written once for all of them, and the
+    three results are dictionaries by classifier.
+    """
+    names = [classifier] if isinstance(classifier, str) else list(classifier)
     train_all, _ = _entity_frames(df, key, entity, value, dup_keys)
-    train_all = train_all.na.drop(subset=inputs)
+    train_all = training_rows(train_all, inputs, train_nulls)
+    if len(names) > 1:
+        train_all = cut_lineage(train_all)
     fit_rows, held = hash_split(train_all, id_cols or _keys(key), fraction, seed)
-    model = fit_class_model(fit_rows, inputs, label_col, classifier, cap, id_cols, seed)
-    pred = model.transform(held)
-    metrics = classification_metrics(pred, "label", "prediction")
-    direction = error_direction(pred, "label", "prediction", label_col)
-    return pred, metrics, direction
+
+    def one(name):
+        model = fit_class_model(fit_rows, inputs, label_col, name, cap, id_cols, seed, normalise)
+        pred = model.transform(held)
+        return (pred, classification_metrics(pred, "label", "prediction"),
+                error_direction(pred, "label", "prediction", label_col))
+
+    with ThreadPoolExecutor(max_workers=min(4, len(names))) as pool:  # independent distributed fits
+        found = list(pool.map(one, names))
+    if isinstance(classifier, str):
+        return found[0]
+    return tuple({n: r[i] for n, r in zip(names, found)} for i in range(3))
 
 
 def label_orders(rows: DataFrame, entity: str, label_col: str) -> dict[str, list[str]]:
@@ -140,64 +168,64 @@ def _fit_from_sample(sample: DataFrame, labels: list[str], inputs: list[str], la
 def resolve_duplicates(df: DataFrame, key, entity: str, entities: list[str], inputs: list[str],
                        label_col: str, id_col: str, id_map: dict, row_id: str, classifier: str = "rf",
                        cap: int = BALANCED_CAP, seed: int = 42, rule: str = "running",
-                       parallelism: int | None = None, fill_features: float | None = 0.0,
-                       hot_rows: int | None = HOT_GROUP_ROWS):
+                       parallelism: int = 5, fill_features: float | None = 0.0,
+                       train_nulls: str = "drop", partitions: int = FIT_PARTITIONS):
     """Returns ``(selected, merged)``: the flagged predictions of every repeated row, and the long
     table with one resolved row per (key, entity) wherever the selector kept one.
 
     The number of passes over ``df`` does not grow with the number of entities: repeated keys, clean
     rows, repeated rows, the per-(entity, class) balanced samples and the label orders are each one
     pass for all entities.  Only fitting (on ≤ ``cap`` rows per class) and predicting (on that
-    entity's repeated rows) are per entity, run concurrently.
+    entity's repeated rows) are per entity, ``parallelism`` of them at a time.  Every repeated row, exact
+    copies included, reaches the selector; ``train_nulls`` says what becomes of clean rows with a null
+    feature (see :func:`training_rows`).
     """
     ks = _keys(key)
-    # one grouped pass gives the repeated (key, entity) pairs; the keys repeated in any entity are
-    # their distinct keys (small), so the table is aggregated once for both
-    reps = duplicate_counts(df, ks, entity).filter(F.col(entity).isin(list(entities)))
-    dup_keys = reps.select(*ks).distinct()
-    clean = clean_rows(df, ks, dup_keys).filter(F.col(entity).isin(list(entities))).na.drop(subset=inputs)
-    # byte-identical copies can only sit in repeated groups; keeping one of them is what the rule
-    # would do, so drop them here, on the repeated rows only (a no-op when row ids are unique)
-    repeated = semi_join(df, reps, ks + [entity]).dropDuplicates()
+    # one grouped pass gives the repeated (key, entity) pairs, kept as one row per key
+    reps = duplicate_counts(df, ks, entity)
+    listed = reps.filter(F.col(entity).isin(list(entities)))
+    by_key = listed.groupBy(*ks).agg(F.collect_set(entity).alias("_repeated"))  # at most the listed entities
+    # one join tells clean rows (no entity repeats the key) from repeated ones
+    tagged = keyed_join(df, by_key, ks, "left")
+    clean = tagged.filter(F.col("_repeated").isNull() & F.col(entity).isin(list(entities))).select(*df.columns)
+    clean = training_rows(clean, inputs, train_nulls)
+    repeated = tagged.filter(F.array_contains("_repeated", F.col(entity))).select(*df.columns)
     if fill_features is not None:
         repeated = repeated.na.fill(fill_features, subset=inputs)
     labels = label_orders(clean, entity, label_col)
     samples = balanced_sample(clean, label_col, cap, [row_id], seed, by=[entity])
-    # the sample has a proven size bound (≤ cap rows per entity and class): give the model fits a
-    # partition count sized from that bound instead of the session's shuffle width
-    bound = cap * sum(len(v) for v in labels.values())
-    samples = stable_layout(samples, [entity, row_id], bound).persist(StorageLevel.MEMORY_AND_DISK)
+    samples = stable_layout(samples, [entity, row_id], partitions).persist(StorageLevel.MEMORY_AND_DISK)
     repeated = repeated.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(value):
         if value not in labels:
             return None
-        mine = stable_layout(samples.filter(F.col(entity) == value), [row_id], cap * len(labels[value]))
+        mine = stable_layout(samples.filter(F.col(entity) == value), [row_id], partitions)
         model = _fit_from_sample(mine, labels[value], inputs, label_col, classifier, seed)
         return model.transform(repeated.filter(F.col(entity) == value)).select(*df.columns, "predictedLabel")
 
-    with ThreadPoolExecutor(max_workers=parallelism or max(1, len(entities))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(entities)))) as pool:
         parts = [p for p in pool.map(one, entities) if p is not None]
     if not parts:  # no entity has a labelled clean row: nothing can be predicted, nothing is resolved
         parts = [repeated.select(*df.columns, F.lit(None).cast("string").alias("predictedLabel"))]
     # model output is read by both sides of the selector (aggregates and join back): compute it once
     preds = reduce(lambda a, b: a.unionByName(b), parts).persist(StorageLevel.MEMORY_AND_DISK)
     selected = select_predicted(preds, ks, label_col, id_col, "predictedLabel", id_map, row_id,
-                                entity=entity, rule=rule, hot_rows=hot_rows)
-    # materialise the flagged rows once in the shared checkpoint folder: the merge reads them twice,
-    # a lost executor does not send the models back to work, and the cached inputs can go
+                                entity=entity, rule=rule)
+    # write the flagged rows once to the shared folder: the merge reads them twice, a lost executor
+    # does not send the models back to work, and the cached inputs can go
     selected = cut_lineage(selected)
     for cached in (preds, repeated, samples):
         cached.unpersist()
     kept = selected.filter(F.col("select_flag") == 1).select(*df.columns)
-    merged = merge_resolved(df, kept, ks, entity)
+    merged = merge_resolved(df, kept, ks, entity, repeated=reps)
     return selected, merged
 
 
 def wide_weather(merged: DataFrame, key, entity: str, entities: list[str],
-                 measures: list[str] | None = None, dict_limit: int | None = 1000) -> DataFrame:
-    return to_wide(merged, key, entity, entities, measures, dict_limit=dict_limit)
+                 measures: list[str] | None = None, dictionaries: dict[str, list[str]] | None = None) -> DataFrame:
+    return to_wide(merged, key, entity, entities, measures, dictionaries=dictionaries)
 
 
-__all__ = ["make_classifier", "clean_rows", "repeated_rows", "fit_class_model", "predict_duplicates",
+__all__ = ["training_rows", "make_classifier", "clean_rows", "repeated_rows", "fit_class_model", "predict_duplicates",
            "train_and_evaluate_classifier", "label_orders", "resolve_duplicates", "wide_weather"]

@@ -8,13 +8,16 @@ Settings the library relies on:
   out small at run time are broadcast, hot keys are split, without hand-placed hints.
 
 Scratch output (round-trip files, saved models, lineage cuts) goes under the folder the cluster names
-in ``spark.checkpoint.dir``; only when that is unset (tests, laptops) do we pick one ourselves.
+in ``spark.checkpoint.dir``; only a local session may leave that unset (tests, laptops).
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -71,29 +74,47 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set one only where the cluster did not."""
+    """Return the shared checkpoint folder.
+
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session (tests, laptops), whose tasks
+    all run in the driver, may leave it unset: it gets a folder of its own that goes when Python ends.
+    On a cluster a missing setting raises, because executors would write to their own disks.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="wattframe-ckpt-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        d = _own_folder()
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # Spark Connect has no SparkContext; DataFrame.checkpoint still reads the conf
-        pass
+    context = getattr(spark, "_sc", None)  # a Spark Connect session has none; its checkpoints read the setting
+    if context is not None and not context.getCheckpointDir():
+        context.setCheckpointDir(d)
+    return d
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    d = tempfile.mkdtemp(prefix="wattframe-local-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
     return d
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh path under the shared checkpoint folder (never a machine-local temp dir)."""
+    """A fresh path under the shared checkpoint folder ."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "wattframe", *parts, uuid.uuid4().hex])
 
 
-def cut_lineage(df, eager: bool = True):
-    """Cut a long lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df):
+    """Write a frame once to the shared folder and read it back.
+
+    Later reads are column-pruned file scans, and a lost executor does not send the plan behind the frame
+    back to work.  (``checkpoint`` would run that plan twice, once to count and once to write.)
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_path(p: str) -> str:
