@@ -27,7 +27,7 @@ def tik():
 
 def strange(n):
     rnd = random.Random(n)
-    sets = ["ab ", "aaab", " \n\t", "é à ñ", "    　a", "你好 🙂", "'s 't're'LL", "<|endoftext|> ", "0123 .", "\u0085\x1c\x1f x", "ﬁ‍́ e"]
+    sets = ["ab ", "aaab", " \n\t", "é à ñ", "    　a", "你好 🙂", "'s 't're'LL", "<|endoftext|> ", "0123 .", "\u0085\x1c\x1f x", "ﬁ‍́ e", "ª²¹º ×÷ ", "ÀÖØöøɏ ɐ", "a's'S ", "\r\n .,"]
     return ["".join(rnd.choice(rnd.choice(sets)) for _ in range(rnd.randrange(60))) for _ in range(n)] + \
         ["".join(rnd.choice(s) for _ in range(40)) for s in sets for _ in range(20)]
 
@@ -80,5 +80,7 @@ def test_small_cache_changes_nothing(monkeypatch):
     enc = bpe.Encoder(JSON)
     want = enc.encode(pa.array(texts))
     monkeypatch.setattr(bpe, "CACHE", 10)
-    got = enc.encode(pa.array(texts))
+    for _ in range(3):
+        enc.encode(pa.array([f"other{i} word7" for i in range(300)]))
+        got = enc.encode(pa.array(texts))
     assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])

@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding over Arrow batches.
 
-Texts are cut at blanks that follow a non-blank character: the splitting pattern never matches across
-such a place, so the cut pieces can be encoded alone.  The distinct pieces of a slice go through the
-tokenizers library once (a bounded cache keeps those seen before), and ids of whole documents are put
-together with numpy.  Decoding looks the ids up in a byte table made by reversing the byte-to-character
-map of the vocabulary; characters that tokens split come together again because whole documents are
-joined as bytes before any of them is read as UTF-8.
+Texts of ASCII and Latin letters are split into the matches of the pattern with numpy, whole slices at a
+time; other texts are cut at blanks that follow a non-blank character, which no match crosses, and split
+by the library.  Distinct matches have their bytes mapped to characters and are merged by the tokenizers
+library once (a bounded cache keeps those seen before); ids of whole documents are put together with
+numpy.  Decoding looks the ids up in a byte table made by reversing the byte-to-character map of the
+vocabulary; characters that tokens split come together again because whole documents are joined as bytes
+before any of them is read as UTF-8.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,13 +24,23 @@ from pyspark.sql import DataFrame
 from . import arrow_text as A
 from .scratch import carry
 
-#: Distinct pieces kept in a Python worker; more are encoded again, with the same result.
-CACHE = 400_000
+#: Matches whose ids a Python worker keeps (twice this many at most); others are merged again, with the same result.
+CACHE = 250_000
 
 #: Fixed value: the pattern that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+# Kinds of bytes: letters (of two-byte characters C3 to C9 lead and any may follow), digits, other printable
+# ASCII, blank and other white space; 0 for all that is left to the tokenizers library.
+_LETTER, _DIGIT, _OTHER, _BLANK, _WHITE = 1, 2, 3, 4, 5
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA), *range(0x80, 0xC0)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[0x20], _KIND[[0x09, 0x0A, 0x0D]] = _BLANK, _WHITE
+
+
 def byte_chars() -> list[str]:
     """The character that stands for each byte: printable ones for themselves, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -36,6 +48,9 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+_CHARS = dict(enumerate(byte_chars()))
+
+
 def tokenizer_from_ranks(path: str, pattern: str = PATTERN):
     """A tokenizers BPE that merges by the ranks of a rank file.
 
@@ -69,14 +84,16 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        if path.endswith(".json"):
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
+        if path.endswith(".json"):
             self.tok = Tokenizer.from_file(path)
         else:
             self.tok = tokenizer_from_ranks(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.merge = Tokenizer(self.tok.model)  # merges alone: what it gets is split and mapped to characters already
+        self.seen: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         back = {c: b for b, c in enumerate(byte_chars())}
         vocab = self.tok.get_vocab()
         tokens = [b""] * (max(vocab.values(), default=-1) + 1)
@@ -90,25 +107,49 @@ class Encoder:
         data, offsets = A.buffers(column)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        cut = _cuts(data, offsets)
+        kinds = _KIND[data]
+        odd = kinds == 0
+        odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        settled = A.segment_sum(odd, offsets) == 0
+        start = _match_starts(data, kinds, offsets)
+        if not settled.all():
+            other = np.repeat(~settled, np.diff(offsets))
+            start[:-1] = np.where(other, _safe_starts(data, offsets)[:-1], start[:-1])
+        cut = np.flatnonzero(start)
         kind, width = (pa.binary(), np.int32) if len(data) < 2**31 - 1 else (pa.large_binary(), np.int64)
         pieces = pa.Array.from_buffers(kind, len(cut) - 1, [None, pa.py_buffer(cut.astype(width)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
-        ids, at = self._distinct(coded.dictionary.to_pylist())
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        unsplit = np.zeros(len(coded.dictionary), bool)
+        if not settled.all():
+            unsplit[code[other[cut[:-1]]]] = True
+        ids, at = self._distinct(coded.dictionary.to_pylist(), unsplit)
         out, ends = A.ragged_take(ids, at[code], at[code + 1] - at[code])
         return out, ends[np.searchsorted(cut, offsets)]
 
-    def _distinct(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = pieces
-        for p, e in zip(new, self.tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self.cache[p] = np.array(e.ids, np.uint32).tobytes()
-        found = [self.cache[p] for p in pieces]
+    def _distinct(self, pieces: list[bytes], unsplit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: matches of the pattern, or (``unsplit``) texts the library has yet to split."""
+        found = [self.seen.get(p) for p in pieces]
+        new = [i for i, x in enumerate(found) if x is None]
+        whole = np.flatnonzero(unsplit).tolist()
+        if new:
+            if len(self.seen) + len(new) > CACHE:  # forget what was not needed for a while
+                self.old, self.seen = self.seen, {}
+            seen, old, ask = self.seen, self.old, []
+            for i in new:
+                found[i] = known = old.get(pieces[i])
+                if known is None:
+                    ask.append(i)
+                else:
+                    seen[pieces[i]] = known
+            ask = [i for i in ask if not unsplit[i]] if whole else ask
+            chars = [pieces[i].decode("latin-1").translate(_CHARS) for i in ask]
+            for i, e in zip(ask, self.merge.encode_batch_fast(chars, add_special_tokens=False)):
+                found[i] = seen[pieces[i]] = array("I", e.ids).tobytes()
+        for i, e in zip(whole, self.tok.encode_batch_fast([pieces[i].decode() for i in whole], add_special_tokens=False)):
+            found[i] = array("I", e.ids).tobytes()
         at = np.zeros(len(found) + 1, np.int64)
-        np.cumsum([len(x) >> 2 for x in found], out=at[1:])
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2, out=at[1:])
         return np.frombuffer(b"".join(found), np.uint32), at
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +182,8 @@ def _table(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(items), np.uint8), at
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets of pieces: document starts, and blanks after a character that surely is no white space."""
+def _safe_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Document starts, and blanks after a character that surely is no white space: no match crosses these."""
     n = len(data)
     solid = data > 0x20
     high = np.flatnonzero(data >= 0x80)
@@ -154,7 +195,38 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mark[1:n] = (data[1:] == 0x20) & solid[:-1]
     mark[offsets] = True
     mark[n] = True
-    return np.flatnonzero(mark)
+    return mark
+
+
+def _match_starts(data: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the matches of ``PATTERN`` start, for documents of settled characters; the end counts as a start.
+
+    A match is a run of one kind, with the single blank before it; of a longer run of white space all but
+    the last character are a match, and the last one too unless it is a blank that joins what follows.
+    An apostrophe that starts a match takes s, t, m, d, re, ve or ll with it.
+    """
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    first[n] = True
+    space = kinds >= _BLANK
+    start = first.copy()
+    before, now = kinds[:-1], kinds[1:]
+    last = np.zeros(n, bool)  # white space right before something else in the same document
+    last[:-1] = space[:-1] & ~space[1:] & ~first[1:n]
+    start[1:n] |= np.where(space[1:], ~space[:-1] | last[1:], (before != now) & (before != _BLANK))
+    quote = np.flatnonzero((data == 0x27) & start[:n])
+    if len(quote):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        inside = np.concatenate([~first[1:], np.zeros(2, bool)])  # whether byte i + 1 belongs to the document of byte i
+        one, two = padded[quote + 1], padded[quote + 2]
+        short = inside[quote] & np.isin(one, list(b"stmd"))
+        pair = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        long = inside[quote] & inside[quote + 1] & pair
+        start[quote[short | long] + 1] = False
+        start[quote[short] + 2] = True
+        start[quote[long] + 3] = True
+    return start
 
 
 @lru_cache(maxsize=4)
