@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from wattframe.llm import rans as R
@@ -49,6 +50,11 @@ def test_damage_is_noticed():
         R.decode_blocks(bytes(payload), R.read_header(bytes(payload)))
 
 
+def mark(text):
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def check(spark, docs, **how):
     out = scratch_path(spark, "llm", "tokens")
     R.write_tokens(docs, out, JSON, **how)
@@ -56,7 +62,7 @@ def check(spark, docs, **how):
     tok = Tokenizer.from_file(JSON)
     tok.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()),
-                  key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+                  key=lambda r: (r[0] is not None, r[0] or 0, mark(r[1])))
     want, start = [], 0
     for i, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]

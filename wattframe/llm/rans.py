@@ -162,8 +162,8 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_I
                  segment: int = SEGMENT, block: int = BLOCK, lanes: int = LANES) -> None:
     """Write the ids of every document, with ``end_id`` after each, in ascending order of ``id_col``.
 
-    Null texts count as empty; null ids come first; rows with equal ids go in order of their text.  Other
-    columns are ignored.  An empty table gives an empty file table.
+    Null texts count as empty; null ids come first; rows with equal ids go in order of a hash of their text, so
+    that many of them need not meet in one task.  Other columns are ignored.  An empty table gives an empty file table.
     """
     def run(batches):
         from pyspark import TaskContext
@@ -191,8 +191,9 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_I
         if held:
             yield closed()
 
-    (id_text(docs, id_col, text_col).repartitionByRange(F.col("doc_id").asc_nulls_first())
-     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]  # the hash splits a hot id into ranges of its own
+    (id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+     .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(run, "part long, segment long, before long, n_docs long, n_tokens long, payload binary")
      .write.option("compression", "uncompressed").parquet(out))
 
