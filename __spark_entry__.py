@@ -861,7 +861,7 @@ def q_energy_weather_flow(spark, d):
 
 # --- forecasting (rows-only: model outputs) -------------------------------------------------
 
-_ROUNDS = 100  # the library's defaults are 500; see README for the cost of a round
+_ROUNDS = 50  # the library's defaults are 500; see README for the cost of a round
 _DAILY_TREES = {"learning_rate": 0.07, "max_depth": 5, "n_estimators": _ROUNDS}
 _DAILY_TARGETS = ("price", "quantity", "discount", "tax")
 _DAILY_SPLITS = ["1999-01-01", "2000-01-01"]
@@ -872,7 +872,7 @@ def q_forecast_trees(spark, d):
     df = S.daily_features(spark, d)
     aside = df.select("day", F.col("returns").alias("returns_aside"))
     return FC.forecast_targets(df.drop("returns"), "day", {t: f"{t}_predicted" for t in _DAILY_TARGETS}, 2000,
-                               {t: _DAILY_TREES for t in _DAILY_TARGETS}, set_aside=aside)
+                               {t: _DAILY_TREES for t in _DAILY_TARGETS}, set_aside=aside, partitions=4)
 
 
 @query("forecast_trees_frame", f"""WITH d AS ({S.LINEITEM_DAILY_SQL})
@@ -883,7 +883,7 @@ def q_forecast_trees_frame(spark, d):
     aside = df.select("day", F.col("returns").alias("returns_aside"))
     two = dict(_DAILY_TREES, n_estimators=2)
     out = FC.forecast_targets(df.drop("returns"), "day", {t: f"{t}_predicted" for t in _DAILY_TARGETS}, 2000,
-                              {t: two for t in _DAILY_TARGETS}, set_aside=aside)
+                              {t: two for t in _DAILY_TARGETS}, set_aside=aside, partitions=4)
     return out.filter(" and ".join(f"{t}_predicted is not null" for t in _DAILY_TARGETS)).select("day", *_DAILY_TARGETS, "returns_aside")
 
 
@@ -929,7 +929,8 @@ def _week_before(df):
 def q_compare_models(spark, d):
     """Four targets by three models (the value of a week before plays the published forecast), mean and std."""
     df = S.daily_features(spark, d)
-    trees = FC.forecast_targets(df, "day", {t: f"{t}_trees" for t in _DAILY_TARGETS}, 2000, {t: _DAILY_TREES for t in _DAILY_TARGETS})
+    trees = FC.forecast_targets(df, "day", {t: f"{t}_trees" for t in _DAILY_TARGETS}, 2000, {t: _DAILY_TREES for t in _DAILY_TARGETS},
+                                partitions=4)
     past = FC.forecast_history_targets(df, "day", {t: f"{t}_history" for t in _DAILY_TARGETS}, boundaries=_DAILY_SPLITS,
                                        history=24, unit_seconds=86400).drop(*_DAILY_TARGETS)
     wide = trees.join(past, "day", "left").join(_week_before(df), "day", "left")
