@@ -7,6 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from wattframe.operators.features import stable_layout
 from wattframe.plans import forecast as FC
 
 
@@ -25,7 +26,7 @@ def test_split_counts_match_debug_tree(spark):
     params = {"learning_rate": 0.1, "max_depth": 3, "n_estimators": 5}
     imp = {r["feature"]: r["split_count"] for r in FC.split_importance(df, "ts", "y", params, rounds=5).collect()}
     cols = FC.feature_columns(df, "y", "ts")
-    model = FC.gbt("y", **dict(params, n_estimators=5)).fit(FC._assembler(cols).transform(df))
+    model = FC.gbt("y", **dict(params, n_estimators=5)).fit(FC._assembler(cols).transform(stable_layout(df, ["ts"])))
     debug = Counter(int(m) for m in re.findall(r"If \(feature (\d+) ", model.toDebugString))
     assert {c: imp[c] for c in cols} == {c: debug.get(i, 0) for i, c in enumerate(cols)}
 
