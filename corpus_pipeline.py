@@ -44,8 +44,8 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = _quality.fit(_narrow(docs), table(spark, sf_dir, "labels"))
-    hold = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # the row's own columns can't clash
-    return _quality.score(docs.select("text", hold), model).filter("kept").select("row.*")
+    hold = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")  # the row's own columns can't clash
+    return _quality.score(docs.select("text", hold), model).filter("kept").select("row.*", "text").select(*docs.columns)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
