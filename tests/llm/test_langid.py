@@ -103,3 +103,32 @@ def test_odd_rows(llm, odd_docs, no_docs):
     none = L.learn(no_docs)
     assert L.predict(no_docs, none).collect() == []
     assert {r["lang_pred"] for r in L.predict(odd_docs, none).collect()} == {"und"}
+
+
+def test_every_letter_keeps_its_own_symbols():
+    """All letters of Unicode, more than there are symbols, and some of them between others."""
+    every = np.unique(L._lower_letters())[1:]
+    ranked = np.random.default_rng(1).permutation(every)
+    alphabet, rare = L.split_letters(ranked)
+    assert len(every) > L.LETTERS and len(alphabet) <= L.LETTERS and len(rare)
+    code, at = L.packed(every, np.arange(len(every) + 1), alphabet, rare)
+    assert len({tuple(code[a:b].tolist()) for a, b in zip(at, at[1:])}) == len(every)
+    low = np.concatenate([rare[:2], alphabet[:1], rare[:1]])
+    code, at = L.packed(low, np.array([0, 3, 4]), alphabet, rare)
+    last = alphabet[(code & L.U64(L.LETTERS + 1)).astype(int) - 1].tolist()
+    h, k = L.HALF, L.HALF + L.HALVES
+    assert last[:5] == [h, k, h, k + 1, alphabet[0]] and last[6:8] == [h, k] and at.tolist() == [0, 6, 9]
+
+
+def test_small_languages_in_another_script_keep_their_letters(llm):
+    """Two Cyrillic languages of the same word lengths beside a dominant corpus of over 62 Latin letters."""
+    rnd = random.Random(5)
+    latin = [chr(c) for c in range(0x61, 0x180) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    assert len(latin) >= 80
+    texts = [("la", latin[:80])] * 600 + [("uk", "абвгдеєжзиії")] * 25 + [("bg", "клмнопрстуфх")] * 25
+    rows = [(i, " ".join("".join(rnd.choice(of) for _ in range(6)) for _ in range(12)), lang) for i, (lang, of) in enumerate(texts)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(docs)
+    assert set(map(ord, "абвгдеєжзиіїклмнопрстуфх")) <= set(model.alphabet.tolist())
+    got = L.predict(docs, model).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == r["lang"] for r in got)
