@@ -5,7 +5,7 @@ written as Parquet and read again as the next one's ``docs``.  All but the last
 ``docs``; ``n_chars``, where present, follows the text.
 
 1. ``quality``    rows that the quality rules reject go;
-2. ``simhash``    one document of each near-duplicate group stays (the smallest id; rows without id stay);
+2. ``simhash``    one row of each near-duplicate group stays (the smallest id, null ids last, then the first text);
 3. ``substring``  words of passages that also occur elsewhere go (a text may become empty, its row stays);
 4. ``pii``        personal data is replaced by its kind in angle brackets;
 5. ``packing``    token windows: one row per piece, with its ids.
@@ -49,7 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _simhash.representatives(docs)
+    return _simhash.representatives(docs, keep_unnamed=False)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,6 +114,26 @@ def test_one_row_of_each_group_stays(llm):
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "7", "None"]
 
 
+def test_different_texts_under_one_id_stay(llm):
+    """Rows of one id go on by their texts, also where another text of the id is a copy."""
+    copy = " ".join(f"a{i}" for i in range(50))
+    rows = [(3, copy), (5, copy), (5, " ".join(f"z{i}" for i in range(50)))] + [(9, " ".join(f"{c}{i}" for i in range(40))) for c in "pqrs"]
+    docs = llm.createDataFrame([(*r, "k") for r in rows + rows[-2:]], "doc_id long, text string, fp string")
+    for how in (True, False):
+        kept = S.representatives(docs, keep_unnamed=how)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == sorted((*r, "k") for r in rows if r != (5, copy))
+
+
+def test_copies_without_an_id_go_in_the_pipeline(llm):
+    import corpus_pipeline as C
+
+    text, alone = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(None, text), (3, text), (None, text), (None, alone), (None, alone), (None, alone)]
+    kept = dict(C.STAGES)["simhash"](llm, llm.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, kept), key=str) == [(3, text), (None, alone)]
+
+
 def test_components_of_a_long_chain(llm):
     chain = llm.range(200).selectExpr("id u", "id + 1 v")
     got = {r["node"]: r["component"] for r in connected_components(chain).collect()}

@@ -236,29 +236,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name.  Other columns are ignored; an empty table gives no rows.
     """
     prints, _ = written(with_fingerprint(id_text(docs, id_col, text_col), "text", shingle).select("doc_id", "fp"), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    nodes = connected_components(linked(distinct.select("fp"), radius, block).distinct(), "a", "b")
-    # component of a fingerprint, then the smallest document of the component
-    named = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component"))
+    named = _components(prints, radius, block)
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     names = named.join(lows, "component").select("fp", "component_id")
     return prints.join(names, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _components(prints: DataFrame, radius: int, block: int) -> DataFrame:
+    """``fp, low, component`` of every distinct fingerprint: its smallest id and its component."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = connected_components(linked(distinct.select("fp"), radius, block).distinct(), "a", "b")
+    return distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("component"))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the row with the smallest id.
+                    radius: int = RADIUS, block: int = BLOCK, keep_unnamed: bool = True) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id (null ids last), then the first text.
 
-    Of several rows with that id the first in text order stays.  Rows without an id can't be named
-    and stay as they are.
+    Rows are told apart by id and a hash of the text, so different texts under one id belong to their own
+    groups.  With ``keep_unnamed`` rows without an id stay as they are and the others are reduced among
+    themselves; without it they are rows like any other, and a group of them alone keeps one.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    rep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__rep")).distinct()
-    stay = docs.join(rep, docs[id_col] == rep["__rep"], "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    stay = stay.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
-    return stay.unionByName(docs.filter(F.col(id_col).isNull()))
+    mark = F.xxhash64(F.col(text_col).cast("string"))
+    src = docs.filter(F.col(id_col).isNotNull()) if keep_unnamed else docs
+    texts = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    prints, _ = written(with_fingerprint(texts, "text", shingle).select("doc_id", "mark", "fp"), "fingerprints")
+    named = _components(prints, radius, block)
+    lows = named.groupBy("component").agg(F.min("low").alias("low"))
+    low = named.select("fp", "component").join(lows, "component").withColumnRenamed("fp", "f")
+    best = (prints.join(low, (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("low")))
+            .select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), F.col("component").alias("__component")).distinct())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = src.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), mark.alias("__mark")).join(
+        best, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__m")))
+    # a grouped minimum: a hot component collapses before the shuffle
+    first = found.groupBy("__component").agg(F.min_by("__row", F.struct(F.col("__row").getField(text_col))).alias("__row"))
+    stay = first.select("__row.*")
+    return stay.unionByName(docs.filter(F.col(id_col).isNull())) if keep_unnamed else stay
