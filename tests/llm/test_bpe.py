@@ -84,3 +84,18 @@ def test_small_cache_changes_nothing(monkeypatch):
         enc.encode(pa.array([f"other{i} word7" for i in range(300)]))
         got = enc.encode(pa.array(texts))
     assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
+
+
+def test_query_has_a_checksum_of_the_spans(llm):
+    from pyspark.sql import functions as F
+
+    from wattframe.llm.queries import QUERIES
+
+    docs = {r["doc_id"]: r["text"] for r in llm.read.parquet(f"{SF}/documents.parquet").collect()}
+    enc = bpe.encoder(RANKS)
+    ids, at = enc.encode(pa.array(list(docs.values())))
+    first, last = enc.spans(ids, at, enc.decode(ids, at)[0])
+    rows = [(i, first[a:b].tolist(), last[a:b].tolist()) for i, a, b in zip(docs, at, at[1:])]
+    want = llm.createDataFrame(rows, "doc_id long, starts array<long>, ends array<long>").select("doc_id", F.xxhash64("starts", "ends"))
+    got = QUERIES["op3_byte_bpe"](llm, SF).select("doc_id", "spans_xxh64")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -64,7 +64,8 @@ def op5_substring(spark, sf_dir):
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_decode(docs, vocabulary("byte_bpe_50k.tiktoken"), with_ids=False).drop("text")
+    found = bpe.encode_decode(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return found.withColumn("spans_xxh64", F.xxhash64("starts", "ends")).drop("text", "ids", "starts", "ends", "decoded")
 
 
 @query("op6_packing")
