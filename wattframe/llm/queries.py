@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wattframe.session import configure, scratch_path
 
-from . import bpe, embeddings, langid, licenses, packing, pii, quality, rans, simhash, substring
+from . import bpe, embeddings, langid, licenses, packing, pii, quality, rans, secrets, simhash, substring
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ def op7_language(spark, sf_dir):
 @query("op2_licenses", licenses.scan_sql())
 def op2_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_secrets", secrets.report_sql())
+def op13_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
