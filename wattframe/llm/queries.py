@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wattframe.session import configure, scratch_path
 
-from . import bpe, embeddings, langid, licenses, packing, periodic, pii, quality, rans, secrets, simhash, substring
+from . import bpe, embeddings, langid, licenses, packing, periodic, pii, quality, rans, secrets, simhash, spelling, substring
 from .scratch import reachable
 
 QUERIES: dict = {}
@@ -113,3 +113,8 @@ def op12_periodic(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", periodic.echoed(F.col("doc_id"), F.col("text")).alias("text"))
     return periodic.periodic_runs(docs, with_runs=False, with_text=False).drop("text")
+
+
+@query("op11_spelling")
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
