@@ -27,7 +27,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from wattframe.operators import profile, resolve, reshape, sampling  # noqa: E402
+from wattframe.operators import positions, profile, resolve, reshape, sampling  # noqa: E402
 from wattframe.operators.features import calendar_features  # noqa: E402
 from wattframe.operators.joins import semi_join  # noqa: E402
 from wattframe.plans import standins as S  # noqa: E402
@@ -607,6 +607,35 @@ def q_fold_assignment(spark, d):
                      sampling.contiguous_folds(ev, "ts", 2).alias("fold_contiguous"))
 
 
+_RANKED = "(SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, event_id) - 1 AS pos, count(*) OVER () AS n FROM events)"
+
+
+@query("positional_split", f"""SELECT event_id, CASE WHEN pos < 600 THEN 'train' WHEN pos < 800 THEN 'validation' ELSE 'test' END AS split
+FROM {_RANKED} WHERE pos < 600 OR pos >= 624""")
+def q_positional_split(spark, d):
+    """Row ranges in time order, with a gap of a day's rows between training and validation."""
+    ev = io.read_table(spark, d, "events", ["event_id", "ts"])
+    cuts = {"train": (None, 600), "validation": (624, 800), "test": (800, None)}
+    return positions.positional_split(ev, ["ts", "event_id"], cuts).select("event_id", "split")
+
+
+@query("positional_folds", f"""SELECT event_id, pos AS position,
+  CAST(CASE WHEN pos < n % 7 * (n // 7 + 1) THEN pos // (n // 7 + 1) ELSE n % 7 + (pos - n % 7 * (n // 7 + 1)) // (n // 7) END AS INTEGER) AS fold
+FROM {_RANKED}""")
+def q_positional_folds(spark, d):
+    ev = io.read_table(spark, d, "events", ["event_id", "ts"])
+    at = positions.with_positions(ev, ["ts", "event_id"]).select("event_id", "position")
+    return at.join(positions.positional_folds(ev, ["ts", "event_id"], 7), "event_id").select("event_id", "position", "fold")
+
+
+@query("positional_concat", f"""SELECT event_id, o_orderkey FROM {_RANKED} a FULL JOIN
+(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate NULLS FIRST, o_orderkey) - 1 AS pos FROM orders) b ON a.pos = b.pos""")
+def q_positional_concat(spark, d):
+    ev = io.read_table(spark, d, "events", ["event_id", "ts"])
+    orders = io.read_table(spark, d, "orders", ["o_orderkey", "o_orderdate"])
+    return positions.concat_columns(ev, orders, ["ts", "event_id"], ["o_orderdate", "o_orderkey"], "full").select("event_id", "o_orderkey")
+
+
 # --- sequences, scaling, label index --------------------------------------------------------
 
 def _sequence_sql() -> str:

@@ -40,7 +40,7 @@ def test_build_tables_schema_and_counts(spark):
                 w_rows.append([h, " " + city] + meas + [float(cls[1] + c), cls[0], cls[2], cls[3]])
     _write(os.path.join(d, "weather.csv"), ["dt_iso", "city_name"] + [m for m, _ in WEATHER_MEASURES], w_rows)
     out = build_tables(spark, os.path.join(d, "energy.csv"), os.path.join(d, "weather.csv"),
-                       out_dir=os.path.join(d, "out"), expected_hours=60)
+                       out_dir=os.path.join(d, "out"), expected_hours=60, expected_resolved=30)
     table, wide = out["energy_weather"], out["weather_wide"]
     assert [f.name for f in table.schema] == [f.name for f in energy_weather_schema()]
     assert [f.dataType for f in table.schema] == [f.dataType for f in energy_weather_schema()]
@@ -52,8 +52,10 @@ def test_build_tables_schema_and_counts(spark):
     # date_time is the UTC instant of the offset text; the month is right
     first = table.orderBy("date_time").first()
     assert first["date_time"] == dt.datetime(2014, 12, 31, 23) and first["date"] == dt.date(2014, 12, 31)
-    checks = {r["check"]: r["ok"] for r in out["checks"]["expectations"].collect()}
-    assert set(checks) == {"joined_complete_rows", "wide_complete_rows"}
+    checks = {r["check"]: r for r in out["checks"]["expectations"].collect()}
+    assert set(checks) == {"joined_complete_rows", "wide_complete_rows", "resolved_complete_rows"}
+    resolved = checks["resolved_complete_rows"]
+    assert resolved["expected"] == 30 and resolved["actual"] == out["predicted"].na.drop().count()
     assert set(out["checks"]["survivors"].columns) == {"dt_iso", "city_name", "n_kept", "n_rows"}
     q = out["checks"]["weather"].first()
     assert q["n_keys"] == 60 and q["n_duplicated_keys"] == 6

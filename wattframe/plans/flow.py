@@ -20,7 +20,7 @@ from wattframe.operators.report import expectation_table
 from wattframe.plans.energy import energy_weather_table
 from wattframe.operators.resolve import survivors_check
 from wattframe.plans.weather import resolve_duplicates, wide_weather
-from wattframe.schemas import (CITIES, CLASSIFIER_INPUTS, CITY_SHORT, ENERGY_SCHEMA, EXPECTED_HOURS,
+from wattframe.schemas import (CITIES, CLASSIFIER_INPUTS, CITY_SHORT, ENERGY_SCHEMA, EXPECTED_HOURS, EXPECTED_RESOLVED_ROWS,
                                WEATHER_MIN_ID, WEATHER_SCHEMA, WEATHER_MEASURES)
 from wattframe.session import cut_lineage
 from wattframe.sources.files import read_csv, write_csv, write_parquet
@@ -43,7 +43,8 @@ def with_row_id(weather: DataFrame) -> DataFrame:
 
 
 def build_tables(spark: SparkSession, energy_path: str, weather_path: str, out_dir: str | None = None,
-                 cities: list[str] = CITIES, fmt: str = "parquet", expected_hours: int | None = EXPECTED_HOURS):
+                 cities: list[str] = CITIES, fmt: str = "parquet", expected_hours: int | None = EXPECTED_HOURS,
+                 expected_resolved: int | None = EXPECTED_RESOLVED_ROWS):
     energy = load_energy(spark, energy_path)
     # the text file is parsed once; all passes below read columns of the copy in the shared folder
     weather = cut_lineage(with_row_id(load_weather(spark, weather_path)))
@@ -61,9 +62,11 @@ def build_tables(spark: SparkSession, energy_path: str, weather_path: str, out_d
     checks = {"weather": quality_checks(merged, "dt_iso", "city_name", cities, expected_hours, dups),
               "survivors": survivors_check(selected, "dt_iso", "city_name")}
     if expected_hours is not None:
-        checks["expectations"] = expectation_table(
-            {"joined_complete_rows": drop_incomplete(table), "wide_complete_rows": drop_incomplete(wide)},
-            {"joined_complete_rows": expected_hours, "wide_complete_rows": expected_hours})
+        counted = {"joined_complete_rows": (drop_incomplete(table), expected_hours),
+                   "wide_complete_rows": (drop_incomplete(wide), expected_hours)}
+        if expected_resolved is not None:
+            counted["resolved_complete_rows"] = (drop_incomplete(resolved_rows), expected_resolved)
+        checks["expectations"] = expectation_table({k: df for k, (df, _) in counted.items()}, {k: n for k, (_, n) in counted.items()})
     if out_dir:
         out = out_dir.rstrip("/")
         if fmt == "csv":

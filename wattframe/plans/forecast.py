@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from wattframe.functions.columns import columns_of_type
 from wattframe.operators.evaluate import mean_std_wide, rmse_wide
 from wattframe.operators.features import FIT_PARTITIONS, fit_centred_pca, fit_minmax, stable_layout
-from wattframe.operators.sampling import contiguous_folds, shuffled_folds, time_split_label, year_split
+from wattframe.operators.positions import positional_folds
+from wattframe.operators.sampling import shuffled_folds, time_split_label, year_split
 from wattframe.operators.sequences import build_sequences, hour_index
 from wattframe.schemas import BEST_TREE_PARAMS, HISTORY_SPLITS, HISTORY_WINDOW, TEST_YEAR, TREE_COMMON
 from wattframe.session import cut_lineage, scratch_path
@@ -185,7 +186,7 @@ def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, roun
 
 def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int = 2, n_estimators: int = 500,
                test_year: int | None = None, parallelism: int = 5, metric: str = "r2", fit_scope: str = "all"):
-    """Grid over learning rate × depth, k-fold CV with contiguous time folds.
+    """Grid over learning rate × depth, k-fold CV with consecutive folds of equal row counts.
 
     Returns (scores per grid point, best params, test RMSE of the best params refitted outside
     ``test_year``).  ``fit_scope="train"`` keeps the test year out of the search as well.
@@ -195,7 +196,7 @@ def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int =
     data = df
     if fit_scope == "train" and test_year is not None:
         data, _ = year_split(df, ts_col, test_year)
-    data = stable_layout(data.withColumn("_fold", contiguous_folds(data, ts_col, folds)), [ts_col])
+    data = stable_layout(positional_folds(data, [ts_col], folds, "_fold"), [ts_col])
     est = gbt(target, n_estimators=n_estimators)
     pg = (ParamGridBuilder().addGrid(est.stepSize, grid["learning_rate"])
           .addGrid(est.maxDepth, grid["max_depth"]).build())
