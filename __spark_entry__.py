@@ -312,6 +312,44 @@ def q_json_roundtrip(spark, d):
                                keep=F.col("split_count") > 0)
 
 
+@query("parquet_overwrite", """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'F'""")
+def q_parquet_overwrite(spark, d):
+    """A partitioned table replaced as a whole by a second write."""
+    orders = io.read_table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
+    path = io.write_parquet(orders, scratch_path(spark, "overwrite"), partition_by=["o_orderstatus"])
+    io.write_parquet(orders.filter("o_orderstatus <> 'F'"), path, mode="overwrite", partition_by=["o_orderstatus"])
+    return io.read_parquet(spark, path, orders.columns)
+
+
+@query("csv_inferred", """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders""")
+def q_csv_inferred(spark, d):
+    cols = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]
+    path = io.write_csv(io.read_table(spark, d, "orders", cols), scratch_path(spark, "inferred"))
+    return io.read_csv(spark, path, None).withColumns({c: F.col(c).cast("long") for c in cols[:2]})
+
+
+@query("zero_fill", """SELECT c_custkey, coalesce(count(o_orderkey), 0) AS n_orders, coalesce(round(sum(o_totalprice), 2), 0) AS total
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def q_zero_fill(spark, d):
+    totals = io.read_table(spark, d, "orders").groupBy("o_custkey").agg(
+        F.count("o_orderkey").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    customers = io.read_table(spark, d, "customer", ["c_custkey"])
+    j = customers.join(totals, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
+    return impute.fill_zero(j, ["n_orders", "total"])
+
+
+@query("history_json", """WITH h AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS round, round(avg(o_totalprice), 4) AS mean_price,
+  max(o_totalprice) AS max_price FROM orders GROUP BY 1)
+SELECT 'orders' AS model, round, 'mean_price' AS metric, mean_price AS value FROM h
+UNION ALL SELECT 'orders', round, 'max_price', max_price FROM h""")
+def q_history_json(spark, d):
+    """A per-round history in long form, handed over as JSON and read back."""
+    curve = io.read_table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("round")).agg(
+        F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.max("o_totalprice").alias("max_price"))
+    long = report.history_long(curve, "orders")
+    return io.read_json(spark, io.write_json(long, scratch_path(spark, "history")), long.schema)
+
+
 @query("view_sql", """SELECT o_orderstatus, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
 FROM orders GROUP BY o_orderstatus""")
 def q_view_sql(spark, d):

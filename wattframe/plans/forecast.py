@@ -119,7 +119,7 @@ def _scope(df: DataFrame, ts_col: str, fit_scope: str, test_year: int | None) ->
 
 def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3, rounds: int = 50,
              early_stop: int = 10, seed: int = 123, key_cols: list[str] | None = None,
-             fit_scope: str = "all", test_year: int | None = None) -> DataFrame:
+             fit_scope: str = "all", test_year: int | None = None, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """Per boosting round: mean / std (population) of train and test RMSE over shuffled k folds.
 
     Each fold is one distributed fit; ``evaluateEachIteration`` gives the loss after every round in
@@ -130,7 +130,7 @@ def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3,
     df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
     df = model_input_once(df.select(ts_col, target, *cols))
-    folded = stable_layout(df.withColumn("_fold", shuffled_folds(key_cols or [ts_col], k, seed)), [ts_col])
+    folded = stable_layout(df.withColumn("_fold", shuffled_folds(key_cols or [ts_col], k, seed)), [ts_col], partitions)
     asm = _assembler(cols)
 
     def one_fold(f):
@@ -160,7 +160,7 @@ def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3,
 
 
 def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, rounds: int = 10,
-                     fit_scope: str = "all", test_year: int | None = None) -> DataFrame:
+                     fit_scope: str = "all", test_year: int | None = None, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """(feature, split_count, gain_importance) of a ``rounds``-tree model fitted on all rows.
 
     The split count is read from the saved model's node table (one row per node; internal nodes have
@@ -170,7 +170,7 @@ def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, roun
     df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
     df = model_input_once(df.select(ts_col, target, *cols))
-    model = gbt(target, **dict(params, n_estimators=rounds)).fit(_assembler(cols).transform(stable_layout(df, [ts_col])))
+    model = gbt(target, **dict(params, n_estimators=rounds)).fit(_assembler(cols).transform(stable_layout(df, [ts_col], partitions)))
     path = scratch_path(spark, "models", "gbt")
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -185,7 +185,8 @@ def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, roun
 
 
 def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int = 2, n_estimators: int = 500,
-               test_year: int | None = None, parallelism: int = 5, metric: str = "r2", fit_scope: str = "all"):
+               test_year: int | None = None, parallelism: int = 5, metric: str = "r2", fit_scope: str = "all",
+               partitions: int = FIT_PARTITIONS):
     """Grid over learning rate × depth, k-fold CV with consecutive folds of equal row counts.
 
     Returns (scores per grid point, best params, test RMSE of the best params refitted outside
@@ -196,7 +197,7 @@ def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int =
     data = df
     if fit_scope == "train" and test_year is not None:
         data, _ = year_split(df, ts_col, test_year)
-    data = stable_layout(positional_folds(data, [ts_col], folds, "_fold"), [ts_col])
+    data = stable_layout(positional_folds(data, [ts_col], folds, "_fold"), [ts_col], partitions)
     est = gbt(target, n_estimators=n_estimators)
     pg = (ParamGridBuilder().addGrid(est.stepSize, grid["learning_rate"])
           .addGrid(est.maxDepth, grid["max_depth"]).build())
@@ -214,7 +215,7 @@ def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int =
             "n_estimators": n_estimators}
     test_rmse = None
     if test_year is not None:
-        pred = forecast_trees(df, ts_col, target, test_year, best)
+        pred = forecast_trees(df, ts_col, target, test_year, best, partitions=partitions)
         test_rmse = pred.select(F.sqrt(F.avg(F.pow(F.col(target) - F.col(f"{target}_predicted"), 2)))).first()[0]
     return scores, best, test_rmse
 
@@ -222,7 +223,8 @@ def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int =
 def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: list = HISTORY_SPLITS,
                           history: int = HISTORY_WINDOW,
                           variance: float = 0.80, unit_seconds: int = 3600, model: str = "linear",
-                          max_iter: int = 50, exclude: list[str] | None = None, patience: int = 10):
+                          max_iter: int = 50, exclude: list[str] | None = None, patience: int = 10,
+                          partitions: int = FIT_PARTITIONS):
     """Predict the target of every test row from the ``history`` rows before it.
 
     Rows get a split label by time (train / validation / test); scalers and PCA are fitted on train;
@@ -250,7 +252,7 @@ def forecast_from_history(df: DataFrame, ts_col: str, target: str, boundaries: l
     seq = seq.select("split", "idx", F.col("label.y").alias("label"), F.col("label.ts").alias(ts_col), F.col("label.actual").alias(target),
                      array_to_vector(F.flatten("history")).alias("features"))
     seq = model_input_once(seq)
-    fit_rows = stable_layout(seq.filter(F.col("split") != "test"), ["split", "idx"])
+    fit_rows = stable_layout(seq.filter(F.col("split") != "test"), ["split", "idx"], partitions)
     if model == "linear":
         reg = LinearRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=1e-4)
         m = reg.fit(fit_rows.filter(F.col("split") == "train"))
