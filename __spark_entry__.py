@@ -943,15 +943,14 @@ def q_forecast_trees(spark, d):
 
 
 @query("forecast_trees_frame", f"""WITH d AS ({S.LINEITEM_DAILY_SQL})
-SELECT day, price, quantity, discount, tax, returns AS returns_aside FROM d WHERE year(day) = 2000""")
+SELECT a.day, a.price, a.quantity, a.discount, a.tax, b.price AS price_published, a.returns AS returns_aside
+FROM d a JOIN d b ON a.day = b.day + INTERVAL 7 DAY WHERE year(a.day) = 2000""")
 def q_forecast_trees_frame(spark, d):
-    """The deterministic part of the tree forecast: test-year keys, actuals and the set-aside block."""
+    """The frame that forecasts are joined into, with the value of a week before as the forecast: no fit goes into it."""
     df = S.daily_features(spark, d)
     aside = df.select("day", F.col("returns").alias("returns_aside"))
-    two = dict(_DAILY_TREES, n_estimators=2)
-    out = FC.forecast_targets(df.drop("returns"), "day", {t: f"{t}_predicted" for t in _DAILY_TARGETS}, 2000,
-                              {t: two for t in _DAILY_TARGETS}, set_aside=aside, partitions=4)
-    return out.filter(" and ".join(f"{t}_predicted is not null" for t in _DAILY_TARGETS)).select("day", *_DAILY_TARGETS, "returns_aside")
+    out = FC.forecast_frame(df.drop("returns"), "day", 2000, [_week_before(df).select("day", "price_published")], set_aside=aside)
+    return out.select("day", *_DAILY_TARGETS, "price_published", "returns_aside")
 
 
 @query("cv_curve")

@@ -96,8 +96,13 @@ def forecast_targets(df: DataFrame, ts_col: str, targets: dict, test_year: int =
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(targets)))) as pool:
         parts = list(pool.map(one, targets.items()))
+    return forecast_frame(df, ts_col, test_year, parts, set_aside)
+
+
+def forecast_frame(df: DataFrame, ts_col: str, test_year: int, predictions: list[DataFrame], set_aside: DataFrame | None = None) -> DataFrame:
+    """The test-year rows with the predictions (each keyed by time) and the set-aside columns joined on time."""
     out = year_split(df, ts_col, test_year)[1]
-    for p in parts:
+    for p in predictions:
         out = out.join(p, ts_col, "inner")
     if set_aside is not None:
         _, aside_test = year_split(set_aside, ts_col, test_year)
@@ -339,5 +344,5 @@ def compare_models(preds: DataFrame, key, pairs: dict, series: dict | None = Non
     return rm, mean_std_wide(wide, list(series))
 
 
-__all__ = ["model_input_once", "feature_columns", "gbt", "forecast_trees", "forecast_targets", "cv_curve", "split_importance",
+__all__ = ["model_input_once", "feature_columns", "gbt", "forecast_trees", "forecast_targets", "forecast_frame", "cv_curve", "split_importance",
            "tune_trees", "tuning_report", "forecast_from_history", "forecast_history_targets", "compare_models", "comparison_report"]
