@@ -71,3 +71,10 @@ def test_odd_vectors(llm):
     assert key(got) == key(want)
     empty = llm.createDataFrame([], "vec_id long, embedding array<float>")
     assert V.near_duplicates(empty).collect() == []
+
+
+def test_double_components_keep_their_precision_and_range(llm):
+    # 1e39 and 1e-60 have no finite, non-zero float; the last two vectors differ beyond a float's digits
+    rows = [(1, [1e39, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1e-60]), (4, [0.0, 5.0]), (5, [1e200, 1e200]), (6, [1.0, 1.0]), (7, [1.0, 1.0 + 1e-12])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.near_duplicates(llm.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (2, 5), 6: (2, 5), 7: (2, 5)}

@@ -81,7 +81,7 @@ def cell_rows(classes: DataFrame, centres: np.ndarray, dim: int, threshold: floa
                      lists.take(take), part.column(2).take(take)], names=["cell", "home", "cid", "copies", "probes", "embedding"])
 
     return classes.select("cid", "copies", "embedding").mapInArrow(
-        run, "cell int, home int, cid long, copies long, probes array<int>, embedding array<float>")
+        run, "cell int, home int, cid long, copies long, probes array<int>, embedding array<double>")
 
 
 def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -190,7 +190,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows are rows of their own, linked with one another.  A null id is never a component's name; a row
     without id is kept only if its whole component has none.  Other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
     fine = (F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
             & F.exists("embedding", lambda v: v != 0))
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
@@ -198,7 +198,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                          .withColumn("cid", F.monotonically_increasing_id()), "vectors")
     n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     sample = classes.orderBy(F.xxhash64("embedding"), "cid").limit(sample_rows).select("embedding").toArrow().column(0).combine_chunks()
-    sample = sample if isinstance(sample, pa.Array) else pa.concat_arrays(sample.chunks) if sample.num_chunks else pa.array([], pa.list_(pa.float32()))
+    sample = sample if isinstance(sample, pa.Array) else pa.concat_arrays(sample.chunks) if sample.num_chunks else pa.array([], pa.list_(pa.float64()))
     centres = spherical_kmeans(unit(sample, dim), cells or min(MAX_CELLS, round(n**0.5)))
     found, _ = written(links(classes, centres, dim, threshold, recall, block), "links")
     total = found.groupBy("cid").agg(F.sum("links").alias("links"))
