@@ -41,7 +41,7 @@ def check(docs, **how):
 
 @pytest.mark.parametrize("group", [S.GROUP, 1])
 def test_whole_table_equals_brute_force(llm, group):
-    """With group=1 every anchor is split by the longest prefix, with the default none is."""
+    """With group=1 every repeated anchor is split down to whole windows, with the default none is."""
     want = check(llm.read.parquet(f"{SF}/documents.parquet"), group=group)
     assert sum(w[2] for w in want) > 0
 
@@ -68,6 +68,36 @@ def test_near_copies_and_shared_passages(llm):
     check(llm.createDataFrame(rows, "doc_id long, text string"), group=7)
 
 
+def test_one_passage_in_ten_thousand_texts(llm):
+    """Its anchors have 10,000 occurrences and, at its edges, as many distinct contexts."""
+    rnd = random.Random(3)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(60)
+    rows = [(i, " ".join(fresh(5) + passage[:60 - i % 3] + fresh(20))) for i in range(10_000)]
+    assert all(w[2] >= 58 for w in check(llm.createDataFrame(rows, "doc_id long, text string").repartition(16)))
+
+
+def test_groups_split_at_every_prefix_length(llm):
+    """Texts that part after 6, 8, 12, 17, 25 and 34 words, many of each, below and above the limit of a group."""
+    rnd = random.Random(5)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    trunk = fresh(80)
+    rows = [(100 * k + i, " ".join(trunk[:k] + fresh(2) + fresh(60))) for k in (6, 8, 12, 17, 25, 34, 35, 36, 50) for i in range(12)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    assert S.prefix_steps(35) == [9, 14, 21, 32, 35]
+    for group in (1, 5, 40):
+        check(docs, group=group)
+
+
+def test_text_longer_than_a_slice(llm):
+    """A text of over 4 MB, whose end repeats in another document."""
+    rnd = random.Random(6)
+    words = [f"w{rnd.randrange(10**9)}" for _ in range(420_000)]
+    rows = [(1, " ".join(words)), (2, "x " + " ".join(words[-40:])), (3, " ".join(words[:34]))]
+    want = check(llm.createDataFrame(rows, "doc_id long, text string"))
+    assert [w[2] for w in want] == [40, 40, 0]
+
+
 def test_odd_rows(odd_docs, no_docs):
     check(odd_docs)
     assert {"lang", "source", "kept"} <= set(S.without_repeats(odd_docs).columns)

@@ -8,9 +8,11 @@ A word goes when it lies in a window of ``window`` words whose word sequence als
 2. Consecutive windows of one anchor form a run of suffixes that share their text, the context.
    Only contexts of repeated anchors are cut out of the documents.  Equal contexts collapse in a
    grouped count, so a group of copies, whatever its size, goes on as one row.
-3. Contexts are partitioned by a prefix of variable length: the anchor while at most ``GROUP``
-   occurrences share it, so that a group fits in memory; else each suffix gets its whole window as
-   prefix and is counted by a 128-bit hash, again with partial aggregation.
+3. Distinct contexts are partitioned by a prefix of variable length: the anchor while at most
+   ``GROUP`` contexts share it, so that a group fits in memory.  A larger group is cut into its
+   suffixes, and these into groups by ever longer prefixes (``prefix_steps``) until each fits.  Suffixes
+   that are still too many with a prefix of the whole window are one node as deep as the window: all
+   of them are equal, by their words and not by a hash, and need no further order.
 4. In a group the suffixes are sorted (prefix doubling on exact word codes) and their common
    prefixes computed: runs of neighbours that share ``window`` words or more are the leaves below the
    deep internal nodes of the group's suffix tree, that is the occurrences of maximal repeats.
@@ -31,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
-from .scratch import carry, written
+from .scratch import carry, drop, written
 
 WINDOW = 35
-#: Occurrences that may share an anchor before longer prefixes split them; contexts sorted at once.
+#: Distinct contexts that may share a prefix before a longer one splits them; contexts sorted at once.
 GROUP, AT_ONCE = 4096, 8192
+#: Parts over which a group that is too large is dealt when it is split.
+SALTS = 256
 #: Rows of a bitmap (64 bits each): its broadcast has this size whatever the input.
 WORDS = 1 << 17
 
@@ -111,8 +115,8 @@ def anchor_rows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contexts(hit: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The context of every run in ``runs`` (gram, run, big) with two 64-bit hashes of it."""
-    names = ["c1", "c2", "doc_id", "mark", "lo", "gram", "n", "big", "context"]
+    """The context of every run in ``runs`` (gram, run) with two 64-bit hashes of it."""
+    names = ["c1", "c2", "doc_id", "mark", "lo", "gram", "n", "context"]
 
     def run(batches):
         for part, data, starts, ends, words in _each(batches):
@@ -131,11 +135,11 @@ def contexts(hit: DataFrame, window: int = WINDOW) -> DataFrame:
             c1, c2 = (A.xxh64(cut, off[:-1], size, seed) for seed in (1, 2))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), part.column(0).take(take), part.column(1).take(take),
-                 pa.array(lo), gram, pa.array(n), flat.field("big"),
+                 pa.array(lo), gram, pa.array(n),
                  pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(cut)]).cast(pa.binary())], names=names)
 
     return hit.select("doc_id", "mark", "text", "runs").mapInArrow(
-        run, "c1 long, c2 long, doc_id long, mark long, lo long, gram long, n long, big boolean, context binary")
+        run, "c1 long, c2 long, doc_id long, mark long, lo long, gram long, n long, context binary")
 
 
 # --- suffix trees ---------------------------------------------------------------------------
@@ -183,16 +187,19 @@ def deep_leaves(texts: pa.Array, n: np.ndarray, window: int = WINDOW) -> np.ndar
     return mask
 
 
-def _tree_masks(distinct: DataFrame, window: int) -> DataFrame:
-    """Masks of contexts grouped by anchor, whole groups at a time."""
+def _tree_masks(groups: DataFrame, window: int) -> DataFrame:
+    """``c1, c2, mask`` of contexts in groups that share a ``prefix``, whole groups at a time.
+
+    ``first`` is the number of a context's first suffix among those of the context it was cut from.
+    """
     def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             if held.num_rows >= AT_ONCE:
-                gram = held.column("gram").to_numpy()
-                new = np.flatnonzero(gram[1:] != gram[:-1])
+                prefix = held.column("prefix").to_numpy()
+                new = np.flatnonzero(prefix[1:] != prefix[:-1])
                 if len(new):  # the last group may go on
                     yield from masks(held.slice(0, new[-1] + 1))
                     held = held.slice(new[-1] + 1)
@@ -200,26 +207,34 @@ def _tree_masks(distinct: DataFrame, window: int) -> DataFrame:
             yield from masks(held)
 
     def masks(table):
-        gram = table.column("gram").to_numpy()
-        cuts = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, table.num_rows)
+        prefix = table.column("prefix").to_numpy()
+        cuts = np.append(np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, table.num_rows)
         begin = 0
         while begin < table.num_rows:
             end = int(cuts[max(np.searchsorted(cuts, begin + AT_ONCE, side="right") - 1, np.searchsorted(cuts, begin, side="right"))])
             part = table.slice(begin, end - begin).combine_chunks()
             n, copies = part.column("n").to_numpy(), part.column("copies").to_numpy()
             mask = deep_leaves(part.column("context").chunk(0), n, window)
-            mask = np.where(copies > 1, (np.int64(1) << n) - 1, mask)
+            mask = np.where(copies > 1, (np.int64(1) << n) - 1, mask) << part.column("first").to_numpy()
             got = np.flatnonzero(mask)
             yield pa.RecordBatch.from_arrays([part.column("c1").chunk(0).take(pa.array(got)), part.column("c2").chunk(0).take(pa.array(got)),
                                               pa.array(mask[got])], names=["c1", "c2", "mask"])
             begin = end
 
-    rows = distinct.filter(~F.col("big")).select("gram", "c1", "c2", "n", "copies", "context")
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "c1 long, c2 long, mask long")
+    rows = groups.select("prefix", "c1", "c2", "first", "n", "copies", "context")
+    return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "c1 long, c2 long, mask long")
+
 
+def prefix_steps(window: int) -> list[int]:
+    """Lengths of ever longer prefixes: each half as long again as the one before, the last one the window."""
+    steps = [gram_words(window)]
+    while steps[-1] < window:
+        steps.append(min(window, steps[-1] + (steps[-1] + 1) // 2))
+    return steps[1:]
 
-def _suffix_masks(distinct: DataFrame, window: int) -> DataFrame:
-    """Masks of contexts with a very common anchor: each suffix is a row keyed by its whole window."""
+
+def _suffixes(crowded: DataFrame, steps: list[int], window: int) -> DataFrame:
+    """The suffixes of contexts as rows of their own, cut at the window, with hashes of their prefixes."""
     def run(batches):
         for batch in batches:
             for part in A.slices(batch, "context"):
@@ -229,17 +244,60 @@ def _suffix_masks(distinct: DataFrame, window: int) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), n)
                 bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 at = words[row] + bit
-                begin, size = starts[at], ends[at + window - 1] - starts[at]
-                w1, w2 = (A.xxh64(data, begin, size, seed).view(np.int64) for seed in (3, 4))
+                begin = starts[at]
+                keys = [pa.array(A.xxh64(data, begin, ends[at + k - 1] - begin, k).view(np.int64)) for k in steps]
+                cut, off = A.ragged_take(data, begin, ends[at + window - 1] - begin)
+                text = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(off), pa.py_buffer(cut)]).cast(pa.binary())
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), part.column(0).take(take), part.column(1).take(take),
-                                                  pa.array(np.int64(1) << bit), part.column(3).take(take)],
-                                                 names=["w1", "w2", "c1", "c2", "bit", "copies"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(bit), pa.array(np.ones(len(row), np.int64)),
+                     part.column(3).take(take), text, *keys], names=["c1", "c2", "first", "n", "copies", "context", *(f"p{k}" for k in steps)])
+
+    return crowded.select("c1", "c2", "n", "copies", "context").mapInArrow(
+        run, "c1 long, c2 long, first long, n long, copies long, context binary, " + ", ".join(f"p{k} long" for k in steps))
 
-    rows = distinct.filter("big").select("c1", "c2", "n", "copies", "context").mapInArrow(
-        run, "w1 long, w2 long, c1 long, c2 long, bit long, copies long")
-    often = rows.groupBy("w1", "w2").agg(F.sum("copies").alias("times")).filter("times > 1").drop("times")
-    return rows.join(often, ["w1", "w2"]).groupBy("c1", "c2").agg(F.bit_or("bit").alias("mask"))
+
+def _split(rows: DataFrame, keys: DataFrame, prefix: str, group: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows in groups of at most ``group`` by a prefix, and the rows in larger groups (None without any).
+
+    ``keys`` has the prefix of each row; groups are counted there with partial aggregation.  Only larger ones are listed, once per salt: at most
+    ``SALTS / group`` of the rows, so no task reads a large group whole.
+    """
+    counted = keys.groupBy(F.col(prefix).alias("prefix")).agg(F.count("*").alias("times")).filter(F.col("times") > group)
+    large, path = written(counted.select("prefix", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "large")
+    small = rows.withColumn("prefix", F.col(prefix))
+    if large.isEmpty():
+        drop(rows.sparkSession, path)
+        return small, None
+    small = small.withColumn("salt", F.pmod(F.xxhash64("c1", "first"), F.lit(SALTS)).cast("int"))
+    return small.join(large, ["prefix", "salt"], "left_anti").drop("salt"), small.join(large, ["prefix", "salt"], "left_semi").drop("prefix", "salt")
+
+
+def _masks(cut: DataFrame, window: int, group: int) -> DataFrame:
+    """``c1, c2, mask`` of all distinct contexts, split by longer prefixes until every group fits."""
+    steps = prefix_steps(window)
+    distinct = cut.groupBy("c1", "c2", "gram", "n", "context").agg(F.count("*").alias("copies")).withColumn("first", F.lit(0).cast("long"))
+    small, crowded = _split(distinct, cut.select("gram", "c1", "c2").distinct(), "gram", group)
+    masks = _tree_masks(small, window)
+    if crowded is None:
+        return masks
+    rows, _ = written(_suffixes(crowded, steps, window), "suffixes")
+    parts = []
+    for k in steps:
+        small, rows = _split(rows, rows, f"p{k}", group)
+        parts.append(_tree_masks(small, window))
+        if rows is None:
+            break
+        rows, _ = written(rows, "crowded")
+    if rows is not None:  # one node per window: its leaves are equal rows
+        nodes = (rows.groupBy("context").agg(F.sum("copies").alias("times")).filter("times > 1")
+                 .select("context", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+        parts.append(rows.withColumn("salt", F.pmod(F.xxhash64("c1", "first"), F.lit(SALTS)).cast("int")).join(nodes, ["context", "salt"])
+                     .select("c1", "c2", F.expr("shiftleft(1L, CAST(first AS INT))").alias("mask")))
+    bits = parts[0]
+    for part in parts[1:]:
+        bits = bits.unionByName(part)
+    return masks.unionByName(bits.groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")))
 
 
 # --- the whole job --------------------------------------------------------------------------
@@ -275,16 +333,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     keyed = _keyed(docs, id_col, text_col)
     found = anchor_rows(keyed, window)
-    common, _ = written(found.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1")
-                        .select("gram", (F.col("times") > group).alias("big")), "anchors")
+    common, _ = written(found.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram"), "anchors")
     again = _maybe(found, F.col("gram"), _bitmap(common, F.col("gram"))).join(common, "gram")
-    runs, _ = written(again.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("gram", "run", "big")).alias("runs")), "runs")
+    runs, _ = written(again.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("gram", "run")).alias("runs")), "runs")
     key = F.xxhash64("doc_id", "mark")
     some = _maybe(keyed, key, _bitmap(runs, key))
     hit = some.join(runs.withColumnsRenamed({"doc_id": "d", "mark": "m"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
     cut, _ = written(contexts(hit, window), "contexts")
-    distinct = cut.groupBy("c1", "c2", "gram", "n", "big", "context").agg(F.count("*").alias("copies"))
-    masks = _tree_masks(distinct, window).unionByName(_suffix_masks(distinct, window))
+    masks = _masks(cut, window, group)
     packed = F.shiftleft(F.col("lo"), 30).bitwiseOR(F.col("mask"))
     return (cut.select("c1", "c2", "doc_id", "mark", "lo").join(masks, ["c1", "c2"])
             .groupBy("doc_id", "mark").agg(F.collect_set(packed).alias("windows")))
@@ -307,7 +363,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Windows are judged on the input.  ``kept_sha256`` is of the kept words joined by one blank;
     ``clean_text`` is the text without the removed words and the blanks after them, and the text itself
     where nothing goes.  Null texts have no words (``clean_text`` null).  Repeated rows are copies of one
-    another, so both lose what they share.  Other columns stay; one with a result's name gives way.
+    another, so both lose what they share, whatever their id, null included.  Very long texts are read in
+    slices of whole documents and cut nowhere; an empty table gives no rows.  Other columns stay; one with a
+    result's name gives way.
     """
     found, _ = written(repeated_windows(docs, id_col, text_col, window, group), "windows")
     added = [("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string")] + [("clean_text", "string")] * with_text
@@ -321,7 +379,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             text, ws, we = A.joined(data, starts, ends)
             text, total = text.tobytes(), np.diff(words)
             removed, sums, clean = np.zeros(len(total), np.int64), [], []
-            raw = data.tobytes()
+            raw = data.tobytes() if with_text else b""
             bounds = A.buffers(part.column(part.schema.get_field_index(text_col)))[1]
             for d, (a, b) in enumerate(zip(words[:-1].tolist(), words[1:].tolist())):
                 gone = None
@@ -330,10 +388,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     removed[d] = gone.sum()
                 if not removed[d]:
                     sums.append(hashlib.sha256(text[ws[a]:we[b - 1]] if b > a else b"").hexdigest())
-                    clean.append(None if nulls[d] else raw[bounds[d]:bounds[d + 1]])
+                    if with_text:
+                        clean.append(None if nulls[d] else raw[bounds[d]:bounds[d + 1]])
                     continue
                 kept = a + np.flatnonzero(~gone)
                 sums.append(hashlib.sha256(b" ".join(text[i:j] for i, j in zip(ws[kept].tolist(), we[kept].tolist()))).hexdigest())
+                if not with_text:
+                    continue
                 # runs of kept words keep their own blanks; a run ends where the next removed word starts
                 edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
                 stop = np.append(starts[a:b], bounds[d + 1])
