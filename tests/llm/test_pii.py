@@ -111,6 +111,59 @@ def test_scores_equal_plain_iteration(llm):
     assert got.keys() == kept.keys() and all(got[k] == pytest.approx(v) for k, v in kept.items())
 
 
+def chain(generations):
+    """Edges of patterns that each know a generation of instances and lead to a tenth of the next one."""
+    out = []
+    for g in range(generations):
+        for j in range(20):
+            out += [(f"p{g}.{j}", f"i{g}.{x}", 3 if g == 0 else -1) for x in range(60)]
+            out += [(f"p{g}.{j}", f"i{g + 1}.{x}", -1) for x in range(6 * (j % 10), 6 * (j % 10) + 6)]
+    return out
+
+
+def test_rounds_go_on_until_nothing_is_found(llm):
+    edges = llm.createDataFrame(chain(7), "pattern string, instance string, kind int")
+    kept = {(r["pattern"], r["kind"]) for r in I.kept_patterns(edges).collect()}
+    assert kept == {(f"p{g}.{j}", 3) for g in range(7) for j in range(20)}
+    assert {r["pattern"][:2] for r in I.kept_patterns(edges, 3).collect()} == {"p0", "p1", "p2"}
+    assert I.kept_patterns(edges.filter("kind < 0")).collect() == []
+
+
+def test_fifth_generation_in_texts(llm):
+    """Numbers known only through four others: each context names 60 numbers, some of them new, after the one before."""
+    rows = []
+    number = lambda g, x: f"+1 555 {g}{x:03d} 4{x:03d}" if g == 0 else f"555{g}{x:03d}4{x:03d}"
+    for g in range(5):
+        for j in range(20):
+            for n in [number(g, x) for x in range(60)] + [number(g + 1, x) for x in range(6 * (j % 10), 6 * (j % 10) + 6)]:
+                rows.append((len(rows), f"{'abcdefghijklmnopqrst'[j] * (g + 2)}:{n}"))
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    found = {text[r["doc_id"]][s["start"]:s["end"]] for r in I.identifiers(docs).collect() for s in r["spans"] if s["kind"] == 3}
+    assert found == {number(g, x) for g in range(6) for x in range(60)}
+
+
+def test_cut_at_colon_and_equals():
+    seen = lambda t: [(t[a:b], shape) for a, b, _, shape, _, _ in I.occurrences(t, I.base_spans(t))]
+    assert seen("phone:5551234567") == seen("tel=5551234567") == [("5551234567", 8)]
+    assert seen("call phone:555 0199 4321 now") == [("555 0199 4321", 8)]
+    assert seen("mailto:bob@localhost") == [("bob@localhost", 1)] and seen("at 12:30 a=b") == [("12", 0), ("30", 0)]
+    assert seen("(555) 0199 4321") == [("(555) 0199 4321", 8)]
+    assert I.occurrences("Phone: 5551234567", [])[0][5][1] == "phone _" and I.occurrences("Phone:5551234567", [])[0][5][1] == "phone: _"
+
+
+def test_long_context_words_stay_apart():
+    one, two = ("x" * 50 + "end", "y" * 50 + "x" * 37 + "end")
+    assert I.occurrences(f"{one} 5551234567", [])[0][5] != I.occurrences(f"{two} 5551234567", [])[0][5]
+    assert I.occurrences(f"5551234567 {one}", [])[0][5] != I.occurrences(f"5551234567 {two}", [])[0][5]
+
+
+def test_text_longer_than_a_slice(llm):
+    text = "filler " * 700_000 + "write to someone@example.com"
+    got = I.report(llm.createDataFrame([(1, text), (None, None)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["spans"]) for r in got} == {(1, f"email:{len(text) - 19}:{len(text)}"), (None, "")}
+
+
 def test_redaction(llm, odd_docs, no_docs):
     docs = planted(llm).withColumn("lang", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("en"))
     got = {r["doc_id"]: r["text"] for r in I.redact(docs).collect()}
@@ -127,6 +180,6 @@ def test_long_texts_take_linear_time():
     import time
 
     began = time.time()
-    for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" * 100_000, "a@b" * 60_000, "1.2.3." * 40_000, "+1((((" * 30_000):
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" * 100_000, "a@b" * 60_000, "1.2.3." * 40_000, "+1((((" * 30_000, "a1:" * 60_000 + " " + "z" * 200_000):
         I.occurrences(t, I.base_spans(t))
     assert time.time() - began < 20

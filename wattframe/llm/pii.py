@@ -5,7 +5,10 @@
 2. Pattern-instance edges are aggregated by Spark.  Seeds (base identifiers) score 1 for their kind.
    Each round, patterns get the share of their instances that belongs to a kind, patterns with a high
    share and enough distinct instances are kept, and instances get the noisy-or of their patterns.
-3. Tokens in a kept pattern of a kind they could be (their shape) become spans of that kind.
+   Scores only grow from round to round, so the rounds go on until no pattern is added and no share
+   grows any more.
+3. Tokens in a kept pattern of a kind they could be (their shape) become spans of that kind; of kinds
+   with equal shares the first in ``KINDS``.
 
 Texts never enter a shuffle: only tokens, patterns and spans do.
 """
@@ -13,19 +16,23 @@ Texts never enter a shuffle: only tokens, patterns and spans do.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
-from .scratch import carry, written
+from .scratch import carry, drop, written
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Rounds of scoring, least share of a pattern's instances (smoothed), least distinct instances of a pattern.
-ROUNDS, CONFIDENCE, SUPPORT, SMOOTHING = 3, 0.7, 5, 2.0
-#: Characters of a word next to an identifier that name it in a pattern (those nearest to it).
+#: Least share of a pattern's instances (smoothed), least distinct instances of a pattern.
+CONFIDENCE, SUPPORT, SMOOTHING = 0.7, 5, 2.0
+#: Growth of a share from one round to the next that still counts as growth.
+SETTLED = 1e-6
+#: A longer word next to an identifier is named in patterns by its last characters and a hash of all of it.
 CONTEXT = 40
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,6 +43,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKED = re.compile(r"[0-9@]")
 _NUMERIC = re.compile(r"[0-9().+/-]+")
+_PIECE = re.compile(r"[^:=]+")
 _EDGE = "\"'()[]{}<>,;:.!?=*"
 _HOLDS = np.isin(np.arange(256), [*range(48, 58), ord("@")])
 
@@ -88,44 +96,71 @@ def _shape(token: str) -> int:
             | (4 if numeric and 12 <= n <= 19 else 0) | (8 if numeric and 7 <= n <= 15 else 0))
 
 
+def _named(word: str) -> str:
+    return word if len(word) <= CONTEXT else f"{word[-CONTEXT:]}~{xxhash.xxh64_hexdigest(word)}"
+
+
 def _plain(word: str) -> str:
-    return "#" if _MARKED.search(word) else word.lower().strip(_EDGE) or word
+    return "#" if _MARKED.search(word) else _named(word.lower().strip(_EDGE) or word)
+
+
+def _marked_tokens(text: str, words: list[tuple[int, int]], taken: np.ndarray) -> list[tuple[int, int]]:
+    """Tokens with a digit or ``@`` in words without base spans: what ``:`` and ``=`` leave of a word.
+
+    A number at the end of a word goes on through the numbers after it, one blank apart.
+    """
+    found, i = [], 0
+    while i < len(words):
+        here, i = i, i + 1
+        if taken[here] or not _MARKED.search(text, *words[here]):
+            continue
+        for piece in _PIECE.finditer(text, *words[here]):
+            a, b = piece.span()
+            if not _MARKED.search(text, a, b):
+                continue
+            if b == words[here][1] and _NUMERIC.fullmatch(text, a, b):
+                while i < len(words) and not taken[i] and text[words[i - 1][1]:words[i][0]] == " " and _NUMERIC.fullmatch(text, *words[i]):
+                    i += 1
+                b = words[i - 1][1]
+            while a < b and text[a] in _EDGE and not (text[a] == "(" and i > here + 1):
+                a += 1
+            while a < b and text[b - 1] in _EDGE:
+                b -= 1
+            if a < b:
+                found.append((a, b))
+    return found
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, str, list[str]]]:
-    """``(start, end, kind or -1, shape, instance, patterns)`` of base spans and other marked tokens."""
+    """``(start, end, kind or -1, shape, instance, patterns)`` of base spans and other marked tokens.
+
+    The nearest word on the left is what precedes the token in its own word, from the identifier before
+    it there if any; only without such a part it is the word before.
+    """
     words = [m.span() for m in _WORD.finditer(text)]
     starts = [a for a, _ in words]
-    found = [(a, b, kind, 0) for a, kind, b in base]
     taken = np.zeros(len(words), bool)
     for a, _, b in base:
-        taken[max(int(np.searchsorted(starts, a, side="right")) - 1, 0):int(np.searchsorted(starts, b, side="left"))] = True
-    i = 0
-    while i < len(words):
-        a, b = words[i]
-        if taken[i] or not _MARKED.search(text, a, b):
-            i += 1
-            continue
-        j = i + 1
-        if _NUMERIC.fullmatch(text, a, b):  # a number written in groups
-            while j < len(words) and not taken[j] and text[words[j - 1][1]:words[j][0]] == " " and _NUMERIC.fullmatch(text, *words[j]):
-                j += 1
-        b = words[j - 1][1]
-        while a < b and text[a] in _EDGE and not (text[a] == "(" and j > i + 1):
-            a += 1
-        while a < b and text[b - 1] in _EDGE:
-            b -= 1
-        if a < b:
-            found.append((a, b, -1, _shape(text[a:b])))
-        i = j
+        taken[max(bisect_right(starts, a) - 1, 0):bisect_left(starts, b)] = True
+    found = [(a, b, kind, 0) for a, kind, b in base]
+    found += [(a, b, -1, _shape(text[a:b])) for a, b in _marked_tokens(text, words, taken)]
+    ends = sorted(b for _, b, _, _ in found)
+    names: dict[int, str] = {}
+
+    def name(k: int) -> str:
+        if k not in names:
+            names[k] = _plain(text[words[k][0]:words[k][1]])
+        return names[k]
+
     out = []
     for a, b, kind, shape in sorted(found):
-        k = int(np.searchsorted(starts, a, side="right")) - 1
-        inner = text[max(words[k][0], a - CONTEXT):a].strip("\"'([{<")
-        left = ([inner.lower()] if inner else []) + [_plain(text[max(x, y - CONTEXT):y]) for x, y in words[max(k - 2, 0):k][::-1]]
+        k = bisect_right(starts, a) - 1
+        before = bisect_right(ends, a)
+        inner = text[max(words[k][0], ends[before - 1] if before else 0):a].strip("\"'([{<")
+        left = ([_named(inner.lower())] if inner else []) + [name(w) for w in range(k - 1, max(k - 3, -1), -1)]
         left += ["^"] * (2 - len(left))
-        n = int(np.searchsorted(starts, b, side="left"))
-        right = _plain(text[words[n][0]:min(words[n][1], words[n][0] + CONTEXT)]) if n < len(words) else "$"
+        n = bisect_left(starts, b)
+        right = name(n) if n < len(words) else "$"
         out.append((a, b, kind, shape, text[a:b].lower(), [f"{left[1]} {left[0]} _", f"{left[0]} _", f"{left[0]} _ {right}"]))
     return out
 
@@ -160,27 +195,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
              "tokens array<struct<start: long, end: long, kind: int, shape: int, instance: string, patterns: array<string>>>")
 
 
-def kept_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def kept_patterns(edges: DataFrame, rounds: int | None = None, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """``pattern, kind, confidence`` of the patterns kept after the last round.
 
-    ``edges`` has ``pattern, instance, kind`` (kind -1: not a seed), each edge once.
+    ``edges`` has ``pattern, instance, kind`` (kind -1: not a seed), each edge once.  Without ``rounds``
+    the rounds go on until a round adds no pattern and no share grows by more than ``SETTLED``: more
+    patterns and larger shares raise instances, and these raise shares, so the kept set never shrinks
+    and its end does not depend on a number of rounds.  A chain of g generations takes g + 1 rounds.
     """
+    spark = edges.sparkSession
     seeds = edges.filter("kind >= 0").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     pairs = edges.select("pattern", "instance").distinct()
     sizes = pairs.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
-    scores, patterns = seeds, None
-    for r in range(rounds):
+    scores, patterns, path, done = seeds, None, None, 0
+    while True:
         share = pairs.join(scores, "instance").groupBy("pattern", "kind").agg(
             F.sum("score").alias("mass"), F.count(F.when(F.col("score") >= 0.5, 1)).alias("support"))
-        patterns = (share.filter(F.col("support") >= support).join(sizes, "pattern")
-                    .withColumn("confidence", F.col("mass") / (F.col("n") + F.lit(SMOOTHING)))
-                    .filter(F.col("confidence") >= confidence).select("pattern", "kind", "confidence"))
-        patterns, _ = written(patterns, "patterns")
-        if r + 1 < rounds:
-            found = (pairs.join(patterns, "pattern").groupBy("instance", "kind")
-                     .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.99)))))).alias("score")))
-            scores = seeds.unionByName(found.join(seeds.select("instance").distinct(), "instance", "left_anti"))
-    return patterns
+        kept = (share.filter(F.col("support") >= support).join(sizes, "pattern")
+                .withColumn("confidence", F.col("mass") / (F.col("n") + F.lit(SMOOTHING)))
+                .filter(F.col("confidence") >= confidence).select("pattern", "kind", "confidence"))
+        kept, new = written(kept, "patterns")
+        done += 1
+        if rounds is None:
+            old = patterns.withColumnRenamed("confidence", "was") if patterns is not None else None
+            grown = kept if old is None else kept.join(old, ["pattern", "kind"], "left").filter(
+                F.col("was").isNull() | (F.col("confidence") - F.col("was") > F.lit(SETTLED)))
+            last = grown.isEmpty()
+        else:
+            last = done >= rounds
+        if path:
+            drop(spark, path)
+        patterns, path = kept, new
+        if last:
+            return patterns
+        found = (pairs.join(patterns, "pattern").groupBy("instance", "kind")
+                 .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.99)))))).alias("score")))
+        scores = seeds.unionByName(found.join(seeds.select("instance").distinct(), "instance", "left_anti"))
 
 
 def _contextual(found: DataFrame, **how) -> DataFrame:
@@ -198,8 +248,9 @@ def _contextual(found: DataFrame, **how) -> DataFrame:
 def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``doc_id, mark, base, spans`` for every row: base spans and all spans, ``(start, kind, end)`` in order.
 
-    Kinds are positions in ``KINDS``, places are code points.  Null and empty texts have no spans.  Repeated
-    rows have equal spans; other columns are ignored; an empty table gives no rows.
+    Kinds are positions in ``KINDS``, places are code points.  Null and empty texts have no spans.  Very long
+    texts are scanned whole, in linear time.  Repeated rows have equal spans, rows with a null id too; other
+    columns are ignored; an empty table gives no rows.
     """
     found, _ = written(scan(docs, id_col, text_col), "tokens")
     extra = _contextual(found, **how).withColumnsRenamed({"doc_id": "d", "mark": "m"})
