@@ -1,18 +1,22 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosines inside cells.
 
 1. Equal vectors collapse in a grouped aggregation; a group of copies goes on as one row with a weight.
-2. Spherical k-means is fitted on a bounded sample (``SAMPLE_ROWS``); every vector gets its home cell
-   and visits the cells whose centre is almost as close.  The margin follows from the threshold: a
-   linked vector differs by noise of known length, and the margin covers ``RECALL`` of its directions.
-3. Cells are cut into blocks of ``BLOCK`` vectors; a pair of blocks is one group, so memory is bounded
-   whatever the size of a cell.  A pair of vectors that meets in two cells counts in one of them.
-4. A group returns one row per vector with links (their number and a root), not one per pair.
+2. Spherical k-means is fitted on a sample.  Every vector gets its home cell and visits the cells whose
+   boundary with its home is near.  How near is measured, not assumed: sample vectors are moved to the
+   threshold in directions the data itself has (towards other vectors, towards vectors of the same
+   cell) and in even noise, and the margin covers ``RECALL`` of each kind of move.
+3. The number of cells is the square root of the number of vectors, or a half, a quarter ... of it where
+   the sample says that visits would cost more than smaller cells save.
+4. Cells are cut into blocks of ``BLOCK`` vectors; a pair of blocks is one group, so memory is bounded
+   whatever the size of a cell.  A pair of vectors that meets in two cells counts in one of them; rows
+   carry their home for that, and what a vector visits is computed again where it matters.
+5. A group returns one row per vector with links (their number and a root), not one per pair.
+
+With n vectors and v visits each the job compares n * sqrt(n) * (1 + v) pairs.
 """
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,19 +27,39 @@ from .scratch import written
 from .simhash import merge_labels
 
 THRESHOLD = 0.95
-#: Rows used to fit the centres, most cells, rows of a block, share of noise directions a margin covers.
-SAMPLE_ROWS, MAX_CELLS, BLOCK, RECALL = 20_000, 4096, 2048, 0.98
+#: Rows used to fit the centres (or ``ROWS_A_CELL`` for each cell if that is more), rows of a block, share of
+#: measured moves that the margin covers.
+SAMPLE_ROWS, ROWS_A_CELL, BLOCK, RECALL = 20_000, 8, 2048, 0.98
+#: Sample vectors that are moved to measure the margin and the visits.
+MOVED = 4000
+
 
+def unit(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """Rows of a list column in double precision with length one, over the first ``dim`` components.
 
-def unit(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column in double precision with length one; shorter vectors count as padded with zeros."""
+    Shorter vectors count as padded with zeros.  Longer ones have length one over all their components,
+    whatever ``dim`` is.  A row's result depends on that row alone, to the last bit.
+    """
     size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    dim = int(size.max(initial=0)) if dim is None else dim
     x = np.zeros((len(size), dim))
+    if not len(flat):
+        return x
     row = np.repeat(np.arange(len(size)), size)
-    x[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
-    x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300) if dim else 1  # no overflow of squares
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    some, begin = np.flatnonzero(size), np.cumsum(size) - size
+    scale = np.ones(len(size))
+    scale[some] = np.maximum(np.maximum.reduceat(np.abs(flat), begin[some]), 1e-300)  # no overflow of squares
+    flat = flat / scale[row]
+    scale[some] = np.sqrt(np.add.reduceat(flat * flat, begin[some]))
+    at = np.arange(len(flat)) - begin[row]
+    inside = at < dim
+    x[row[inside], at[inside]] = flat[inside] / np.maximum(scale[row[inside]], 1e-300)
+    return x
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, rows: int = 4096) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *((x[i:i + rows] @ centres.T).argmax(axis=1) for i in range(0, len(x), rows))])
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -43,7 +67,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     k = max(1, min(k, len(x)))
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy() if len(x) else np.zeros((1, x.shape[1]))
     for _ in range(rounds if len(x) else 0):
-        home = (x @ centres.T).argmax(axis=1)
+        home = _nearest(x, centres)
         total = np.zeros_like(centres)
         np.add.at(total, home, x)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -51,37 +75,104 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return centres
 
 
-def probes(x: np.ndarray, centres: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home cell of every vector, and (row, cell) of all cells it is in or near to.
+def visits(x: np.ndarray, home: np.ndarray, centres: np.ndarray, cells: np.ndarray, margin: float) -> np.ndarray:
+    """Which of ``cells`` each vector visits: those whose boundary with its home is at most ``margin`` away.
 
-    A vector at the threshold is this one plus noise of length tan(angle); along the line between two
-    centres the noise has a standard deviation of tan(angle) / sqrt(dimension) times their distance.
+    The answer for a vector and a cell is the same in every call, whatever other rows and cells are asked
+    for: matrix products may differ in their last bits, so close calls are settled by a plain sum.
     """
-    near = x @ centres.T
-    home = near.argmax(axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
-    noise = np.sqrt(max(1 - threshold**2, 0)) / max(threshold, 1e-6) / np.sqrt(max(x.shape[1], 1))
-    margin = NormalDist().inv_cdf(recall) * noise * apart[home]
-    row, cell = np.nonzero(near >= near[np.arange(len(x)), home][:, None] - margin - 1e-12)
-    return home, row, cell
-
-
-def cell_rows(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float, recall: float) -> DataFrame:
-    """``cell, home, cid, copies, probes, embedding``: a row for each cell a vector is in or visits."""
+    own, there = centres[home], centres[cells]
+    apart = np.sqrt(np.maximum(2 - 2 * (own @ there.T), 0))
+    slack = margin * apart - ((x * own).sum(axis=1)[:, None] - x @ there.T)
+    out = slack >= 0
+    i, j = np.nonzero(np.abs(slack) < 1e-6)
+    for s in range(0, len(i), BLOCK):
+        a, b = own[i[s:s + BLOCK]], there[j[s:s + BLOCK]]
+        gap = (x[i[s:s + BLOCK]] * (a - b)).sum(axis=1)
+        out[i[s:s + BLOCK], j[s:s + BLOCK]] = gap <= margin * np.sqrt(((a - b) ** 2).sum(axis=1)) + 1e-12
+    return out
+
+
+def measured_margin(x: np.ndarray, centres: np.ndarray, threshold: float, recall: float, seed: int = 11) -> float:
+    """The margin at which ``recall`` of the moves of each kind stay within reach of their start.
+
+    A vector and its moved image at the threshold meet if one of them visits the other's home.  A distance
+    is that from a vector to the boundary between its home and the other one.
+    """
+    if len(x) < 2 or len(centres) < 2:
+        return 0.0
+    rnd = np.random.default_rng(seed)
+    start = x[rnd.choice(len(x), min(MOVED, len(x)), replace=False)]
+    home, homes = _nearest(start, centres), _nearest(x, centres)
+    order = np.argsort(homes, kind="stable")
+    first, last = np.searchsorted(homes[order], home), np.searchsorted(homes[order], home, side="right")
+    kinds = [rnd.standard_normal(start.shape), x[rnd.integers(len(x), size=len(start))],
+             x[order[first + (rnd.random(len(start)) * (last - first)).astype(np.int64)]]]
+    margins = [0.0]
+    for towards in kinds:
+        way = towards - (towards * start).sum(axis=1, keepdims=True) * start
+        size = np.linalg.norm(way, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-9
+        if not some.any():
+            continue
+        sign = rnd.choice([-1.0, 1.0], size=(int(some.sum()), 1))
+        a, at = start[some], home[some]
+        b = threshold * a + np.sqrt(max(1 - threshold**2, 0)) * sign * way[some] / size[some]
+        to = _nearest(b, centres)
+        line = centres[at] - centres[to]
+        apart = np.maximum(np.linalg.norm(line, axis=1), 1e-12)
+        far = np.where(at == to, 0, np.minimum((a * line).sum(axis=1), -(b * line).sum(axis=1)) / apart)
+        margins.append(float(np.quantile(np.maximum(far, 0), recall)))
+    return max(margins)
+
+
+def fitted_cells(x: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float = RECALL, cells: int | None = None) -> tuple[np.ndarray, float]:
+    """Centres and margin; without ``cells`` as many as make comparing and shipping ``n`` vectors cheapest.
+
+    Centres are fitted on one half of the sample, margin and visits measured on the other: vectors are
+    nearer to centres fitted on them than others are.
+    """
+    best, (fit, x) = None, (x[::2], x[1::2] if len(x) > 1 else x)
+    k = cells or max(1, round(n**0.5))
+    while True:
+        centres = spherical_kmeans(fit, k)
+        margin = measured_margin(x, centres, threshold, recall)
+        some = x[np.random.default_rng(13).choice(len(x), min(MOVED, len(x)), replace=False)] if len(x) else x
+        seen = [visits(part, _nearest(part, centres), centres, np.arange(len(centres)), margin).sum()
+                for part in (some[i:i + BLOCK] for i in range(0, len(some), BLOCK))]
+        # a row is compared with its cells' vectors, and its copies are shipped once per block of these
+        copies = float(sum(seen)) / max(len(some), 1)
+        cost = copies * (n / len(centres) + BLOCK)
+        if best is None or cost < best[0]:
+            best = cost, centres, margin
+        elif cost > 2 * best[0] or k == 1:
+            return best[1:]
+        if cells or k == 1:
+            return best[1:]
+        k = max(1, k // 2)
+
+
+def cell_rows(classes: DataFrame, centres: np.ndarray, margin: float) -> DataFrame:
+    """``cell, home, cid, copies, embedding``: a row for each cell a vector is in or visits."""
     def run(batches):
+        every = np.arange(len(centres))
+        step = max(1, min(BLOCK, (1 << 23) // len(centres)))  # the products of a step take a bounded part of memory
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                home, row, cell = probes(unit(part.column(2), dim), centres, threshold, recall)
-                take = pa.array(row)
-                count = np.bincount(row, minlength=part.num_rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(cell.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), part.column(0).take(take), part.column(1).take(take),
-                     lists.take(take), part.column(2).take(take)], names=["cell", "home", "cid", "copies", "probes", "embedding"])
-
-    return classes.select("cid", "copies", "embedding").mapInArrow(
-        run, "cell int, home int, cid long, copies long, probes array<int>, embedding array<double>")
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = unit(part.column(2), centres.shape[1])
+                home = _nearest(x, centres)
+                there = visits(x, home, centres, every, margin)
+                there[np.arange(len(home)), home] = True
+                row, cell = np.nonzero(there)
+                for cut in range(0, len(row), BLOCK):
+                    take = pa.array(row[cut:cut + BLOCK])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[cut:cut + BLOCK].astype(np.int32)), pa.array(home[row[cut:cut + BLOCK]].astype(np.int32)),
+                         part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)],
+                        names=["cell", "home", "cid", "copies", "embedding"])
+
+    return classes.select("cid", "copies", "embedding").mapInArrow(run, "cell int, home int, cid long, copies long, embedding array<double>")
 
 
 def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -92,7 +183,7 @@ def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     visits = F.col("cell") != F.col("home")
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.when(~visits, 1)) / F.lit(block)).cast("int").alias("homes"),
                                      F.ceil(F.count(F.when(visits, 1)) / F.lit(block)).cast("int").alias("guests"))
-    # one row per cell, at most MAX_CELLS
+    # one row of three numbers per cell: the square root of the number of vectors
     dealt = rows.join(F.broadcast(sizes), "cell").filter("homes > 0")
     own = F.pmod(F.xxhash64("cid"), F.when(visits, F.col("guests")).otherwise(F.col("homes"))).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -102,7 +193,7 @@ def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     visit = F.transform(upto(F.col("homes")), lambda i: F.struct(i.alias("one"), F.col("own").alias("two"), F.lit(1).alias("kind"), F.lit(1).alias("side")))
     groups = F.when(visits, visit).otherwise(F.concat(homes, guests))
     return (dealt.withColumn("own", own).withColumn("g", F.explode(groups))
-            .select("cell", "g.one", "g.two", "g.kind", "g.side", "home", "cid", "copies", "probes", "embedding"))
+            .select("cell", "g.one", "g.two", "g.kind", "g.side", "home", "cid", "copies", "embedding"))
 
 
 def group_links(a: np.ndarray, b: np.ndarray | None, allowed, threshold: float, copies_a: np.ndarray, copies_b: np.ndarray):
@@ -119,7 +210,7 @@ def group_links(a: np.ndarray, b: np.ndarray | None, allowed, threshold: float,
     return (np.concatenate([near @ copies_b, copies_a @ near]), merge_labels(np.arange(len(a) + len(b)), i, j + len(a)))
 
 
-def links(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, centres: np.ndarray, margin: float, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``cid, links, root``: linked copies of each vector by group, and a vector it is linked to there."""
     order = ["cell", "one", "two", "kind"]
 
@@ -144,7 +235,7 @@ def links(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float =
     def group(table):
         col = {n: table.column(n).chunk(0) for n in table.column_names}
         side = col["side"].to_numpy()
-        x, copies = unit(col["embedding"], dim), col["copies"].to_numpy()
+        x, copies = unit(col["embedding"]), col["copies"].to_numpy()
         kind, same = col["kind"][0].as_py(), col["one"][0].as_py() == col["two"][0].as_py()
         if kind == 0 and same:
             order_, (count, label) = np.arange(len(x)), group_links(x, None, None, threshold, copies, copies)
@@ -156,18 +247,12 @@ def links(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float =
             def allowed():
                 """A guest counts here unless the pair counts in the guest's own cell, the smaller one."""
                 cell, guest = col["cell"][0].as_py(), col["home"].to_numpy()[b]
-                size = col["probes"].value_lengths().to_numpy()
-                flat = col["probes"].flatten().to_numpy()
-                row = np.repeat(np.arange(len(size)), size)
                 there = np.zeros((len(a), len(b)), bool)
                 smaller = np.flatnonzero(guest < cell)
                 if len(smaller):
                     homes, back = np.unique(guest[smaller], return_inverse=True)
-                    visits = np.zeros((len(size), len(homes)), bool)
-                    at = np.searchsorted(homes, flat)
-                    hit = (at < len(homes)) & (homes[np.minimum(at, len(homes) - 1)] == flat)
-                    visits[row[hit], at[hit]] = True
-                    there[:, smaller] = visits[a][:, back]
+                    own = unit(col["embedding"].take(pa.array(a)), centres.shape[1])
+                    there[:, smaller] = visits(own, np.full(len(a), cell), centres, homes, margin)[:, back]
                 return ~there
 
             order_ = np.concatenate([a, b])
@@ -178,7 +263,7 @@ def links(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float =
             yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(count[some].astype(np.int64)), pa.array(cid[label[some]])],
                                              names=["cid", "links", "root"])
 
-    rows = block_pairs(cell_rows(classes, centres, dim, threshold, recall), block)
+    rows = block_pairs(cell_rows(classes, centres, margin), block)
     return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "cid long, links long, root long")
 
 
@@ -186,7 +271,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                     sample_rows: int = SAMPLE_ROWS, recall: float = RECALL, block: int = BLOCK, cells: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row.
 
-    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing.  Repeated
+    Cosines are of double components, and shorter vectors count as padded with zeros.  No pair below the
+    threshold is linked; pairs over it are found with ``recall`` or more, as measured on moved sample
+    vectors.  An empty table gives no rows.  Vectors that are null, empty, zero or hold a null or non-finite component link with nothing.  Repeated
     rows are rows of their own, linked with one another.  A null id is never a component's name; a row
     without id is kept only if its whole component has none.  Other columns are ignored.
     """
@@ -196,11 +283,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
     classes, _ = written(rows.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
                          .withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    sample = classes.orderBy(F.xxhash64("embedding"), "cid").limit(sample_rows).select("embedding").toArrow().column(0).combine_chunks()
+    n = classes.count()
+    sample = classes.orderBy(F.xxhash64("embedding"), "cid").limit(max(sample_rows, ROWS_A_CELL * (cells or round(n**0.5)))).select("embedding").toArrow().column(0).combine_chunks()
     sample = sample if isinstance(sample, pa.Array) else pa.concat_arrays(sample.chunks) if sample.num_chunks else pa.array([], pa.list_(pa.float64()))
-    centres = spherical_kmeans(unit(sample, dim), cells or min(MAX_CELLS, round(n**0.5)))
-    found, _ = written(links(classes, centres, dim, threshold, recall, block), "links")
+    # most vectors have one length; cells look no further than that, cosines do
+    usual = int(np.bincount(sample.value_lengths().to_numpy(zero_copy_only=False)).argmax()) if len(sample) else 0
+    centres, margin = fitted_cells(unit(sample, usual), n, threshold, recall, cells)
+    found, _ = written(links(classes, centres, margin, threshold, block), "links")
     total = found.groupBy("cid").agg(F.sum("links").alias("links"))
     nodes = connected_components(found, "cid", "root")
     named = (classes.join(nodes, classes["cid"] == nodes["node"], "left")
