@@ -10,10 +10,10 @@
   features plus the scaled target); trees keep their best round on a validation range (patience);
 * ``compare_models`` — RMSE, mean and standard deviation of every model and the published forecast.
 
-Boosted-tree settings map onto ``GBTRegressor``: learning rate → ``stepSize``, rounds → ``maxIter``,
-``min_child_weight`` → ``minInstancesPerNode`` (the hessian of squared error is 1 per row), row
-subsample → ``subsamplingRate``, column subsample → ``featureSubsetStrategy`` (per node here, per tree
-in other libraries).  An L1 leaf penalty has no counterpart.
+Trees grow with ``operators.boosting``: all targets, folds and grid points in one job per level.  Only
+``split_importance`` and the history model use Spark's ``GBTRegressor`` (learning rate → ``stepSize``, rounds →
+``maxIter``, ``min_child_weight`` → ``minInstancesPerNode``, row subsample → ``subsamplingRate``, column subsample →
+``featureSubsetStrategy``, drawn per node; no L1 leaf penalty).
 """
 
 from __future__ import annotations
@@ -21,17 +21,15 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wattframe.functions.columns import columns_of_type
+from wattframe.operators import boosting
+from wattframe.operators.boosting import Boost
 from wattframe.operators.evaluate import mean_std_wide, rmse_wide
 from wattframe.operators.features import FIT_PARTITIONS, fit_centred_pca, fit_minmax, stable_layout
 from wattframe.operators.positions import positional_folds
@@ -72,31 +70,24 @@ def model_input_once(df: DataFrame) -> DataFrame:
 
 
 def forecast_trees(df: DataFrame, ts_col: str, target: str, test_year: int = TEST_YEAR, params: dict | None = None,
-                   exclude: list[str] | None = None, partitions: int = FIT_PARTITIONS) -> DataFrame:
+                   exclude: list[str] | None = None) -> DataFrame:
     """The whole test-year frame with ``<target>_predicted``.  The prediction stays keyed by time
     (``transform`` carries the row), so re-attaching it is a join, never a positional paste."""
     params = params if params is not None else BEST_TREE_PARAMS.get(target, {})
-    cols = feature_columns(df, target, ts_col, exclude)
     train, test = year_split(df, ts_col, test_year)
-    model = Pipeline(stages=[_assembler(cols), gbt(target, **params)]).fit(stable_layout(train, [ts_col], partitions))
-    return model.transform(test).select(*df.columns, F.col("prediction").alias(f"{target}_predicted"))
+    model = boosting.fit(train, [ts_col], feature_columns(df, target, ts_col, exclude), [Boost(target, target, **params)])
+    return model.transform(test, {target: f"{target}_predicted"})
 
 
 def forecast_targets(df: DataFrame, ts_col: str, targets: dict, test_year: int = TEST_YEAR,
-                     params_by_target: dict = BEST_TREE_PARAMS, set_aside: DataFrame | None = None,
-                     parallelism: int = 4, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """The test-year frame with all targets' predictions, joined on time, plus the set-aside block.
-    The per-target fits are independent distributed jobs and run concurrently."""
+                     params_by_target: dict = BEST_TREE_PARAMS, set_aside: DataFrame | None = None, state: str | None = None) -> DataFrame:
+    """The test-year frame with all targets' predictions, joined on time, plus the set-aside block.  The targets' trees
+    grow together; with ``state`` (a shared folder) a fit that was broken off goes on from its last written round."""
     df = model_input_once(df)
-
-    def one(item):
-        target, pred_col = item
-        return forecast_trees(df, ts_col, target, test_year, params_by_target[target], partitions=partitions).select(
-            ts_col, F.col(f"{target}_predicted").alias(pred_col))
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(targets)))) as pool:
-        parts = list(pool.map(one, targets.items()))
-    return forecast_frame(df, ts_col, test_year, parts, set_aside)
+    train, test = year_split(df, ts_col, test_year)
+    models = [Boost(t, t, skip=(t,), **params_by_target[t]) for t in targets]
+    fitted = boosting.fit(train, [ts_col], feature_columns(df, "", ts_col), models, state=state)
+    return forecast_frame(df, ts_col, test_year, [fitted.transform(test, targets).select(ts_col, *targets.values())], set_aside)
 
 
 def forecast_frame(df: DataFrame, ts_col: str, test_year: int, predictions: list[DataFrame], set_aside: DataFrame | None = None) -> DataFrame:
@@ -124,44 +115,21 @@ def _scope(df: DataFrame, ts_col: str, fit_scope: str, test_year: int | None) ->
 
 def cv_curve(df: DataFrame, ts_col: str, target: str, params: dict, k: int = 3, rounds: int = 50,
              early_stop: int = 10, seed: int = 123, key_cols: list[str] | None = None,
-             fit_scope: str = "all", test_year: int | None = None, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """Per boosting round: mean / std (population) of train and test RMSE over shuffled k folds.
+             fit_scope: str = "all", test_year: int | None = None, state: str | None = None) -> DataFrame:
+    """Per boosting round: mean / std (population) of train and test RMSE over shuffled k folds, up to the best round.
 
-    Each fold is one distributed fit; ``evaluateEachIteration`` gives the loss after every round in
-    one pass per split.  Rows after the best test round are dropped once ``early_stop`` rounds pass
-    without improvement.
+    The folds' models grow together and stop once the mean test RMSE hasn't improved for ``early_stop`` rounds.
     """
-    spark = df.sparkSession
     df = _scope(df, ts_col, fit_scope, test_year)
     cols = feature_columns(df, target, ts_col)
-    df = model_input_once(df.select(ts_col, target, *cols))
-    folded = stable_layout(df.withColumn("_fold", shuffled_folds(key_cols or [ts_col], k, seed)), [ts_col], partitions)
-    asm = _assembler(cols)
-
-    def one_fold(f):
-        tr = asm.transform(folded.filter(F.col("_fold") != f))
-        te = asm.transform(folded.filter(F.col("_fold") == f))
-        m = gbt(target, seed=seed, **dict(params, n_estimators=rounds)).fit(tr)
-        tr_err = m.evaluateEachIteration(tr, "squared")
-        te_err = m.evaluateEachIteration(te, "squared")
-        return [(f, i, math.sqrt(a), math.sqrt(b)) for i, (a, b) in enumerate(zip(tr_err, te_err))]
-
-    with ThreadPoolExecutor(max_workers=k) as pool:  # folds are independent distributed fits
-        rows = [r for part in pool.map(one_fold, range(k)) for r in part]
-    schema = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("round", T.IntegerType()),
-                           T.StructField("train_rmse", T.DoubleType()), T.StructField("test_rmse", T.DoubleType())])
-    per_fold = spark.createDataFrame(rows, schema)
-    curve = per_fold.groupBy("round").agg(
+    fold = shuffled_folds(key_cols or [ts_col], k, seed)
+    df = model_input_once(df.select(ts_col, target, *cols, *[(fold == f).alias(f"_out{f}") for f in range(k)]))
+    models = [Boost(f"fold{f}", target, holdout=f"_out{f}", group="cv", seed=seed, **dict(params, n_estimators=rounds)) for f in range(k)]
+    fitted = boosting.fit(df, [ts_col], cols, models, early_stop=early_stop, state=state)
+    best = max(map(len, fitted.trees))
+    return boosting.error_table(df.sparkSession, fitted).filter(F.col("round") < best).groupBy("round").agg(
         F.avg("train_rmse").alias("train_rmse_mean"), F.stddev_pop("train_rmse").alias("train_rmse_std"),
         F.avg("test_rmse").alias("test_rmse_mean"), F.stddev_pop("test_rmse").alias("test_rmse_std"))
-    means = sorted((r["round"], r["test_rmse_mean"]) for r in curve.select("round", "test_rmse_mean").collect())
-    best, best_v = 0, float("inf")
-    for r, v in means:
-        if v < best_v:
-            best, best_v = r, v
-        elif r - best >= early_stop:
-            break
-    return curve.filter(F.col("round") <= best)
 
 
 def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, rounds: int = 10,
@@ -190,37 +158,37 @@ def split_importance(df: DataFrame, ts_col: str, target: str, params: dict, roun
 
 
 def tune_trees(df: DataFrame, ts_col: str, target: str, grid: dict, folds: int = 2, n_estimators: int = 500,
-               test_year: int | None = None, parallelism: int = 5, metric: str = "r2", fit_scope: str = "all",
-               partitions: int = FIT_PARTITIONS):
+               test_year: int | None = None, metric: str = "r2", fit_scope: str = "all"):
     """Grid over learning rate × depth, k-fold CV with consecutive folds of equal row counts.
 
-    Returns (scores per grid point, best params, test RMSE of the best params refitted outside
-    ``test_year``).  ``fit_scope="train"`` keeps the test year out of the search as well.
+    All grid points' and folds' trees grow together.  Returns (scores per grid point, best params, test RMSE of the
+    best params refitted outside ``test_year``).  ``fit_scope="train"`` keeps the test year out of the search as well.
     """
-    cols = feature_columns(df, target, ts_col)
+    if metric not in ("r2", "rmse"):
+        raise ValueError("metric must be 'r2' or 'rmse'")
+    spark, cols = df.sparkSession, feature_columns(df, target, ts_col)
     df = model_input_once(df.select(ts_col, target, *cols))
-    data = df
-    if fit_scope == "train" and test_year is not None:
-        data, _ = year_split(df, ts_col, test_year)
-    data = stable_layout(positional_folds(data, [ts_col], folds, "_fold"), [ts_col], partitions)
-    est = gbt(target, n_estimators=n_estimators)
-    pg = (ParamGridBuilder().addGrid(est.stepSize, grid["learning_rate"])
-          .addGrid(est.maxDepth, grid["max_depth"]).build())
-    ev = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName=metric)
-    cv = CrossValidator(estimator=Pipeline(stages=[_assembler(cols), est]), estimatorParamMaps=pg, evaluator=ev,
-                        foldCol="_fold", numFolds=folds, parallelism=parallelism, seed=42)
-    cvm = cv.fit(data)
-    spark = df.sparkSession
-    scores = spark.createDataFrame(
-        [(float(p[est.stepSize]), int(p[est.maxDepth]), float(s)) for p, s in zip(pg, cvm.avgMetrics)],
-        f"learning_rate double, max_depth int, {metric} double")
-    best_i = max(range(len(pg)), key=lambda i: cvm.avgMetrics[i]) if ev.isLargerBetter() else \
-        min(range(len(pg)), key=lambda i: cvm.avgMetrics[i])
-    best = {"learning_rate": float(pg[best_i][est.stepSize]), "max_depth": int(pg[best_i][est.maxDepth]),
-            "n_estimators": n_estimators}
+    data = year_split(df, ts_col, test_year)[0] if fit_scope == "train" and test_year is not None else df
+    outs = [(F.col("_fold") == f).alias(f"_out{f}") for f in range(folds)]
+    data = model_input_once(positional_folds(data, [ts_col], folds, "_fold").select("*", *outs))
+    points = [(lr, depth) for lr in grid["learning_rate"] for depth in grid["max_depth"]]
+    models = [Boost(f"{lr}/{depth}/{f}", target, lr, depth, n_estimators, holdout=f"_out{f}") for lr, depth in points for f in range(folds)]
+    fitted = boosting.fit(data, [ts_col], cols, models)
+    rmse = {name: held for name, r, _, held in fitted.errors if r == n_estimators - 1}
+    spread = {r["_fold"]: r["v"] for r in data.groupBy("_fold").agg(F.var_pop(target).alias("v")).collect()}
+
+    def score(lr, depth, f):
+        e = rmse[f"{lr}/{depth}/{f}"]
+        return e if metric == "rmse" else 1 - e * e / spread[f]
+
+    means = [sum(score(*p, f) for f in range(folds)) / folds for p in points]
+    scores = spark.createDataFrame([(float(lr), int(depth), float(s)) for (lr, depth), s in zip(points, means)],
+                                   f"learning_rate double, max_depth int, {metric} double")
+    best_i = (max if metric == "r2" else min)(range(len(points)), key=means.__getitem__)
+    best = {"learning_rate": float(points[best_i][0]), "max_depth": int(points[best_i][1]), "n_estimators": n_estimators}
     test_rmse = None
     if test_year is not None:
-        pred = forecast_trees(df, ts_col, target, test_year, best, partitions=partitions)
+        pred = forecast_trees(df, ts_col, target, test_year, best)
         test_rmse = pred.select(F.sqrt(F.avg(F.pow(F.col(target) - F.col(f"{target}_predicted"), 2)))).first()[0]
     return scores, best, test_rmse
 
