@@ -21,10 +21,13 @@ def shingles(w):
 
 def slow(rows, templates=N.TEMPLATES):
     out = set()
+    wanted = [(name, kind, set(shingles(words(t)))) for name, kind, t in templates]
     for i, text in set(rows):
         s = shingles(words(text))
-        for name, kind, t in templates:
-            want = set(shingles(words(t)))
+        there = set(s)
+        for name, kind, want in wanted:
+            if not want & there:
+                continue
             size = N.window_shingles(len(want))
             shares = {a: len(want & set(s[a:a + size])) / len(want) for a in range(0, max(len(s), 1), size // 2)}
             good = {a: x for a, x in shares.items() if x >= 0.8}
@@ -33,9 +36,9 @@ def slow(rows, templates=N.TEMPLATES):
     return out
 
 
-def check(docs):
-    got = [tuple(r) for r in N.scan(docs).collect()]
-    want = slow([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+def check(docs, templates=N.TEMPLATES):
+    got = [tuple(r) for r in N.scan(docs, templates).collect()]
+    want = slow([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], templates)
     assert sorted(map(str, got)) == sorted(map(str, want))
     return got
 
@@ -54,7 +57,8 @@ def test_whole_and_changed_notices_in_long_texts(llm):
     rnd = random.Random(6)
     noise = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
     rows = []
-    for k, (_, _, t) in enumerate(N.TEMPLATES):
+    templates = N.NOTICES + N.common_wordings()[::9]
+    for k, (_, _, t) in enumerate(templates):
         for j in range(6):
             w = t.split()
             if j > 2 and len(w) > 40:  # some words changed
@@ -62,7 +66,42 @@ def test_whole_and_changed_notices_in_long_texts(llm):
             text = " ".join(w).upper() if j == 2 else "\n * ".join(w)
             rows.append((10 * k + j, f"{noise(rnd.randrange(900))} {text} {noise(rnd.randrange(900))}"))
     found = check(llm.createDataFrame(rows, "doc_id long, text string"))
-    assert {r[0] // 10 for r in found} == set(range(len(N.TEMPLATES)))
+    assert {r[0] // 10 for r in found} == set(range(len(templates)))
+
+
+def test_texts_over_two_mebibytes_at_the_borders_of_segments(llm):
+    rnd = random.Random(8)
+    notice = next(t for t in N.NOTICES if t[0] == "bsd-3-text")
+    n = len(words(notice[2]))
+    segment = max(N.SEGMENT, 8 * N.window_shingles(n))
+    text = [f"w{rnd.randrange(10**7)}" for _ in range(300_000)]
+    for k, at in enumerate((segment - n, 2 * segment - n // 2, 3 * segment, 4 * segment - 1, 5 * segment + 1, len(text) - n)):
+        text[at:at + n] = words(notice[2])
+        text[at + 17 * k] = "changed"
+    long_text = " ".join(text)
+    assert len(long_text) > 2 << 20
+    rows = [(1, long_text), (2, " ".join(text[2 * segment - n:2 * segment + n]))]
+    templates = [notice, ("line", "MIT", "Released under the MIT License.")]
+    assert {r[0] for r in check(llm.createDataFrame(rows, "doc_id long, text string"), templates)} == {1, 2}
+    # every copy by itself, through short texts that hold only one border each
+    alone = [(i, " ".join(["x"] * (i * 37) + text[i * segment - 2 * n:i * segment + 2 * n])) for i in range(1, 6)]
+    assert {r[0] for r in check(llm.createDataFrame(alone, "doc_id long, text string"), templates)} == set(range(1, 6))
+
+
+def test_thousands_of_templates(llm):
+    rnd = random.Random(9)
+    made = [(f"t{k}", "made", " ".join(f"v{rnd.randrange(5000)}" for _ in range(rnd.randrange(5, 40)))) for k in range(3000)]
+    rows = [(k, f"a b c {t} d e f") for k, (_, _, t) in enumerate(made[::100])]
+    found = check(llm.createDataFrame(rows, "doc_id long, text string"), made)
+    assert len(found) == len(rows)
+
+
+def test_usual_wordings_are_found(llm):
+    texts = {"GPL-3.0": "This tool is licensed under the GNU General Public License v3.0 or newer", "BSD-3-Clause": "released under the BSD 3-clause license",
+             "CC-BY-SA-4.0": "The text is available under the Creative Commons Attribution-ShareAlike 4.0 International License",
+             "Apache-2.0": "SPDX-License-Identifier: Apache-2.0", "MIT": "Code is licensed under the MIT license, see LICENSE"}
+    docs = llm.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    assert {list(texts)[r["doc_id"]]: r["license"] for r in N.scan(docs).collect()} == {k: k for k in texts}
 
 
 def test_band_settings():
@@ -81,3 +120,5 @@ def test_odd_rows(odd_docs, no_docs):
     assert check(odd_docs) == [] and N.scan(no_docs).collect() == [] and N.scan(odd_docs, []).collect() == []
     with pytest.raises(ValueError):
         N.scan(odd_docs, [("x", "x", "too short")])
+    with pytest.raises(ValueError):
+        N.scan(odd_docs, [("x", "x", "one name for two texts here"), ("x", "x", "another text of five words")])

@@ -6,56 +6,31 @@ every run of t shingles lies in one of them whole.  A window with the required c
 Jaccard similarity of at least ``least_similarity`` with the template; with bands of one row, ``bands``
 gives their number for a collision probability of ``PROBABILITY``.
 
-A band can only collide where the shingle with the template's smallest hash is in the window.  So the
-windows to be hashed are those around such shingles, found while a document's shingles are made; the
-other windows have no equal band by definition.  Retrieved windows are verified on the shingles
-themselves.  Nothing but the matches is shuffled; the templates, a bounded list, are literals.
+A band can only collide where the shingle with the template's smallest hash (its anchor) is in the window.  So
+the windows to be hashed are those around anchors of their length, found through a table of buckets of anchors; the
+other windows have no equal band by definition.  The bands of a hashed window are joined with the templates' bands
+on (length, band, value), and retrieved pairs are verified on the shingles themselves.  Neither step walks over
+templates, so a scan costs about the same for ten templates and for thousands.  Long texts are cut into segments
+that overlap by the longest window.
 """
 
 from __future__ import annotations
 
+import json
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import NOTICES, common_wordings
+
 SHINGLE, CONTAINMENT, PROBABILITY = 5, 0.8, 0.999
-#: Most templates of one scan (they are literals in the plan).
-MAX_TEMPLATES = 1000
+#: Windows that begin in one segment of a text: this many shingles, or 8 of the longest windows.
+SEGMENT = 8192
+#: Tables of templates up to this estimated size are broadcast; larger ones are joined by Spark's own choice.
+BROADCAST_BYTES = 64 << 20
 NO_WORD = r"[^\p{L}\p{N}]+"
-
-# Short notices and opening passages of well-known public licenses.
-TEMPLATES = [
-    ("apache-2.0-line", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0-notice", "Apache-2.0",
-     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
-     "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law "
-     "or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
-     "CONDITIONS OF ANY KIND, either express or implied."),
-    ("mit-line", "MIT", "Released under the MIT License."),
-    ("mit-permission", "MIT",
-     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-     "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
-     "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
-     "is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
-     "included in all copies or substantial portions of the Software."),
-    ("gpl-3.0-line", "GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-notice", "GPL-3.0-or-later",
-     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("cc-by-nc-4.0-line", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0-line", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("bsd-conditions", "BSD-2-Clause",
-     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-     "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-     "following disclaimer."),
-    ("mpl-2.0-notice", "MPL-2.0",
-     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
-     "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("isc-permission", "ISC",
-     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-     "provided that the above copyright notice and this permission notice appear in all copies."),
-]
+TEMPLATES = NOTICES + common_wordings()
 
 
 def window_shingles(t: int) -> int:
@@ -100,11 +75,6 @@ def _function(j: int):
     return lambda h: F.xxhash64(h, F.lit(j))
 
 
-def _around(hits: Column, length: int, back: int) -> Column:
-    """The last window (or the one before) of this length that begins at or before each hit."""
-    return F.transform(hits, lambda p: F.struct(F.lit(length).alias("length"), (F.floor(p / F.lit(length // 2)).cast("int") - back).alias("k")))
-
-
 def _anchor(hashes: Column, j: int) -> Column:
     """The shingle hash with the smallest value of hash function j."""
     return F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, F.lit(j)).alias("v"), h.alias("h"))))["h"]
@@ -123,8 +93,8 @@ def _each(df: DataFrame, name: str, values: Column) -> DataFrame:
 def prepared(spark: SparkSession, templates=None, containment: float = CONTAINMENT, probability: float = PROBABILITY) -> list[dict]:
     """Name, license, shingles, window length, signature and band anchors of every template."""
     templates = TEMPLATES if templates is None else templates
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    if len({t[0] for t in templates}) < len(templates):
+        raise ValueError("template names must differ")
     n = bands(containment, probability)
     df = spark.createDataFrame(templates, "template string, license string, text string").withColumn("w", words_of(F.col("text")))
     every = _starts(F.lit(0), F.size("w") - SHINGLE)
@@ -138,6 +108,24 @@ def prepared(spark: SparkSession, templates=None, containment: float = CONTAINME
     return [{**r.asDict(), "window": window_shingles(len(r["shingles"]))} for r in rows]
 
 
+def _buckets(found: list[dict]):
+    """A function from a shingle hash to the window lengths of the templates that have it as an anchor.
+
+    The table is one literal: buckets by remainder, about one anchor each, so a look-up doesn't depend on their number.
+    """
+    pairs = sorted({(a, t["window"]) for t in found for a in t["anchors"]})
+    size = max(1, len(pairs))
+    buckets: list[list] = [[] for _ in range(size)]
+    for a, length in pairs:
+        buckets[a % size].append({"h": a, "length": length})
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<h: bigint, length: int>>>")
+    return lambda h: F.transform(F.filter(F.get(table, F.pmod(h, F.lit(size)).cast("int")), lambda x: x["h"] == h), lambda x: x["length"])
+
+
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def scan(docs: DataFrame, templates=None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT,
          probability: float = PROBABILITY) -> DataFrame:
     """``doc_id, template, license, containment, first_word`` for every template found in a document.
@@ -145,32 +133,43 @@ def scan(docs: DataFrame, templates=None, id_col: str = "doc_id", text_col: str
     ``containment`` is the largest share of the template's shingles in one window, ``first_word`` the first
     word of the first window with the required share.  Null texts and texts of fewer than five words match
     nothing; rows equal in id and text give one result.  Other columns are ignored; an empty table, or no
-    template, gives no rows.
+    template, gives no rows.  Texts of any length are scanned whole, segment by segment.
     """
-    found = prepared(docs.sparkSession, templates, containment, probability)
+    spark = docs.sparkSession
+    found = prepared(spark, templates, containment, probability)
     n = bands(containment, probability)
+    longest = max((t["window"] for t in found), default=2)
+    segment = max(SEGMENT, 8 * longest)
+    lengths_at = _buckets(found)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), words_of(text).alias("w"))
-    anchors = sorted({a for t in found for a in t["anchors"]})
-    hits = F.filter(_starts(F.lit(0), F.size("w") - SHINGLE), lambda i: _hash_at(F.col("w"), i).isin(anchors))
-    rows = rows.withColumn("hits", hits)
-    # windows (length, number) around the hits
-    lengths = sorted({t["window"] for t in found})
-    around = [_around(F.col("hits"), x, back) for x in lengths for back in (0, 1)]
-    windows = F.concat(*around, F.array().cast("array<struct<length: int, k: int>>"))
-    windows = F.filter(F.array_distinct(windows), lambda x: x["k"] >= 0)
-    rows = _each(rows, "x", windows).select("doc_id", "mark", "w", "x.length", (F.col("x.k") * F.col("x.length") / 2).cast("int").alias("first"))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)), F.lit(segment)), lambda s: F.struct(
+        s.alias("at"), F.slice("w", s + 1, F.lit(segment + longest + SHINGLE - 1)).alias("w")))
+    rows = _each(rows, "part", cut).select("doc_id", "mark", F.col("part.at").alias("at"), F.col("part.w").alias("w"))
+    # windows (length, number in the segment) around the anchors
+    starts = _starts(F.lit(0), F.size("w") - SHINGLE)
+    anchors = F.filter(starts, lambda i: F.size(lengths_at(_hash_at(F.col("w"), i))) > 0)
+    rows = rows.withColumn("anchors", anchors)
+    around = F.flatten(F.transform("anchors", lambda i: F.flatten(F.transform(lengths_at(_hash_at(F.col("w"), i)), lambda x: F.transform(
+        F.array(F.lit(0), F.lit(1)), lambda back: F.struct(x.alias("length"), (F.floor(i / (x / 2)).cast("int") - back).alias("k")))))))
+    windows = F.filter(F.array_distinct(around), lambda x: (x["k"] >= 0) & (x["k"] * x["length"] / 2 < segment))
+    rows = _each(rows, "x", windows).select("doc_id", "mark", "at", "w", "x.length", (F.col("x.k") * F.col("x.length") / 2).cast("int").alias("first"))
     inside = _starts(F.col("first"), F.least(F.col("first") + F.col("length") - 1, F.size("w") - SHINGLE))
     rows = (rows.withColumn("shingles", F.transform(inside, lambda i: _text_at(F.col("w"), i)))
             .withColumn("signature", _signature(F.transform(inside, lambda i: _hash_at(F.col("w"), i)), n)).drop("w"))
-    literal = F.array(*[F.struct(F.lit(t["template"]).alias("template"), F.lit(t["license"]).alias("license"), F.lit(t["window"]).alias("window"),
-                                 F.lit(t["shingles"]).alias("shingles"), F.lit(t["signature"]).alias("signature")) for t in found])
-    literal = literal.cast("array<struct<template: string, license: string, window: int, shingles: array<string>, signature: array<bigint>>>")
-    retrieved = F.filter(literal, lambda t: (t["window"] == F.col("length")) & F.exists(
-        F.zip_with(t["signature"], "signature", lambda a, b: a == b), lambda same: same))
-    rows = _each(rows, "t", retrieved)
-    share = F.size(F.array_intersect("t.shingles", "shingles")) / F.size("t.shingles")
-    return (rows.select("doc_id", "mark", "t.template", "t.license", share.alias("share"), "first").filter(F.col("share") >= containment)
+    rows = rows.withColumn("first", F.col("at") + F.col("first"))
+    # a look-up by (length, band, value)
+    keys = [(t["window"], j, v, t["template"]) for t in found for j, v in enumerate(t["signature"])]
+    table = spark.createDataFrame(keys, "length int, band int, value long, template string")
+    size = sum(16 + len(k[3]) for k in keys) * 4
+    hashed = _each(rows, "b", F.transform("signature", lambda v, j: F.struct(j.alias("band"), v.alias("value"))))
+    hashed = hashed.select("doc_id", "mark", "first", "length", "shingles", "b.band", "b.value")
+    retrieved = hashed.join(_small(table, size), ["length", "band", "value"])
+    full = spark.createDataFrame([(t["template"], t["license"], t["shingles"]) for t in found], "template string, license string, wanted array<string>")
+    size = sum(len(x) + 16 for t in found for x in t["shingles"]) * 4
+    pairs = retrieved.join(_small(full, size), "template")
+    share = F.size(F.array_intersect("wanted", "shingles")) / F.size("wanted")
+    return (pairs.select("doc_id", "mark", "template", "license", share.alias("share"), "first").filter(F.col("share") >= containment)
             .groupBy("doc_id", "mark", "template", "license").agg(F.max("share").alias("containment"), F.min("first").alias("first_word"))
             .drop("mark"))
 
