@@ -299,6 +299,26 @@ def q_csv_roundtrip_schema(spark, d):
     return io.read_csv(spark, path, _ORDERS_RENAMED, header=True)
 
 
+_ORDER_LINE = TT.StructType([TT.StructField("order_key", TT.LongType()), TT.StructField("order_date", TT.DateType()),
+                             TT.StructField("total_price", TT.DoubleType()), TT.StructField("status", TT.StringType())])
+
+
+@query("csv_quarantine", """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'total_price' WHEN o_orderkey % 11 = 0 THEN 'number of fields'
+  ELSE 'good' END AS reason, count(*) AS n_rows, sum(o_orderkey) AS sum_keys FROM orders GROUP BY 1""")
+def q_csv_quarantine(spark, d):
+    """Orders as CSV lines, some with text for a price and some without their last field, read with a quarantine."""
+    o = io.read_table(spark, d, "orders", ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"])
+    price = F.when(F.col("o_orderkey") % 7 == 0, "unknown").otherwise(F.col("o_totalprice").cast("string"))
+    status = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderstatus"))
+    lines = o.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), price, status).alias("value"))
+    path = scratch_path(spark, "lines")
+    lines.write.text(path)
+    good, bad = io.read_csv_checked(spark, path, _ORDER_LINE)
+    rows = good.select(F.lit("good").alias("reason"), F.col("order_key").alias("k")).unionByName(
+        bad.select("reason", F.split("line", ",")[0].cast("long").alias("k")))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("k").alias("sum_keys"))
+
+
 _IMPORTANCE_SCHEMA = TT.StructType([TT.StructField("feature", TT.StringType()),
                                     TT.StructField("weight", TT.LongType())])
 

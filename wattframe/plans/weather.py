@@ -75,9 +75,19 @@ def fit_class_model(train: DataFrame, inputs: list[str], label_col: str, classif
                     normalise: bool = False, handle_invalid: str = "keep",
                     partitions: int = FIT_PARTITIONS) -> PipelineModel:
     """Label order from all training rows; the classifier sees at most ``cap`` rows per class."""
+    sample, indexer = class_sample(train, label_col, cap, id_cols, seed, partitions)
+    return _fit_class(sample, indexer, inputs, classifier, seed, normalise, handle_invalid)
+
+
+def class_sample(train: DataFrame, label_col: str, cap: int = BALANCED_CAP, id_cols: list[str] | None = None, seed: int = 42,
+                 partitions: int = FIT_PARTITIONS):
+    """The balanced sample in a fixed layout and the label order, as any number of classifiers can share them."""
     indexer = StringIndexer(inputCol=label_col, outputCol="label", handleInvalid="keep").fit(train)
     sample = balanced_sample(train, label_col, cap, id_cols, seed)
-    sample = stable_layout(sample, id_cols or sample.columns, partitions)
+    return stable_layout(sample, id_cols or sample.columns, partitions), indexer
+
+
+def _fit_class(sample, indexer, inputs, classifier, seed, normalise, handle_invalid="keep") -> PipelineModel:
     feats = "features_raw" if normalise else "features"
     stages = [VectorAssembler(inputCols=inputs, outputCol=feats, handleInvalid=handle_invalid)]
     if normalise:
@@ -122,8 +132,8 @@ def train_and_evaluate_classifier(df: DataFrame, key, entity: str, value: str, i
                                   normalise: bool = False):
     """Hold out ``1 - fraction`` of one entity's clean rows; return (predictions, metrics, direction).
 
-    With a list of classifiers the entity's rows are found and written once for all of them, and the
-    three results are dictionaries by classifier.
+    With a list of classifiers the entity's rows are found and written once for all of them, the sample and the
+    label order are made once, and the three results are dictionaries by classifier.
     """
     names = [classifier] if isinstance(classifier, str) else list(classifier)
     train_all, _ = _entity_frames(df, key, entity, value, dup_keys)
@@ -131,15 +141,19 @@ def train_and_evaluate_classifier(df: DataFrame, key, entity: str, value: str, i
     if len(names) > 1:
         train_all = cut_lineage(train_all)
     fit_rows, held = hash_split(train_all, id_cols or _keys(key), fraction, seed)
+    sample, indexer = class_sample(fit_rows, label_col, cap, id_cols, seed)
+    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(name):
-        model = fit_class_model(fit_rows, inputs, label_col, name, cap, id_cols, seed, normalise)
-        pred = model.transform(held)
+        model = _fit_class(sample, indexer, inputs, name, seed, normalise)
+        # the metrics read the predictions several times
+        pred = cut_lineage(model.transform(held))
         return (pred, classification_metrics(pred, "label", "prediction"),
                 error_direction(pred, "label", "prediction", label_col))
 
     with ThreadPoolExecutor(max_workers=min(4, len(names))) as pool:  # independent distributed fits
         found = list(pool.map(one, names))
+    sample.unpersist()
     if isinstance(classifier, str):
         return found[0]
     return tuple({n: r[i] for n, r in zip(names, found)} for i in range(3))
@@ -227,5 +241,5 @@ def wide_weather(merged: DataFrame, key, entity: str, entities: list[str],
     return to_wide(merged, key, entity, entities, measures, dictionaries=dictionaries)
 
 
-__all__ = ["training_rows", "make_classifier", "clean_rows", "repeated_rows", "fit_class_model", "predict_duplicates",
+__all__ = ["training_rows", "make_classifier", "clean_rows", "repeated_rows", "fit_class_model", "class_sample", "predict_duplicates",
            "train_and_evaluate_classifier", "label_orders", "resolve_duplicates", "wide_weather"]

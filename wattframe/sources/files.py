@@ -10,8 +10,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattframe.session import cut_lineage
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None, header: bool = True,
              **options) -> DataFrame:
@@ -23,6 +26,31 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None,
     return r.csv(path)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, header_names: list[str] | None = None,
+                     **options) -> tuple[DataFrame, DataFrame]:
+    """``(good, quarantine)`` of a CSV source, parsed once and landed in the shared folder.
+
+    ``header_names`` are the names that every file's header must show, in order; a file with others raises (names
+    are then replaced by the schema's, by position).  Without them the files have no header.  A line with too few or
+    too many fields, or with a value that its column can't hold, is no good row: it goes whole to the quarantine
+    (``line, reason``), where the reason is the first column that can't hold its value, else ``number of fields``.
+    """
+    bad = "_corrupt_line"
+    if header_names is not None and len(header_names) != len(schema):
+        raise ValueError("as many header names as columns are needed")
+    names = header_names or schema.names
+    typed = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)]).add(bad, "string")
+    r = spark.read.options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("columnPruning", False)
+    r = r.option("header", header_names is not None).option("enforceSchema", header_names is None)
+    landed = cut_lineage(r.schema(typed).csv(path).toDF(*schema.names, bad))
+    plain = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
+    raw = F.from_csv(F.col(bad), plain.simpleString()[len("struct<"):-1].replace(":", " "), {k: str(v) for k, v in options.items()})
+    lost = [F.when(raw[n].isNotNull() & F.col(n).isNull(), F.lit(n)) for n in schema.names]
+    quarantine = landed.filter(F.col(bad).isNotNull()).select(
+        F.col(bad).alias("line"), F.coalesce(*lost, F.lit("number of fields")).alias("reason"))
+    return landed.filter(F.col(bad).isNull()).drop(bad), quarantine
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
