@@ -46,6 +46,24 @@ def test_monotone_trees_never_rise(llm):
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.8
 
 
+def test_scores_equal_a_walk_from_node_to_node():
+    rnd = np.random.default_rng(4)
+    x = rnd.random((800, 4))
+    x[::9] = x[0]  # ties
+    model = Q.fit_trees(x, (x[:, 0] * x[:, 1] + 0.1 * rnd.random(800) > 0.3).astype(float), np.zeros(4, dtype=int), rounds=15)
+
+    def walk(row):
+        total = model.base
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node]
+            total += model.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    probe = np.vstack([x, rnd.random((200, 4)) * 3 - 1])
+    assert len(model.roots) == 15 and np.allclose(model.score(probe), [walk(r) for r in probe], rtol=0, atol=1e-12)
+
+
 def test_held_out_accuracy(llm):
     d = "/root/testdata/sf0.1"
     docs, labels = llm.read.parquet(f"{d}/documents.parquet"), llm.read.parquet(f"{d}/labels.parquet")
