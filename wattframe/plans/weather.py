@@ -18,6 +18,7 @@ one plan.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -25,6 +26,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import IndexToString, Normalizer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +75,9 @@ def repeated_rows(df: DataFrame, key, entity: str, min_count: int = 2) -> DataFr
 def fit_class_model(train: DataFrame, inputs: list[str], label_col: str, classifier: str = "rf",
                     cap: int = BALANCED_CAP, id_cols: list[str] | None = None, seed: int = 42,
                     normalise: bool = False, handle_invalid: str = "keep",
-                    partitions: int = FIT_PARTITIONS) -> PipelineModel:
-    """Label order from all training rows; the classifier sees at most ``cap`` rows per class."""
+                    partitions: int = FIT_PARTITIONS) -> PipelineModel | NoClassModel:
+    """Label order from all training rows; the classifier sees at most ``cap`` rows per class.  Without a labelled
+    training row (every key may be repeated) the model is a :class:`NoClassModel`."""
     sample, indexer = class_sample(train, label_col, cap, id_cols, seed, partitions)
     return _fit_class(sample, indexer, inputs, classifier, seed, normalise, handle_invalid)
 
@@ -87,13 +90,34 @@ def class_sample(train: DataFrame, label_col: str, cap: int = BALANCED_CAP, id_c
     return stable_layout(sample, id_cols or sample.columns, partitions), indexer
 
 
-def _fit_class(sample, indexer, inputs, classifier, seed, normalise, handle_invalid="keep") -> PipelineModel:
+@dataclass
+class NoClassModel:
+    """Stands for a model where no labelled row was there to learn from: nothing can be predicted, so label and
+    prediction are null in every row.  The columns are those of a fitted model."""
+    inputs: list[str]
+    normalise: bool = False
+    handle_invalid: str = "keep"
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        stages = _feature_stages(self.inputs, self.normalise, self.handle_invalid)
+        vector, number = F.lit(None).cast(VectorUDT()), F.lit(None).cast("double")
+        return reduce(lambda df, stage: stage.transform(df), stages, rows).select(
+            "*", number.alias("label"), vector.alias("rawPrediction"), vector.alias("probability"), number.alias("prediction"),
+            F.lit(None).cast("string").alias("predictedLabel"))
+
+
+def _feature_stages(inputs, normalise, handle_invalid) -> list:
     feats = "features_raw" if normalise else "features"
     stages = [VectorAssembler(inputCols=inputs, outputCol=feats, handleInvalid=handle_invalid)]
-    if normalise:
-        stages.append(Normalizer(inputCol=feats, outputCol="features"))
-    stages += [indexer, make_classifier(classifier, len(inputs), len(indexer.labels), seed),
-               IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=indexer.labels)]
+    return stages + [Normalizer(inputCol=feats, outputCol="features")] * normalise
+
+
+def _fit_class(sample, indexer, inputs, classifier, seed, normalise, handle_invalid="keep") -> PipelineModel | NoClassModel:
+    if not indexer.labels:
+        return NoClassModel(inputs, normalise, handle_invalid)
+    stages = [*_feature_stages(inputs, normalise, handle_invalid), indexer,
+              make_classifier(classifier, len(inputs), len(indexer.labels), seed),
+              IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=indexer.labels)]
     return Pipeline(stages=stages).fit(sample)
 
 
@@ -117,7 +141,8 @@ def predict_duplicates(df: DataFrame, key, entity: str, value: str, inputs: list
                        dup_keys: DataFrame, classifier: str = "rf", cap: int = BALANCED_CAP,
                        id_cols: list[str] | None = None, seed: int = 42, fill_features: float | None = 0.0,
                        train_nulls: str = "drop"):
-    """Fit on one entity's clean rows, predict its repeated rows (adds prediction, predictedLabel)."""
+    """Fit on one entity's clean rows, predict its repeated rows (adds prediction, predictedLabel; null where the
+    entity has no labelled clean row)."""
     train, todo = _entity_frames(df, key, entity, value, dup_keys)
     model = fit_class_model(training_rows(train, inputs, train_nulls), inputs, label_col, classifier, cap, id_cols, seed)
     if fill_features is not None:
@@ -133,7 +158,8 @@ def train_and_evaluate_classifier(df: DataFrame, key, entity: str, value: str, i
     """Hold out ``1 - fraction`` of one entity's clean rows; return (predictions, metrics, direction).
 
     With a list of classifiers the entity's rows are found and written once for all of them, the sample and the
-    label order are made once, and the three results are dictionaries by classifier.
+    label order are made once, and the three results are dictionaries by classifier.  Without a labelled row to fit
+    on, predictions are null and not judged: no per-label metrics, overall ones null, no direction.
     """
     names = [classifier] if isinstance(classifier, str) else list(classifier)
     train_all, _ = _entity_frames(df, key, entity, value, dup_keys)
@@ -148,8 +174,9 @@ def train_and_evaluate_classifier(df: DataFrame, key, entity: str, value: str, i
         model = _fit_class(sample, indexer, inputs, name, seed, normalise)
         # the metrics read the predictions several times
         pred = cut_lineage(model.transform(held))
-        return (pred, classification_metrics(pred, "label", "prediction"),
-                error_direction(pred, "label", "prediction", label_col))
+        judged = pred.filter(F.col("prediction").isNotNull()) if isinstance(model, NoClassModel) else pred
+        return (pred, classification_metrics(judged, "label", "prediction"),
+                error_direction(judged, "label", "prediction", label_col))
 
     with ThreadPoolExecutor(max_workers=min(4, len(names))) as pool:  # independent distributed fits
         found = list(pool.map(one, names))
@@ -241,5 +268,5 @@ def wide_weather(merged: DataFrame, key, entity: str, entities: list[str],
     return to_wide(merged, key, entity, entities, measures, dictionaries=dictionaries)
 
 
-__all__ = ["training_rows", "make_classifier", "clean_rows", "repeated_rows", "fit_class_model", "class_sample", "predict_duplicates",
+__all__ = ["NoClassModel", "training_rows", "make_classifier", "clean_rows", "repeated_rows", "fit_class_model", "class_sample", "predict_duplicates",
            "train_and_evaluate_classifier", "label_orders", "resolve_duplicates", "wide_weather"]
