@@ -41,3 +41,20 @@ def test_held_rows_without_a_row_to_fit(spark):
                                                                 id_cols=["id"], fraction=0.0, normalise=True)
     assert pred.count() == 5 and pred.filter("prediction is null and predictedLabel is null and label is null").count() == 5
     assert metrics.filter(F.col("value").isNotNull()).count() == 0 and direction.count() == 0
+
+
+def test_repeated_rows_without_a_clean_row(spark):
+    """Every repeated row comes back, unpredicted, with the columns of a prediction."""
+    df, some = _events(spark), _events(spark, clean=8)
+    pred = WE.predict_duplicates(df, "slot", "entity", "click", INPUTS, "cls", _repeated_keys(df), id_cols=["id"])
+    fitted = WE.predict_duplicates(some, "slot", "entity", "click", INPUTS, "cls", _repeated_keys(some), id_cols=["id"])
+    assert [(n, t) for n, t in pred.dtypes] == fitted.dtypes
+    assert sorted(r["id"] for r in pred.select("id").collect()) == list(range(12))
+    assert pred.filter("prediction is not null or predictedLabel is not null").count() == 0
+    assert fitted.filter("prediction is not null and predictedLabel is not null").count() == 12
+
+
+def test_unlabelled_clean_rows_teach_nothing(spark):
+    df = _events(spark, clean=8).withColumn("cls", F.when(F.col("id") < 12, F.col("cls")))
+    pred = WE.predict_duplicates(df, "slot", "entity", "click", INPUTS, "cls", _repeated_keys(df), id_cols=["id"])
+    assert pred.count() == 12 and pred.filter("prediction is not null or predictedLabel is not null").count() == 0
