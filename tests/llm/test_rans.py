@@ -79,3 +79,17 @@ def test_whole_table(llm, segment):
 def test_odd_rows(llm, odd_docs, no_docs):
     check(llm, odd_docs)
     check(llm, no_docs)
+
+
+@pytest.mark.parametrize("n, block, lanes", [(1, 10, 4), (997, 10, 4), (1000, 64, 24)])
+def test_ids_counted_or_sorted_give_one_file(monkeypatch, n, block, lanes):
+    """The distinct ids come from a table or from sorting, with the same segment; blocks need not be whole lanes."""
+    ids = np.minimum(np.random.default_rng(n).zipf(1.2, n), 5000).astype(np.uint32)
+    args = (ids, np.zeros(1), np.ones(1, bool), np.array([n]), block, lanes)
+    counted, payload = R.frequency_table(ids), R.encode_segment(*args)
+    monkeypatch.setattr(R, "SMALL", 0)
+    for a, b in zip(counted, R.frequency_table(ids), strict=True):
+        assert np.array_equal(a, b)
+    assert np.array_equal(counted[0][counted[3]], ids)
+    assert R.encode_segment(*args) == payload
+    assert np.array_equal(R.decode_blocks(payload, R.read_header(payload)), ids)

@@ -48,7 +48,7 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-_CHARS = dict(enumerate(byte_chars()))
+_CHARS = np.array([ord(c) for c in byte_chars()], "<u4")
 
 
 def tokenizer_from_ranks(path: str, pattern: str = PATTERN):
@@ -82,7 +82,7 @@ def tokenizer_from_ranks(path: str, pattern: str = PATTERN):
 class Encoder:
     """Encodes text columns with one vocabulary file (``.json`` of the tokenizers library, or ranks)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -92,6 +92,7 @@ class Encoder:
             self.tok = tokenizer_from_ranks(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = Tokenizer(self.tok.model)  # merges alone: what it gets is split and mapped to characters already
+        self.cache = cache or CACHE
         self.seen: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         back = {c: b for b, c in enumerate(byte_chars())}
@@ -123,17 +124,17 @@ class Encoder:
         unsplit = np.zeros(len(coded.dictionary), bool)
         if not settled.all():
             unsplit[code[other[cut[:-1]]]] = True
-        ids, at = self._distinct(coded.dictionary.to_pylist(), unsplit)
+        ids, at = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), unsplit)
         out, ends = A.ragged_take(ids, at[code], at[code + 1] - at[code])
         return out, ends[np.searchsorted(cut, offsets)]
 
     def _distinct(self, pieces: list[bytes], unsplit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces: matches of the pattern, or (``unsplit``) texts the library has yet to split."""
-        found = [self.seen.get(p) for p in pieces]
+        found = list(map(self.seen.get, pieces))
         new = [i for i, x in enumerate(found) if x is None]
         whole = np.flatnonzero(unsplit).tolist()
         if new:
-            if len(self.seen) + len(new) > CACHE:  # forget what was not needed for a while
+            if len(self.seen) + len(new) > self.cache:  # forget what was not needed for a while
                 self.old, self.seen = self.seen, {}
             seen, old, ask = self.seen, self.old, []
             for i in new:
@@ -143,7 +144,10 @@ class Encoder:
                 else:
                     seen[pieces[i]] = known
             ask = [i for i in ask if not unsplit[i]] if whole else ask
-            chars = [pieces[i].decode("latin-1").translate(_CHARS) for i in ask]
+            asked = [pieces[i] for i in ask]
+            text = _CHARS[np.frombuffer(b"".join(asked), np.uint8)].tobytes().decode("utf-32-le")  # a character a byte
+            ends = np.cumsum(np.fromiter(map(len, asked), np.int64, len(asked))).tolist()
+            chars = [text[a:b] for a, b in zip([0, *ends], ends)]
             for i, e in zip(ask, self.merge.encode_batch_fast(chars, add_special_tokens=False)):
                 found[i] = seen[pieces[i]] = array("I", e.ids).tobytes()
         for i, e in zip(whole, self.tok.encode_batch_fast([pieces[i].decode() for i in whole], add_special_tokens=False)):
@@ -230,9 +234,9 @@ def _match_starts(data: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> n
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary in a Python worker."""
-    return Encoder(path)
+def encoder(path: str, cache: int | None = None) -> Encoder:
+    """One encoder for each vocabulary (and size of its cache) in a Python worker."""
+    return Encoder(path, cache)
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:

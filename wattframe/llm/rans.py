@@ -26,20 +26,32 @@ END_ID = 2
 #: Tokens of a segment (closed at the next document end), of a block, and interleaved coders of a block.
 SEGMENT, BLOCK, LANES = 1 << 21, 1 << 16, 64
 MAGIC, LOW, SCALE = b"RANSTOK1", 31, 18
+#: Ids below this are counted in a table instead of sorted.
+SMALL = 1 << 22
+#: Text tokenised at once and matches kept by a worker: larger ones find more matches merged already.
+SLICE, MATCHES = 4 << 20, 500_000
 
 U64 = np.uint64
 
 
-def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct ids, their frequencies scaled to a power of two (1 at least), and that power."""
-    symbols, count = np.unique(ids, return_counts=True)
+def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Distinct ids, their frequencies scaled to a power of two (1 at least), that power, and the place of every id
+    among the distinct ones."""
+    if len(ids) and ids.max() < SMALL:  # ids of a vocabulary: counted, not sorted
+        seen = np.bincount(ids)
+        symbols = np.flatnonzero(seen)
+        count, place = seen[symbols], np.zeros(len(seen), np.int32)
+        place[symbols] = np.arange(len(symbols))
+        code = place[ids]
+    else:
+        symbols, code, count = np.unique(ids, return_inverse=True, return_counts=True)
     scale = max(SCALE, int(len(symbols)).bit_length() + 2)
     if not len(symbols):
-        return symbols.astype(np.uint32), count.astype(np.uint32), scale
+        return symbols.astype(np.uint32), count.astype(np.uint32), scale, code
     whole = 1 << scale
     freq = 1 + count * (whole - len(symbols)) // len(ids)
     freq[np.argmax(freq)] += whole - int(freq.sum())
-    return symbols.astype(np.uint32), freq.astype(np.uint32), scale
+    return symbols.astype(np.uint32), freq.astype(np.uint32), scale, code
 
 
 def _grid(n: int, block: int, lanes: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -55,24 +67,28 @@ def _grid(n: int, block: int, lanes: int) -> tuple[np.ndarray, np.ndarray, int]:
 def encode_segment(ids: np.ndarray, doc_ids: np.ndarray, has_id: np.ndarray, lengths: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
     """One segment in the file format."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    symbols, freq, scale = frequency_table(ids)
+    symbols, freq, scale, code = frequency_table(ids)
     start = np.concatenate([[0], np.cumsum(freq.astype(np.int64))])[:-1].astype(U64)
     size, per_lane, steps = _grid(len(ids), block, lanes)
-    code = np.searchsorted(symbols, ids)
     begin = np.repeat(np.arange(len(size)) * block, lanes) + np.tile(np.arange(lanes), len(size))
+    order = np.argsort(-per_lane, kind="stable")  # the lanes still at work at a step come first
+    active = np.searchsorted(-per_lane[order], -np.arange(steps))
+    code = code[np.minimum(begin[order] + np.arange(steps)[:, None] * lanes, len(ids) - 1)] if steps else code
     state = np.full(len(begin), 1 << LOW, U64)
     words = np.zeros((steps, len(begin)), np.uint32)
     sent = np.zeros((steps, len(begin)), bool)
-    f_all, s_all, shift = freq.astype(U64), start, U64(scale)
+    f_all, rest = freq.astype(U64), U64(1 << scale) - freq.astype(U64)
     for t in range(steps - 1, -1, -1):  # the last symbol first, so that decoding runs forwards
-        on = t < per_lane
-        c = code[np.where(on, begin + t * lanes, 0)]
+        k = active[t]
+        c, x = code[t, :k], state[:k]
         f = f_all[c]
-        out = on & (state >= f << U64(LOW - scale + 32))
-        words[t], sent[t] = state & U64(0xFFFFFFFF), out
-        x = np.where(out, state >> U64(32), state)
-        q = x // f
-        state = np.where(on, (q << shift) + (x - q * f) + s_all[c], state)
+        out = x >= f << U64(LOW - scale + 32)
+        words[t, :k], sent[t, :k] = x, out  # the low half of the state
+        x = np.where(out, x >> U64(32), x)
+        state[:k] = x // f * rest[c] + x + start[c]
+    if (per_lane[1:] > per_lane[:-1]).any():  # back to the order of blocks and lanes
+        back = np.argsort(order)
+        state, words, sent = state[back], words[:, back], sent[:, back]
     body, marks, at = [], [], 0
     raw = ids.tobytes()
     for b, n in enumerate(size.tolist()):
@@ -114,8 +130,7 @@ def decode_blocks(payload: bytes, head: dict, first: int = 0, last: int | None =
     start = np.concatenate([[0], np.cumsum(head["freq"], dtype=np.int64)])[:-1].astype(U64)
     slot = np.repeat(np.arange(len(freq), dtype=np.int32), head["freq"])
     n_blocks, size = len(marks), marks[:, 2]
-    per_lane = ((size[:, None] - np.arange(lanes) + lanes - 1) // lanes)
-    steps = int(per_lane.max())
+    steps = -(-int(size.max()) // lanes)
     place = head["body"] + marks[:, 1]
     state = np.stack([np.frombuffer(payload, "<u8", lanes, p) for p in place.tolist()])
     stop = np.append(marks[1:, 1], (head["marks"][first + n_blocks, 1] if first + n_blocks < len(head["marks"]) else len(payload) - head["body"]))
@@ -124,16 +139,23 @@ def decode_blocks(payload: bytes, head: dict, first: int = 0, last: int | None =
     at = np.cumsum(counts) - counts
     out = np.zeros((steps, n_blocks, lanes), np.int32)
     for t in range(steps):
-        on = t < per_lane
-        low = state & mask
-        c = slot[low.astype(np.int64)]
-        out[t] = c
-        x = np.where(on, freq[c] * (state >> scale) + low - start[c], state)
-        need = on & (x < U64(1 << LOW))
-        rank = np.cumsum(need, axis=1)
-        take = words[np.where(need, at[:, None] + rank - 1, 0)]
-        state = np.where(need, (x << U64(32)) | take, x)
-        at = at + rank[:, -1]
+        m = int((size > t * lanes).sum())  # only the last block is shorter
+        s = state[:m]
+        low = s & mask
+        c = slot[low.view(np.int64)]
+        out[t, :m] = c
+        x = freq[c] * (s >> scale) + low - start[c]
+        short = int(size[m - 1]) - t * lanes
+        below = x < U64(1 << LOW)
+        if short < lanes:  # coders at their end
+            x[m - 1, short:], below[m - 1, short:] = s[m - 1, short:], False
+        state[:m] = x
+        need = np.flatnonzero(below)
+        row = need // lanes
+        count = np.bincount(row, minlength=m)
+        take = words[np.arange(len(need)) + (at[:m] + count - np.cumsum(count))[row]]
+        state.reshape(-1)[need] = (x.reshape(-1)[need] << U64(32)) | take
+        at[:m] += count
     ids = np.concatenate([head["symbols"][out[:, b, :].ravel()[:n]] for b, n in enumerate(size.tolist())])
     if (state != U64(1 << LOW)).any():  # every coder must be back where the encoder began
         raise ValueError("a block of a token segment is damaged")
@@ -168,7 +190,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_I
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part_no = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, part_no = encoder(vocabulary, MATCHES), TaskContext.get().partitionId()
         held, tokens, before, number = [], 0, 0, 0
 
         def closed():
@@ -181,7 +203,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_I
                                                "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for rows in A.slices(batch):
+            for rows in A.slices(batch, limit=SLICE):
                 ids, at = enc.encode(rows.column(1))
                 held.append((np.insert(ids, at[1:], np.uint32(end_id)), rows.column(0), np.diff(at) + 1))
                 tokens += len(held[-1][0])
