@@ -145,10 +145,11 @@ def decode_blocks(payload: bytes, head: dict, first: int = 0, last: int | None =
         c = slot[low.view(np.int64)]
         out[t, :m] = c
         x = freq[c] * (s >> scale) + low - start[c]
-        short = int(size[m - 1]) - t * lanes
+        left = size[:m] - t * lanes
         below = x < U64(1 << LOW)
-        if short < lanes:  # coders at their end
-            x[m - 1, short:], below[m - 1, short:] = s[m - 1, short:], False
+        if left.min() < lanes:  # some coders are at their end
+            on = np.arange(lanes) < left[:, None]
+            x, below = np.where(on, x, s), below & on
         state[:m] = x
         need = np.flatnonzero(below)
         row = need // lanes
