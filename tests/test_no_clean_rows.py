@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from wattframe.operators import profile
 from wattframe.plans import weather as WE
 
@@ -58,3 +59,18 @@ def test_unlabelled_clean_rows_teach_nothing(spark):
     df = _events(spark, clean=8).withColumn("cls", F.when(F.col("id") < 12, F.col("cls")))
     pred = WE.predict_duplicates(df, "slot", "entity", "click", INPUTS, "cls", _repeated_keys(df), id_cols=["id"])
     assert pred.count() == 12 and pred.filter("prediction is not null or predictedLabel is not null").count() == 0
+
+
+def test_query_on_events_repeated_with_shifted_ids(spark, tmp_path):
+    """The registered query: copies of all events leave no clean row, copies moved in time leave those of each copy."""
+    t0, n = dt.datetime(2024, 1, 1), 60
+    minutes = [i // 2 if i < 20 else i for i in range(n)]  # ten minutes come twice, the others once
+    rows = [(i + n * k, t0 + dt.timedelta(days=k * moved, minutes=m, seconds=i % 60), 7 * i, "view", (13.0 * i) % 100, f'{{"k": {i % 9}}}', moved)
+            for moved in (0, 1) for k in range(3) for i, m in enumerate(minutes)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string, moved int")
+    for moved, copied, predicted in ((0, range(n), 0), (1, range(20), 3 * 20)):
+        events.filter(F.col("moved") == moved).drop("moved").write.parquet(f"{tmp_path}/{moved}/events.parquet")
+        got = E.queries()["predict_duplicates"](spark, f"{tmp_path}/{moved}").collect()
+        assert sorted(r["event_id"] for r in got) == sorted(i + n * k for k in range(3) for i in copied)
+        assert sum(r["prediction"] is not None and r["predictedLabel"] is not None for r in got) == predicted
+        assert {r["predictedLabel"] for r in got} <= {"low", "mid", "high", "peak", None}
